@@ -119,3 +119,14 @@ def padded(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), fill
         value = F.col(c) if c in have else F.lit(None).cast("bigint")
         out.append((value if fill is None else F.coalesce(value, F.lit(fill))).alias(c))
     return df.select(*out)
+
+
+def join_hot(many: DataFrame, one: DataFrame, keys: Sequence[str], how: str = "inner", salt: int = 8) -> DataFrame:
+    """Join a table with very frequent keys to one with a single row per key.
+
+    Rows of a frequent key are spread by a hash of the whole row (the same after a task
+    is run again), and the other side is repeated per salt.
+    """
+    spread = many.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in many.columns]), F.lit(salt)).cast("int"))
+    repeated = one.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salt)])))
+    return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geodesy import cell_key, cell_key_x, cell_key_y
+from ..functions.geodesy import cell_key
 from ..session import cut_lineage
 from .components import components
 
@@ -28,22 +28,14 @@ def _box(fx: Column, fy: Column, drop_bits: int) -> Column:
     return cell_key(F.shiftright(fx, drop_bits), F.shiftright(fy, drop_bits))
 
 
-def _neighbours(cell: Column, reach: int = 2, half: bool = False) -> Column:
-    """Cells around a cell, itself included unless only one half is asked for."""
-    out = []
-    for i in range(-reach, reach + 1):
-        for j in range(-reach, reach + 1):
-            if not half or (i, j) > (0, 0):
-                out.append(cell_key(cell_key_x(cell) + i, cell_key_y(cell) + j))
-    return F.array(*out)
+def _neighbours(cell: str, reach: int = 2, half: bool = False) -> Column:
+    """Cells around a cell, itself included unless only one half is asked for.
 
-
-def _axis_gaps(axis: str) -> tuple[Column, Column]:
-    """Smallest and largest distance along one axis between the extents of boxes a and b."""
-    lo_a, hi_a, lo_b, hi_b = (F.col(f"{e}{axis}_{s}") for s in "ab" for e in ("lo", "hi"))
-    nearest = F.greatest(lo_b - hi_a, lo_a - hi_b, F.lit(0.0))
-    farthest = F.greatest(F.abs(hi_b - lo_a), F.abs(hi_a - lo_b))
-    return nearest, farthest
+    The key holds both cell numbers, x in the upper 32 bits: moving is an addition.
+    """
+    around = [(i << 32) + j for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)
+              if not half or (i, j) > (0, 0)]
+    return F.expr(f"transform(array({', '.join(f'{o}L' for o in around)}), o -> {cell} + o)")
 
 
 def _linked_cells(core: DataFrame, by: list[str], eps: float) -> DataFrame:
@@ -62,15 +54,16 @@ def _linked_cells(core: DataFrame, by: list[str], eps: float) -> DataFrame:
         return boxes.select(*by, *[F.col(c).alias(f"{c}_{s}") for c in columns])
 
     def judged(pairs: DataFrame) -> DataFrame:
-        (nx, fx), (ny, fy) = _axis_gaps("x"), _axis_gaps("y")
-        return pairs.withColumn("near", F.sqrt(nx * nx + ny * ny)).withColumn("far", F.sqrt(fx * fx + fy * fy)).filter(
-            F.col("near") <= eps)
+        gap = "greatest(lo{0}_b - hi{0}_a, lo{0}_a - hi{0}_b, 0D)"
+        reach = "greatest(abs(hi{0}_b - lo{0}_a), abs(hi{0}_a - lo{0}_b))"
+        near, far = (F.expr(f"sqrt(pow({e.format('x')}, 2) + pow({e.format('y')}, 2))") for e in (gap, reach))
+        return pairs.withColumn("near", near).withColumn("far", far).filter(F.col("near") <= eps)
 
     ends = ["lox", "hix", "loy", "hiy"]
     cells = [*by, "cell_a", "cell_b"]
 
     coarse = extents("coarse", None)
-    a = side(coarse, "a", ["cell", "coarse", *ends]).withColumn("cell_b", F.explode(_neighbours(F.col("cell_a"), half=True)))
+    a = side(coarse, "a", ["cell", "coarse", *ends]).withColumn("cell_b", F.explode(_neighbours("cell_a", half=True)))
     first = judged(a.join(side(coarse, "b", ["cell", "coarse", *ends]), [*by, "cell_b"]))
     first = cut_lineage(first.select(*cells, "coarse_a", "coarse_b", (F.col("far") <= eps).alias("sure")))
     linked = first.filter("sure").select(*cells).distinct()
@@ -97,8 +90,7 @@ def _linked_cells(core: DataFrame, by: list[str], eps: float) -> DataFrame:
 
 
 def _apart(x1: str, y1: str, x2: str, y2: str) -> Column:
-    dx, dy = F.col(x1) - F.col(x2), F.col(y1) - F.col(y2)
-    return F.sqrt(dx * dx + dy * dy)
+    return F.expr(f"sqrt(({x1} - {x2}) * ({x1} - {x2}) + ({y1} - {y2}) * ({y1} - {y2}))")
 
 
 def density_clusters(points: DataFrame, by: Sequence[str], eps: float = 100.0, min_samples: int = 5) -> DataFrame:
@@ -123,7 +115,7 @@ def density_clusters(points: DataFrame, by: Sequence[str], eps: float = 100.0, m
 
     def around(thin: DataFrame) -> DataFrame:
         return thin.select(*by, F.col("x").alias("px"), F.col("y").alias("py"),
-                           F.explode(_neighbours(F.col("cell"))).alias("cell"))
+                           F.explode(_neighbours("cell")).alias("cell"))
 
     thin = placed.filter(F.col("cell_n") < min_samples)
     counted = (

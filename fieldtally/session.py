@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # a stack capture per column expression costs more than building most plans
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

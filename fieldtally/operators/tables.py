@@ -28,6 +28,13 @@ def within_entity(reports: DataFrame, codes: DataFrame, scale: str, entity: str,
     return reports.join(codes.filter(F.col(scale) == F.lit(entity)).select(key), key, "left_semi")
 
 
+def entity_tags(scale: str, entities: Sequence[str]) -> Column:
+    """The wanted entities a row counts for: its own and, if wanted, 'Total'."""
+    own = [F.when(F.col(scale).isin([e for e in entities if e != TOTAL]), F.col(scale))]
+    total = [F.lit(TOTAL)] if TOTAL in entities else []
+    return F.array_compact(F.array(*own, *total))
+
+
 def with_legend(codes: DataFrame, legend: DataFrame, key: str, how: str = "left") -> DataFrame:
     """Attach names to codes. Whether the legend is broadcast is left to Spark, which knows its size."""
     return codes.join(legend, key, how)

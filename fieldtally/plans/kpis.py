@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.classify import DENSITY_CLASSES, REPORT_TYPES
 from ..functions.numeric import iqr, or_zero, percent, ratio
 from ..functions.periods import minutes_between, period_start
-from ..operators.filters import TOTAL, at_least, named, only_entity, only_type
-from ..operators.tables import counts_by, pivot_counts, wide_counts, with_scale, within_entity
+from ..operators.filters import TOTAL, at_least, named, only_type
+from ..operators.tables import counts_by, entity_tags, pivot_counts, wide_counts, with_scale, within_entity
 from ..operators.timeseries import of_all, regular, running_total
 
 # Legend table and code column of each spatial scale.
@@ -132,9 +132,9 @@ def backlog(reports: DataFrame, codes: DataFrame, scale: str, entity: str = TOTA
     return regular(total, freq, carry=["ct_acc"])
 
 
-def sampling_coverage(effort: DataFrame, pixels: DataFrame, legend: DataFrame, scale: str,
-                      entity: str = TOTAL, freq: str = "month") -> DataFrame:
-    """Visited cells as percent of the pixels of each density class, by period.
+def coverage_by_entity(effort: DataFrame, pixels: DataFrame, legend: DataFrame, scale: str,
+                       entities: Sequence[str], freq: str = "month") -> DataFrame:
+    """Visited cells as percent of the pixels of each density class, by entity and period.
 
     Cells are reduced to one row per period first, and both sides are counted by code
     before the legend comes in, so the join runs on counts. A legend with several rows
@@ -148,16 +148,26 @@ def sampling_coverage(effort: DataFrame, pixels: DataFrame, legend: DataFrame, s
     one = visits.groupBy("lonlat_id", "period").agg(
         F.min(F.struct("human_presence_discr", code)).alias("v")
     ).select("period", "v.*")
-    visited = only_entity(
-        counts_by(one, "period", "human_presence_discr", code, name="n").join(names, code, "left"), scale, entity
-    ).groupBy("period", "human_presence_discr").agg(F.sum("n").alias("ct"))
-    present = only_entity(
-        counts_by(pixels, "human_presence_discr", code, name="n").join(names, code, "left"), scale, entity
-    ).groupBy("human_presence_discr").agg(F.sum("n").alias("ct_tot"))
-    share = visited.join(present, "human_presence_discr", "left").withColumn("p", percent(F.col("ct"), F.col("ct_tot")))
-    wide = share.groupBy("period").agg(*wide_counts(F.col("human_presence_discr"), DENSITY_CLASSES, F.col("p")))
-    full = regular(wide, freq)
-    return full.select("period", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in DENSITY_CLASSES])
+
+    def counted(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+        by_code = counts_by(rows, *keys, code, name="n").join(names, code, "left")
+        return by_code.withColumn("entity", F.explode(entity_tags(scale, entities))).groupBy("entity", *keys).agg(
+            F.sum("n").alias(name))
+
+    visited = counted(one, ["period", "human_presence_discr"], "ct")
+    present = counted(pixels, ["human_presence_discr"], "ct_tot")
+    share = visited.join(present, ["entity", "human_presence_discr"], "left").withColumn(
+        "p", percent(F.col("ct"), F.col("ct_tot")))
+    wide = share.groupBy("entity", "period").agg(
+        *wide_counts(F.col("human_presence_discr"), DENSITY_CLASSES, F.col("p")))
+    full = regular(wide, freq, by=["entity"])
+    return full.select("entity", "period", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in DENSITY_CLASSES])
+
+
+def sampling_coverage(effort: DataFrame, pixels: DataFrame, legend: DataFrame, scale: str,
+                      entity: str = TOTAL, freq: str = "month") -> DataFrame:
+    """`coverage_by_entity` of one entity."""
+    return coverage_by_entity(effort, pixels, legend, scale, [entity], freq).drop("entity")
 
 
 def headline(inflow_table: DataFrame, activity_table: DataFrame) -> DataFrame:

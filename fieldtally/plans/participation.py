@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import or_zero, percent
 from ..functions.periods import as_instant, calendar_before, period_start, within_span
 from ..operators.filters import TOTAL, identified_adults, named, only_entity, only_type
-from ..operators.tables import wide_counts, with_scale, within_entity
+from ..operators.tables import entity_tags, wide_counts, with_scale, within_entity
 from ..operators.timeseries import after_first, of_all, regular
 
 AsOf = dt.datetime | str | None
@@ -132,22 +132,33 @@ def retention(reports: DataFrame, codes: DataFrame, scale: str, entity: str = TO
     return regular(table, freq, fill=0)
 
 
+def _merged_days(user_days: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """User days of several groups put together under new keys."""
+    return user_days.groupBy(*keys, "user_id", "day").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
+
+
 def retention_by_entity(reports: DataFrame, codes: DataFrame, scale: str, entities: Sequence[str],
                         freq: str = "month", report_type: str | None = None, span: str = "1 year") -> DataFrame:
     """`retention` of several entities ('Total' among them) in one pass, long form."""
-    rows = with_scale(only_type(reports, report_type), codes, scale)
-    per_area = _user_days(rows, [scale])
-    wanted = [e for e in entities if e != TOTAL]
-    tags = F.array_compact(F.array(
-        F.when(F.col(scale).isin(wanted), F.col(scale)) if wanted else F.lit(None).cast("string"),
-        F.lit(TOTAL if TOTAL in entities else None).cast("string"),
-    ))
-    tagged = per_area.withColumn("entity", F.explode(tags)).groupBy("entity", "user_id", "day").agg(
-        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n")
-    )
+    per_area = _user_days(with_scale(only_type(reports, report_type), codes, scale), [scale])
+    tagged = _merged_days(per_area.withColumn("entity", F.explode(entity_tags(scale, entities))), ["entity"])
     return regular(_retained(tagged, ["entity"], freq, span), freq, by=["entity"], fill=0)
 
 
+def retention_exports(reports: DataFrame, codes: DataFrame, scale: str, entities: Sequence[str],
+                      report_types: Sequence[str], freq: str = "month", span: str = "1 year") -> DataFrame:
+    """`retention` for every combination of entity and report type ('all' for any type) in one pass."""
+    per_area = _user_days(with_scale(reports, codes, scale), [scale, "report_type"])
+    own_type = F.when(F.col("report_type").isin([t for t in report_types if t]), F.col("report_type"))
+    types = F.array_compact(F.array(own_type, *([F.lit("all")] if "" in report_types else [])))
+    tagged = (
+        per_area.withColumn("entity", F.explode(entity_tags(scale, entities)))
+        .withColumn("report_type", F.explode(types)))
+    keys = ["entity", "report_type"]
+    return regular(_retained(_merged_days(tagged, keys), keys, freq, span), freq, by=keys, fill=0)
+
+
 def retention_columns(long: DataFrame, entities: Sequence[str]) -> DataFrame:
     """`retention_by_entity` with one column per entity, aligned on the period."""
     return long.groupBy("period").agg(*[

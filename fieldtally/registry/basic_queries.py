@@ -130,9 +130,11 @@ def _chained(spark, d):
 
 
 def _aligned(spark, d):
-    per = [_monthly(spark, d, "report_type").filter(F.col("report_type") == t).select("period", F.col("ct").alias(t))
-           .filter(F.col("ct") % m != 0) for t, m in (("adult", 3), ("bite", 4), ("site", 5))]
-    return tables.align(per, "period")
+    spans = {"adult": ("1996-01-01", None), "bite": (None, "1999-12-01"), "site": ("1995-06-01", "2000-06-01")}
+    counts = _monthly(spark, d, "report_type")
+    return tables.align([
+        filters.during(filters.only_type(counts, t).select("period", F.col("ct").alias(t)), "period", *span)
+        for t, span in spans.items()], "period")
 
 
 def _hot(spark, d):
@@ -148,7 +150,7 @@ def _unseen(spark, d):
 
 def _overwrite(spark, d):
     c = proxy.table(spark, d, "customer", "c_custkey", "c_mktsegment")
-    new = c.filter(F.col("c_custkey") % 4 != 0).select(
+    new = c.select(
         "c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.lower("c_mktsegment")).alias("c_mktsegment"))
     return tables.overwrite_where_known(c, new, "c_custkey", "c_mktsegment")
 
@@ -328,32 +330,33 @@ def _numbers(spark, d):
         numeric.decision_index(a, b).alias("p")))
 
 
+def _per_user(spark, d, freq, *keys):
+    return _reports(spark, d).select("user_id", periods.period_start(F.col("upload_date_utc"), freq).alias("period"), *keys)
+
+
+def _typed(spark, d, freq):
+    return _per_user(spark, d, freq, "report_type").groupBy("user_id", "period").agg(
+        *tables.wide_counts(F.col("report_type"), TYPES))
+
+
 def _zero_axis(spark, d):
-    """Only some periods have counts; added ones are 0, empty cells of existing ones stay null."""
-    r = _reports(spark, d).filter(F.col("user_id") % 97 == 1)
-    dated = r.select(periods.period_start(F.col("upload_date_utc"), "day").alias("period"), "report_type")
-    return timeseries.regular(tables.pivot_counts(dated, "period", "report_type", TYPES), "day", fill=0)
+    """One axis per user: added quarters are 0, empty cells of existing ones stay null."""
+    return timeseries.regular(_typed(spark, d, "quarter"), "quarter", by=["user_id"], fill=0)
 
 
 def _null_axis(spark, d):
-    r = _reports(spark, d).filter(F.col("user_id") % 97 == 2)
-    return timeseries.regular(_counts_of(r, "yearweek"), "yearweek")
+    return timeseries.regular(tables.counts_by(_per_user(spark, d, "year"), "user_id", "period"), "year", by=["user_id"])
 
 
 def _carried_axis(spark, d):
-    r = _reports(spark, d).filter(F.col("user_id") % 97 == 3)
-    acc = _counts_of(r, "yearweek").select("period", timeseries.running_total(F.col("ct")).alias("so_far"))
-    return timeseries.regular(acc, "yearweek", carry=["so_far"])
+    counts = tables.counts_by(_per_user(spark, d, "quarter"), "user_id", "period")
+    acc = counts.select("user_id", "period", timeseries.running_total(F.col("ct"), by=["user_id"]).alias("so_far"))
+    return timeseries.regular(acc, "quarter", by=["user_id"], carry=["so_far"])
 
 
 def _full_axis(spark, d):
-    r = _reports(spark, d).filter(F.col("user_id") % 97 == 4)
-    dated = r.select(periods.period_start(F.col("upload_date_utc"), "month").alias("period"), "report_type")
-    return participation.zero_filled(timeseries.regular(tables.pivot_counts(dated, "period", "report_type", TYPES), "month"))
-
-
-def _counts_of(rows, freq):
-    return tables.counts_by(rows.select(periods.period_start(F.col("upload_date_utc"), freq).alias("period")), "period")
+    full = timeseries.regular(_typed(spark, d, "year"), "year", by=["user_id"])
+    return full.select("user_id", "period", *[numeric.or_zero(F.col(t)).alias(t) for t in TYPES])
 
 
 def _padded(spark, d):
@@ -417,10 +420,14 @@ _LOG = "CASE WHEN {v} = 0 THEN 1 WHEN ln({v}) < 0 THEN 1 ELSE ln({v}) END"
 _SIG = "(1 / (1 + exp(-({x}))))"
 
 
-def _axis_of(n: int, unit: str, columns: dict[str, str], select: str = "count(*) AS ct") -> str:
-    return with_views(sql_axis("counts", columns, unit), "v_reports", extra={"counts": f"""
-        SELECT date_trunc('{unit}', upload_date_utc)::TIMESTAMP AS period, {select}
-        FROM v_reports WHERE user_id % 97 = {n} GROUP BY 1"""})
+def _user_axis(unit: str, step: str, columns: str, select: str = "count(*) AS ct", wrap: str = "SELECT * FROM base") -> str:
+    return with_views(f"""
+        SELECT a.user_id, a.period, {columns} FROM (
+            SELECT user_id, unnest(generate_series(lo, hi, INTERVAL '{step}'))::TIMESTAMP AS period FROM (
+                SELECT user_id, min(period) AS lo, max(period) AS hi FROM counts GROUP BY 1)) a
+        LEFT JOIN (SELECT *, TRUE AS hit FROM counts) c USING (user_id, period)""", "v_reports", extra={"base": f"""
+            SELECT user_id, date_trunc('{unit}', upload_date_utc)::TIMESTAMP AS period, {select}
+            FROM v_reports GROUP BY 1, 2""", "counts": wrap})
 
 
 def _spine_sql(unit: str, step: str) -> str:
@@ -489,15 +496,16 @@ ORACLE = {
                                       ("c", "observation_date_utc", "observed", "v_reports"))}),
     "join_full_outer_align": with_views(
         "SELECT period, adult, bite, site FROM a FULL JOIN b USING (period) FULL JOIN c USING (period)", "v_reports", extra={
-            n: f"SELECT {_MONTH}, count(*) AS {t} FROM v_reports WHERE report_type = '{t}' GROUP BY 1 HAVING count(*) % {m} <> 0"
-            for n, t, m in (("a", "adult", 3), ("b", "bite", 4), ("c", "site", 5))}),
+            n: f"SELECT * FROM (SELECT {_MONTH}, count(*) AS {t} FROM v_reports WHERE report_type = '{t}' GROUP BY 1) WHERE {w}"
+            for n, t, w in (("a", "adult", "period >= TIMESTAMP '1996-01-01'"), ("b", "bite", "period <= TIMESTAMP '1999-12-01'"),
+                            ("c", "site", "period BETWEEN TIMESTAMP '1995-06-01' AND TIMESTAMP '2000-06-01'"))}),
     "join_frequent_keys": with_views(
         "SELECT version_uuid, c_mktsegment FROM v_reports JOIN customer ON user_id = c_custkey", "v_reports"),
     "join_anti_unseen": with_views("""
         SELECT version_uuid FROM v_reports WHERE version_uuid NOT IN (SELECT version_uuid FROM v_codes)""",
         "v_reports", "v_codes"),
     "join_overwrite_where_known": """
-        SELECT c_custkey, CASE WHEN c_custkey % 4 <> 0 AND c_custkey % 3 = 0 THEN lower(c_mktsegment)
+        SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN lower(c_mktsegment)
                                ELSE c_mktsegment END AS c_mktsegment FROM customer""",
     "agg_count_two_keys": with_views(f"SELECT {SCALE}, labels, count(*) AS ct FROM {_RC} GROUP BY 1, 2",
                                      "v_reports", "v_named"),
@@ -596,14 +604,14 @@ ORACLE = {
                round({_SIG.format(x='-30 * (b - 0.5::DOUBLE)')} * ({_SIG.format(x='30 * (a - 0.5::DOUBLE)')}
                      + 0.5::DOUBLE * (1 - {_SIG.format(x='30 * (a - 0.5::DOUBLE)')})), 6) AS p
         FROM (SELECT *, abs(c_acctbal) / 10000 AS a, (c_custkey % 10) / 10.0::DOUBLE AS b FROM customer)""",
-    "ts_zero_axis": _axis_of(1, "day", {t: zero_if_added(t) for t in TYPES}, sql_wide("report_type", TYPES)),
-    "ts_null_axis": _axis_of(2, "week", {"ct": "c.ct"}),
-    "ts_carried_axis": with_views(
-        sql_axis("acc", {"so_far": "last_value(c.so_far IGNORE NULLS) OVER (ORDER BY a.period)"}, "week"), "v_reports",
-        extra={"acc": """SELECT period, sum(ct) OVER (ORDER BY period)::BIGINT AS so_far FROM (
-                           SELECT date_trunc('week', upload_date_utc)::TIMESTAMP AS period, count(*) AS ct
-                           FROM v_reports WHERE user_id % 97 = 3 GROUP BY 1)"""}),
-    "ts_zero_everywhere": _axis_of(4, "month", {t: f"coalesce(c.{t}, 0)" for t in TYPES}, sql_wide("report_type", TYPES)),
+    "ts_zero_axis": _user_axis("quarter", "3 MONTH", ", ".join(f"{zero_if_added(t)} AS {t}" for t in TYPES),
+                               sql_wide("report_type", TYPES)),
+    "ts_null_axis": _user_axis("year", "12 MONTH", "c.ct"),
+    "ts_carried_axis": _user_axis(
+        "quarter", "3 MONTH", "last_value(c.so_far IGNORE NULLS) OVER (PARTITION BY a.user_id ORDER BY a.period) AS so_far",
+        wrap="SELECT user_id, period, sum(ct) OVER (PARTITION BY user_id ORDER BY period)::BIGINT AS so_far FROM base"),
+    "ts_zero_everywhere": _user_axis("year", "12 MONTH", ", ".join(f"coalesce(c.{t}, 0) AS {t}" for t in TYPES),
+                                     sql_wide("report_type", TYPES)),
     "ts_padded_categories": with_views(f"""
         SELECT {SCALE}, count(*) FILTER (labels = 'culex') AS culex, count(*) FILTER (labels = 'albopictus') AS albopictus,
                0::BIGINT AS aegypti, count(*) FILTER (labels = 'not-sure') AS "not-sure" FROM {_RC} GROUP BY 1""",

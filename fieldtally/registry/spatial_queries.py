@@ -60,10 +60,8 @@ def _assign(limit, attributes=()):
 
 
 def _report_codes(spark, d):
-    p = proxy.polygons(spark, d).withColumn("level_name", F.concat(F.lit("level "), F.col("level").cast("string")))
-    even = p.filter(F.col("level") % 2 == 0)
-    odd = p.filter(F.col("level") % 2 == 1)
-    return etl.report_codes(proxy.points(spark, d), p, even, odd, key="point_id")
+    eco = proxy.polygons(spark, d, 5).withColumn("level_name", F.concat(F.lit("level "), F.col("level").cast("string")))
+    return etl.report_codes(proxy.points(spark, d), proxy.polygons(spark, d), proxy.polygons(spark, d, 3), eco, key="point_id")
 
 
 def _sample(spark, d):
@@ -131,8 +129,8 @@ def _layer(spark, d):
     """A raw layer with missing geometries and empty names, through the layer loader."""
     raw = proxy.polygons(spark, d).select(
         F.col("code").cast("int").alias("DN"), F.when(F.col("code").cast("int") % 7 != 0, F.col("rings")).alias("geometry"))
-    legend = proxy.table(spark, d, "supplier").filter(F.col("s_suppkey") % 5 != 0).select(
-        F.col("s_suppkey").cast("int").alias("code"),
+    legend = proxy.table(spark, d, "supplier").select(
+        F.when(F.col("s_suppkey") % 5 == 0, -1 - F.col("s_suppkey")).otherwise(F.col("s_suppkey")).cast("int").alias("code"),
         F.when(F.col("s_suppkey") % 3 == 0, "").otherwise(F.col("s_name")).alias("name"))
     layer = layers.polygon_layer(raw, "climate_regions", legend)
     return layer.select("code", "name", F.size("rings").alias("n_rings"))
@@ -241,13 +239,16 @@ ORACLE = {
                'level ' || s_nationkey AS name_biome
         FROM v_points JOIN a ON a.id = point_id JOIN b ON b.id = point_id JOIN c ON c.id = point_id
         JOIN supplier ON s_suppkey = code_ecoregions::BIGINT""", "v_points", "v_edges", extra={
-            "pairs": f"""SELECT id, code, s_nationkey % 2 AS odd, round(min({_DIST}), 9) AS d,
-                                count(*) FILTER ({_CROSS}) % 2 = 1 OR bool_or({_TOUCH}) AS covered
-                         FROM ({_POINTS}) p JOIN v_edges ON TRUE GROUP BY 1, 2, 3""",
-            **{n: f"""SELECT id, code AS {name} FROM pairs WHERE {cond} QUALIFY row_number() OVER (
+            "edges3": "SELECT * REPLACE (y1 + 3 AS y1, y2 + 3 AS y2) FROM v_edges",
+            "edges5": "SELECT * REPLACE (y1 + 5 AS y1, y2 + 5 AS y2) FROM v_edges",
+            **{n: f"""SELECT id, code AS {name} FROM (
+                        SELECT id, code, round(min({_DIST}), 9) AS d,
+                               count(*) FILTER ({_CROSS}) % 2 = 1 OR bool_or({_TOUCH}) AS covered
+                        FROM ({_POINTS}) p JOIN {edges} ON TRUE GROUP BY 1, 2)
+                      QUALIFY row_number() OVER (
                         PARTITION BY id ORDER BY covered DESC, CASE WHEN covered THEN 0 ELSE d END, code) = 1"""
-               for n, name, cond in (("a", "code_gadm", "TRUE"), ("b", "code_climate_regions", "odd = 0"),
-                                     ("c", "code_ecoregions", "odd = 1"))}}),
+               for n, name, edges in (("a", "code_gadm", "v_edges"), ("b", "code_climate_regions", "edges3"),
+                                      ("c", "code_ecoregions", "edges5"))}}),
     "join_pixel_sample": with_views(f"""
         SELECT lonlat_id, round(human_presence, 6) AS human_presence, code_gadm
         FROM (SELECT DISTINCT lon || '_' || lat AS lonlat_id, lon, lat FROM (

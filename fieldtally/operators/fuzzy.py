@@ -70,7 +70,9 @@ def candidates(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
         (F.col("at") >= 0) & (F.col("at") + F.col("n") <= F.col("ll")))
     probes = probes.select("block", "l_name", "rl", "t", "i",
                            F.col("l_name").substr(F.col("at") + 1, F.col("n")).alias("seg")).distinct()
-    return probes.join(indexed, ["block", "rl", "t", "i", "seg"]).select("block", "l_name", "r_name").distinct()
+    pairs = probes.join(indexed, ["block", "rl", "t", "i", "seg"]).select("block", "l_name", "r_name", "t").distinct()
+    # the budget bounds the edits as well: cheap to check before any costlier score
+    return pairs.filter(F.expr("levenshtein(l_name, r_name, t) >= 0")).select("block", "l_name", "r_name")
 
 
 def edit_similarity(a: Column, b: Column) -> Column:

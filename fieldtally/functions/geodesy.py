@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # WGS 84 ellipsoid, UTM scale and the radius of the equal-area sphere.
@@ -47,22 +47,27 @@ def _atanh(x: Column) -> Column:
     return 0.5 * F.log((1 + x) / (1 - x))
 
 
-def utm_xy(lon: Column, lat: Column, zone: Column, south: Column) -> tuple[Column, Column]:
-    """Easting and northing in metres, in a given zone."""
+def with_utm(df: DataFrame, zone: Column, south: Column, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """`df` with `x` and `y`, easting and northing in metres in a given zone.
+
+    The series is built in steps, each a column: written as one expression, every later
+    term would repeat the earlier ones.
+    """
     k = krueger_constants()
-    phi = F.radians(lat)
-    lam = F.radians(lon - (zone * 6 - 183))
-    sin_phi = F.sin(phi)
-    t = F.sinh(_atanh(sin_phi) - k["e"] * _atanh(k["e"] * sin_phi))
-    xi = F.atan2(t, F.cos(lam))
-    eta = _atanh(F.sin(lam) / F.sqrt(1 + t * t))
-    east, north = eta, xi
-    for j, a in ((1, k["a1"]), (2, k["a2"]), (3, k["a3"])):
-        east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    easting = FALSE_EASTING + UTM_SCALE * k["A"] * east
-    northing = UTM_SCALE * k["A"] * north + F.when(south, FALSE_NORTHING_SOUTH).otherwise(0.0)
-    return easting, northing
+    steps = df.withColumns({"_sin": F.sin(F.radians(lat)), "_lam": F.radians(F.col(lon) - (zone * 6 - 183))})
+    sin = F.col("_sin")
+    steps = steps.withColumn("_t", F.sinh(_atanh(sin) - k["e"] * _atanh(k["e"] * sin)))
+    t = F.col("_t")
+    steps = steps.withColumns({
+        "_xi": F.atan2(t, F.cos("_lam")), "_eta": _atanh(F.sin("_lam") / F.sqrt(1 + t * t))})
+    terms = range(1, 4)
+    east = "_eta + " + " + ".join(f"{k[f'a{j}']!r}D * cos({2 * j} * _xi) * sinh({2 * j} * _eta)" for j in terms)
+    north = "_xi + " + " + ".join(f"{k[f'a{j}']!r}D * sin({2 * j} * _xi) * cosh({2 * j} * _eta)" for j in terms)
+    scale = F.lit(UTM_SCALE * k["A"])
+    return steps.withColumns({
+        "x": FALSE_EASTING + scale * F.expr(east),
+        "y": scale * F.expr(north) + F.when(south, FALSE_NORTHING_SOUTH).otherwise(0.0),
+    }).drop("_sin", "_lam", "_t", "_xi", "_eta")
 
 
 def wrap_longitude(lon: Column) -> Column:

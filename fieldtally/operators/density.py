@@ -109,17 +109,22 @@ def density_clusters(points: DataFrame, by: Sequence[str], eps: float = 100.0, m
     bits = _COARSE_BITS + _FINE_BITS
     fx, fy = _fine_index(F.col("x"), side), _fine_index(F.col("y"), side)
     placed = here.select(*by, "x", "y", "n", _box(fx, fy, bits).alias("cell"),
-                         _box(fx, fy, _FINE_BITS).alias("coarse"), _box(fx, fy, 0).alias("fine"))
+                         _box(fx, fy, _FINE_BITS).alias("coarse"), _box(fx, fy, 0).alias("fine"),
+                         cell_key(*[F.floor(F.col(c) / (eps * (1 + 1e-9))) for c in ("x", "y")]).alias("block"))
+    # written down here, or the joins below would push their null checks on cells into
+    # whatever the coordinates are computed from, and compute them once per branch
+    placed = cut_lineage(placed)
     per_cell = placed.groupBy(*by, "cell").agg(F.sum("n").alias("cell_n"))
-    placed = cut_lineage(placed.join(per_cell, [*by, "cell"]))
+    placed = placed.join(per_cell, [*by, "cell"])
 
     def around(thin: DataFrame) -> DataFrame:
+        """Probes into the blocks, `eps` wide, that hold everything within `eps`."""
         return thin.select(*by, F.col("x").alias("px"), F.col("y").alias("py"),
-                           F.explode(_neighbours("cell")).alias("cell"))
+                           F.explode(_neighbours("block", 1)).alias("block"))
 
     thin = placed.filter(F.col("cell_n") < min_samples)
     counted = (
-        around(thin).join(placed.select(*by, "cell", "x", "y", "n"), [*by, "cell"])
+        around(thin).join(placed.select(*by, "block", "x", "y", "n"), [*by, "block"])
         .filter(_apart("px", "py", "x", "y") <= eps)
         .groupBy(*by, F.col("px").alias("x"), F.col("py").alias("y")).agg(F.sum("n").alias("close"))
     )
@@ -127,14 +132,14 @@ def density_clusters(points: DataFrame, by: Sequence[str], eps: float = 100.0, m
         placed.join(counted.filter(F.col("close") >= min_samples).select(*by, "x", "y", F.lit(True).alias("dense_spot")),
                     [*by, "x", "y"], "left")
         .withColumn("core", (F.col("cell_n") >= min_samples) | F.col("dense_spot").isNotNull())
-        .select(*by, "x", "y", "n", "cell", "coarse", "fine", "core"))
+        .select(*by, "x", "y", "n", "cell", "coarse", "fine", "block", "core"))
     core = flagged.filter("core")
     links = _linked_cells(core, by, eps).select(*by, F.col("cell_a").alias("a"), F.col("cell_b").alias("b"))
     labels = components(core.select(*by, F.col("cell").alias("v")).distinct(), links, by)
     in_core = core.join(labels.select(*by, F.col("v").alias("cell"), F.col("label").alias("cluster")), [*by, "cell"])
     outer = flagged.filter(~F.col("core"))
     border = (
-        around(outer).join(in_core.select(*by, "cell", "x", "y", "cluster"), [*by, "cell"])
+        around(outer).join(in_core.select(*by, "block", "x", "y", "cluster"), [*by, "block"])
         .filter(_apart("px", "py", "x", "y") <= eps)
         .groupBy(*by, F.col("px").alias("x"), F.col("py").alias("y")).agg(F.min("cluster").alias("cluster"))
     )

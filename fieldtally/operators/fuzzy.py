@@ -17,14 +17,14 @@ from pyspark.sql import types as T
 
 
 
-def _edit_budget(cutoff: float) -> Callable[[Column, Column], Column]:
+def _edit_budget(cutoff: float, score: str) -> Callable[[Column, Column], Column]:
     """Upper bound of edits between names of lengths a and b that score at least `cutoff`.
 
-    Covers both scores: 1 - levenshtein / max(a, b), and 2·M / (a + b), whose unmatched
+    'edits' is 1 - levenshtein / max(a, b); 'ratio' is 2·M / (a + b), whose unmatched
     letters number at most (1 - cutoff)(a + b).
     """
-    slack = 1 - cutoff
-    return lambda a, b: F.floor(F.lit(slack) * (a + b) + 1e-9).cast("int")
+    size = F.greatest if score == "edits" else lambda a, b: a + b
+    return lambda a, b: F.floor((1 - cutoff) * size(a, b) + 1e-9).cast("int")
 
 
 def _segment_start(length: Column, parts: Column, i: Column) -> Column:
@@ -32,16 +32,17 @@ def _segment_start(length: Column, parts: Column, i: Column) -> Column:
     return F.floor(i * length / parts).cast("int")
 
 
-def candidates(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
+def candidates(left: DataFrame, right: DataFrame, cutoff: float, score: str = "ratio") -> DataFrame:
     """Pairs `(block, l_name, r_name)` that may score at least `cutoff`.
 
     Both inputs hold `(block, name)`; names are compared as distinct values.
     """
-    budget = _edit_budget(cutoff)
+    budget = _edit_budget(cutoff, score)
     r = right.select("block", F.col("name").alias("r_name")).distinct().withColumn("rl", F.length("r_name"))
     l = left.select("block", F.col("name").alias("l_name")).distinct().withColumn("ll", F.length("l_name"))
     # lengths a partner may have
-    low, high = cutoff / (2 - cutoff), (2 - cutoff) / cutoff
+    low = cutoff if score == "edits" else cutoff / (2 - cutoff)
+    high = 1 / low
 
     def partner_lengths(n: Column) -> Column:
         return F.explode(F.sequence(F.greatest(F.ceil(n * low - 1e-9), F.lit(1)).cast("int"),
@@ -70,9 +71,10 @@ def candidates(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
         (F.col("at") >= 0) & (F.col("at") + F.col("n") <= F.col("ll")))
     probes = probes.select("block", "l_name", "rl", "t", "i",
                            F.col("l_name").substr(F.col("at") + 1, F.col("n")).alias("seg")).distinct()
-    pairs = probes.join(indexed, ["block", "rl", "t", "i", "seg"]).select("block", "l_name", "r_name", "t").distinct()
-    # the budget bounds the edits as well: cheap to check before any costlier score
-    return pairs.filter(F.expr("levenshtein(l_name, r_name, t) >= 0")).select("block", "l_name", "r_name")
+    pairs = probes.join(indexed, ["block", "rl", "t", "i", "seg"])
+    # the budget bounds the edits as well: cheap to check before pairs are shuffled or scored
+    close = pairs.filter(F.expr("levenshtein(l_name, r_name, t) >= 0"))
+    return close.select("block", "l_name", "r_name").distinct()
 
 
 def edit_similarity(a: Column, b: Column) -> Column:
@@ -101,7 +103,7 @@ def best_match(left: DataFrame, right: DataFrame, cutoff: float = 0.9, score: st
     `score` is 'ratio' (difflib's) or 'edits' (Levenshtein, all in the JVM). Ties go to
     the name that is greater in order, as a heap of (score, name) pairs would have it.
     """
-    pairs = candidates(left, right, cutoff)
+    pairs = candidates(left, right, cutoff, score)
     measure = matching_ratio if score == "ratio" else edit_similarity
     scored = pairs.withColumn("score", measure(F.col("l_name"), F.col("r_name"))).filter(
         F.col("score") >= cutoff - 1e-12)

@@ -136,7 +136,8 @@ def nearest(points: DataFrame, edges: DataFrame, key: str, max_distance: float |
         .select("level", F.expr("shiftright(cx, level)").alias("cx"), F.expr("shiftright(cy, level)").alias("cy"), "v")
         .groupBy("level", "cx", "cy").agg(F.min("v").alias("v"))
     )
-    where = points.select(key, F.col(lon).alias("px"), F.col(lat).alias("py"))
+    # shuffled by key before the levels are listed, so that the grouping below stays in place
+    where = points.select(key, F.col(lon).alias("px"), F.col(lat).alias("py")).repartition(key)
     looked = (
         where.select("*", cell(F.col("px"), 0).alias("cx"), cell(F.col("py"), 1).alias("cy"), level)
         .withColumn("cx", F.expr("shiftright(cx, level)")).withColumn("cy", F.expr("shiftright(cy, level)"))

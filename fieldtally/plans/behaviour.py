@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from ..functions.classify import (
     ARCHETYPES_2, LOW_ACCURACY_SPECIES, TARGET_SPECIES, archetype, target_species_flag,
 )
-from ..functions.geodesy import utm_xy, utm_zone, valid_point
+from ..functions.geodesy import utm_zone, valid_point, with_utm
 from ..functions.numeric import capped, clip_at_zero, damped_log, harmonic_mean, percent, ratio
 from ..functions.periods import months_since
 from ..operators.density import cluster_counts, density_clusters
 from ..operators.filters import TOTAL, during, only_entity, only_type
 from ..operators.tables import counts_by, join_hot, top_one, wide_counts, with_scale
 from ..operators.timeseries import regular
+from ..session import cut_lineage
 from .participation import labelled_inflow_long
 
 HQ = [a for a in ARCHETYPES_2 if a.startswith("HQ-")]
@@ -28,8 +29,7 @@ def projected(points: DataFrame, user: str = "user_id") -> DataFrame:
     centre = points.groupBy(user).agg(F.avg("lon").alias("m_lon"), F.avg("lat").alias("m_lat")).select(
         user, utm_zone(F.col("m_lon")).alias("zone"), (F.col("m_lat") < 0).alias("south"))
     valid = points.filter(valid_point(F.col("lon"), F.col("lat")))
-    x, y = utm_xy(F.col("lon"), F.col("lat"), F.col("zone"), F.col("south"))
-    return join_hot(valid, centre, [user]).select(*valid.columns, x.alias("x"), y.alias("y"))
+    return with_utm(join_hot(valid, centre, [user]), F.col("zone"), F.col("south")).drop("zone", "south")
 
 
 def dispersion(x: Column, y: Column) -> Column:
@@ -54,11 +54,12 @@ def user_features(reports: DataFrame, report_type: str | None = None, min_sample
     basic = points.groupBy("user_id").agg(
         F.count("*").alias("rows"), F.count(F.when(ok, 1)).alias("valid"),
         F.avg("lon").alias("m_lon"), F.avg("lat").alias("m_lat"))
-    metres = projected(points)
+    # read by the spread and by the clusters
+    metres = cut_lineage(projected(points).select("user_id", "x", "y"))
     spread = metres.groupBy("user_id").agg(dispersion(F.col("x"), F.col("y")).alias("spread"))
     busy = basic.filter(F.col("rows") >= min_samples).select("user_id")
     clusters = cluster_counts(
-        density_clusters(join_hot(metres.select("user_id", "x", "y"), busy, ["user_id"]), ["user_id"], eps, min_samples),
+        density_clusters(metres.join(busy, "user_id", "left_semi"), ["user_id"], eps, min_samples),
         ["user_id"])
     several = F.col("rows") > 1
     return basic.join(spread, "user_id", "left").join(clusters, "user_id", "left").select(

@@ -73,10 +73,9 @@ def _sample(spark, d):
 
 def _utm(spark, d):
     p = proxy.points(spark, d)
-    zone, south = geodesy.utm_zone(F.col("lon")), F.col("lat") < 0
-    x, y = geodesy.utm_xy(F.col("lon"), F.col("lat"), zone, south)
-    return p.select("point_id", geodesy.utm_epsg(F.col("lon"), F.col("lat")).alias("epsg"),
-                    F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+    placed = geodesy.with_utm(p, geodesy.utm_zone(F.col("lon")), F.col("lat") < 0)
+    return placed.select("point_id", geodesy.utm_epsg(F.col("lon"), F.col("lat")).alias("epsg"),
+                         F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
 def _valid(spark, d):

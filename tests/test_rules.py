@@ -65,7 +65,8 @@ def _snyder(lon, lat, lon0):
 
 @pytest.mark.parametrize("lon, lat", [(3.0, 0.0), (3.0, 48.0), (2.294497, 48.858222), (5.9, 10.0), (0.2, 60.0)])
 def test_utm(spark, lon, lat):
-    row = spark.range(1).select(*geodesy.utm_xy(F.lit(lon), F.lit(lat), F.lit(31), F.lit(False))).first()
+    df = spark.createDataFrame([(lon, lat)], "lon double, lat double")
+    row = geodesy.with_utm(df, F.lit(31), F.lit(False)).select("x", "y").first()
     x, y = _snyder(lon, lat, 3)
     assert abs(row[0] - x) < 0.01 and abs(row[1] - y) < 0.01
 

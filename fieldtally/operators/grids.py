@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.geodesy import cell_index, global_cell, spherical_cell_area
 from ..functions.numeric import ratio
 from .spatial import containing, covers, nearest, polygon_cells, search_levels
+from .tables import join_hot
 
 
 def make_grid(spark: SparkSession, lat_range: tuple[float, float] = (-90, 90),
@@ -100,7 +101,7 @@ def regrid_nearest(source: DataFrame, target: DataFrame, lon0: float, dlon: floa
     """
     keyed = target.withColumn("ix", nearest_index(F.col("lon"), lon0, dlon, n_lon, periodic=True)).withColumn(
         "iy", nearest_index(F.col("lat"), lat0, dlat, n_lat))
-    return keyed.join(source, ["ix", "iy"]).drop("ix", "iy")
+    return join_hot(keyed, source, ["ix", "iy"]).drop("ix", "iy")
 
 
 def interpolate(source: DataFrame, points: DataFrame, key: str, value: str, lon0: float, dlon: float,
@@ -119,17 +120,16 @@ def interpolate(source: DataFrame, points: DataFrame, key: str, value: str, lon0
     # corners without weight need no source cell
     wanted = placed.select(key, F.explode(F.filter(corners, lambda c: c["w"] > 0)).alias("c"),
                            F.size(F.filter(corners, lambda c: c["w"] > 0)).alias("need")).select(key, "c.*", "need")
-    met = wanted.join(source.select("ix", "iy", *by, value), ["ix", "iy"])
+    met = join_hot(wanted, source.select("ix", "iy", *by, value), ["ix", "iy"])
     return met.groupBy(key, *by).agg(
         F.when(F.count(value) == F.max("need"), F.sum(F.col("w") * F.col(value))).alias(value))
 
 
-def extract_at(source: DataFrame, points: DataFrame, lon0: float, dlon: float, n_lon: int,
-               lat0: float, dlat: float, n_lat: int) -> DataFrame:
+def extract_at(source: DataFrame, points: DataFrame, lon0: float, dlon: float, lat0: float, dlat: float) -> DataFrame:
     """Values of the cell whose centre is nearest to each point; points off the grid have none."""
     i, j = F.ceil((F.col("lon") - lon0) / dlon - 0.5).cast("bigint"), F.ceil((F.col("lat") - lat0) / dlat - 0.5).cast("bigint")
     keyed = points.withColumn("ix", i).withColumn("iy", j)
-    return keyed.join(source, ["ix", "iy"], "left").drop("ix", "iy")
+    return join_hot(keyed, source, ["ix", "iy"], "left").drop("ix", "iy")
 
 
 def global_cells(points: DataFrame, resolution: int) -> DataFrame:

@@ -12,11 +12,10 @@ from ..session import cut_lineage
 
 def min_max_scaled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns scaled to 0…1 by their global range; a constant column becomes 0."""
-    bounds = df.agg(*[F.min(c).alias(f"lo_{c}") for c in columns], *[F.max(c).alias(f"hi_{c}") for c in columns])
-    # one row by construction
-    joined = df.join(F.broadcast(bounds))
-    return joined.select(*[
-        F.coalesce(F.try_divide(F.col(c) - F.col(f"lo_{c}"), F.col(f"hi_{c}") - F.col(f"lo_{c}")),
+    bounds = df.agg(F.struct(*[F.min(c).alias(f"lo_{c}") for c in columns],
+                             *[F.max(c).alias(f"hi_{c}") for c in columns])).scalar()
+    return df.select(*[
+        F.coalesce(F.try_divide(F.col(c) - bounds[f"lo_{c}"], bounds[f"hi_{c}"] - bounds[f"lo_{c}"]),
                    F.when(F.col(c).isNotNull(), 0.0)).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
@@ -55,9 +54,10 @@ def nearest_users(df: DataFrame, key: str, numeric: Sequence[str], categories: S
     scaled = min_max_scaled(df.select(key, *numeric, *categories), numeric)
     features = [*categories, *numeric]
     first_keys = F.slice(F.array_sort(F.collect_list(key)), 1, k + 1)
-    # the k + 1 smallest keys per spot, by bounded merging: salted halves first
-    halves = scaled.withColumn("_h", F.pmod(F.xxhash64(key), F.lit(64)))
-    ranked = halves.withColumn("_r", F.row_number().over(Window.partitionBy(*features, "_h").orderBy(key))).filter(
+    # a limit on a row number is applied before the shuffle as well, so a spot shared by
+    # very many rows arrives as k + 1 rows per task; salting spreads even those
+    salted = scaled.withColumn("_h", F.pmod(F.xxhash64(key), F.lit(64)))
+    ranked = salted.withColumn("_r", F.row_number().over(Window.partitionBy(*features, "_h").orderBy(key))).filter(
         F.col("_r") <= k + 1)
     spots = ranked.groupBy(*features).agg(first_keys.alias("keys"))
     sizes = scaled.groupBy(*features).agg(F.count("*").alias("n"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geodesy import cell_index
+from .tables import join_hot
 
 # Slack on cell borders: a rounding error must not hide an edge; extra edges do no harm.
 _SLACK = 1e-9
@@ -212,9 +213,9 @@ def assign_areas(points: DataFrame, polygons: DataFrame, key: str, max_distance:
 def sample_pixels(points: DataFrame, pixels: DataFrame, x0: float, y0: float, size: float,
                   lon: Column, lat: Column) -> DataFrame:
     """Pixel values under each point of a north-up grid; points off the grid are dropped."""
-    return points.withColumn("ix", cell_index(lon, x0, size)).withColumn(
-        "iy", F.floor((F.lit(y0) - lat) / size).cast("bigint")
-    ).join(pixels, ["ix", "iy"]).drop("ix", "iy")
+    placed = points.withColumn("ix", cell_index(lon, x0, size)).withColumn(
+        "iy", F.floor((F.lit(y0) - lat) / size).cast("bigint"))
+    return join_hot(placed, pixels, ["ix", "iy"]).drop("ix", "iy")
 
 
 def search_levels(extent: float, size: float) -> int:

@@ -129,7 +129,7 @@ def padded(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), fill
 
 
 def join_hot(many: DataFrame, one: DataFrame, keys: Sequence[str], how: str = "inner", salt: int = 8) -> DataFrame:
-    """Join a table with very frequent keys to one with a single row per key.
+    """Join a table with very frequent keys to one with few rows per key.
 
     Rows of a frequent key are spread by a hash of the whole row (the same after a task
     is run again), and the other side is repeated per salt.

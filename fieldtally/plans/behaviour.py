@@ -59,7 +59,7 @@ def user_features(reports: DataFrame, report_type: str | None = None, min_sample
     spread = metres.groupBy("user_id").agg(dispersion(F.col("x"), F.col("y")).alias("spread"))
     busy = basic.filter(F.col("rows") >= min_samples).select("user_id")
     clusters = cluster_counts(
-        density_clusters(metres.join(busy, "user_id", "left_semi"), ["user_id"], eps, min_samples),
+        density_clusters(join_hot(metres, busy, ["user_id"]), ["user_id"], eps, min_samples),
         ["user_id"])
     several = F.col("rows") > 1
     return basic.join(spread, "user_id", "left").join(clusters, "user_id", "left").select(

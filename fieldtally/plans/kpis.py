@@ -172,11 +172,10 @@ def sampling_coverage(effort: DataFrame, pixels: DataFrame, legend: DataFrame, s
 
 def headline(inflow_table: DataFrame, activity_table: DataFrame) -> DataFrame:
     """Totals of reports by type and of users, with new and active users as percent of the registered ones."""
-    reports = inflow_table.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in REPORT_TYPES])
-    users = activity_table.agg(*[F.sum(c).alias(c) for c in ("registered", "new", "active")])
-    # both sides are one row by construction
-    both = reports.join(F.broadcast(users))
-    return both.select(
+    users = ["registered", "new", "active"]
+    rows = inflow_table.select(*REPORT_TYPES).unionByName(activity_table.select(*users), allowMissingColumns=True)
+    totals = rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in [*REPORT_TYPES, *users]])
+    return totals.select(
         "*",
         percent(F.col("new"), F.col("registered")).alias("new_of_registered"),
         percent(F.col("active"), F.col("registered")).alias("active_of_registered"),

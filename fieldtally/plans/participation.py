@@ -95,7 +95,7 @@ def active_shares(reports: DataFrame, codes: DataFrame, users: DataFrame, scale:
     return regular(after_first(table), freq, fill=0)
 
 
-def _user_days(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+def user_days(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """First and last upload of each user and day.
 
     The calendar bounds the rows left per user, however often that user reports, and
@@ -106,7 +106,7 @@ def _user_days(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _retained(user_days: DataFrame, keys: Sequence[str], freq: str, span: str) -> DataFrame:
+def _retained(days_of_users: DataFrame, keys: Sequence[str], freq: str, span: str) -> DataFrame:
     """Share of the users of each period that had reported before within `span`.
 
     An upload is a return when the gap to the user's previous upload is short enough.
@@ -115,7 +115,7 @@ def _retained(user_days: DataFrame, keys: Sequence[str], freq: str, span: str) -
     """
     line = Window.partitionBy(*keys, "user_id").orderBy("day")
     returns = (F.col("n") > 1) | F.coalesce(within_span(F.lag("last").over(line), F.col("first"), span), F.lit(False))
-    days = user_days.select(*keys, "user_id", period_start(F.col("day"), freq).alias("period"),
+    days = days_of_users.select(*keys, "user_id", period_start(F.col("day"), freq).alias("period"),
                             returns.alias("returned"))
     # uploads without a user stay as rows, but count as nobody
     users = days.groupBy(*keys, "user_id", "period").agg(F.max("returned").alias("returned"))
@@ -128,20 +128,20 @@ def retention(reports: DataFrame, codes: DataFrame, scale: str, entity: str = TO
               report_type: str | None = None, span: str = "1 year") -> DataFrame:
     """Percent of the users of a period whose previous upload lies within `span`."""
     rows = within_entity(only_type(reports, report_type), codes, scale, entity)
-    table = _retained(_user_days(rows, []), [], freq, span)
+    table = _retained(user_days(rows, []), [], freq, span)
     return regular(table, freq, fill=0)
 
 
-def _merged_days(user_days: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _merged_days(days_of_users: DataFrame, keys: Sequence[str]) -> DataFrame:
     """User days of several groups put together under new keys."""
-    return user_days.groupBy(*keys, "user_id", "day").agg(
+    return days_of_users.groupBy(*keys, "user_id", "day").agg(
         F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
 
 
 def retention_by_entity(reports: DataFrame, codes: DataFrame, scale: str, entities: Sequence[str],
                         freq: str = "month", report_type: str | None = None, span: str = "1 year") -> DataFrame:
     """`retention` of several entities ('Total' among them) in one pass, long form."""
-    per_area = _user_days(with_scale(only_type(reports, report_type), codes, scale), [scale])
+    per_area = user_days(with_scale(only_type(reports, report_type), codes, scale), [scale])
     tagged = _merged_days(per_area.withColumn("entity", F.explode(entity_tags(scale, entities))), ["entity"])
     return regular(_retained(tagged, ["entity"], freq, span), freq, by=["entity"], fill=0)
 
@@ -149,7 +149,7 @@ def retention_by_entity(reports: DataFrame, codes: DataFrame, scale: str, entiti
 def retention_exports(reports: DataFrame, codes: DataFrame, scale: str, entities: Sequence[str],
                       report_types: Sequence[str], freq: str = "month", span: str = "1 year") -> DataFrame:
     """`retention` for every combination of entity and report type ('all' for any type) in one pass."""
-    per_area = _user_days(with_scale(reports, codes, scale), [scale, "report_type"])
+    per_area = user_days(with_scale(reports, codes, scale), [scale, "report_type"])
     own_type = F.when(F.col("report_type").isin([t for t in report_types if t]), F.col("report_type"))
     types = F.array_compact(F.array(own_type, *([F.lit("all")] if "" in report_types else [])))
     tagged = (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, numeric, periods, text
@@ -212,8 +213,7 @@ def _user_counts(spark, d):
 
 
 def _previous_day(spark, d):
-    from pyspark.sql import Window
-    days = participation._user_days(_reports(spark, d), [])
+    days = participation.user_days(_reports(spark, d), [])
     line = Window.partitionBy("user_id").orderBy("day")
     return days.select("user_id", F.col("day").cast("timestamp_ntz").alias("day"), F.lag("last").over(line).alias("previous"))
 

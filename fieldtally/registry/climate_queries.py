@@ -91,8 +91,8 @@ def _regrid(spark, d):
 def _regrid_difference(spark, d):
     """Regridded values against the ones of a second grid."""
     out = grids.regrid_nearest(_source(spark, d), _points(spark, d), 0.0, DLON, NLON, LAT0, DLAT, NLAT)
-    native = grids.extract_at(_source(spark, d).withColumnRenamed("human_presence", "native"), out, LON0, DLON, NLON,
-                              LAT0, DLAT, NLAT)
+    native = grids.extract_at(_source(spark, d).withColumnRenamed("human_presence", "native"), out, LON0, DLON,
+                              LAT0, DLAT)
     return rounded(native.select("point_id", (F.col("human_presence") - F.col("native")).alias("difference")))
 
 
@@ -102,7 +102,7 @@ def _interpolate(spark, d):
 
 
 def _extract(spark, d):
-    out = grids.extract_at(_source(spark, d), _points(spark, d), LON0, DLON, NLON, LAT0, DLAT, NLAT)
+    out = grids.extract_at(_source(spark, d), _points(spark, d), LON0, DLON, LAT0, DLAT)
     return rounded(out.select("point_id", "human_presence"))
 
 

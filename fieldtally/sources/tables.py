@@ -63,9 +63,8 @@ def by_day(df: DataFrame, period: str = "period") -> DataFrame:
 
 def write_json_by_day(df: DataFrame, path: str, period: str = "period") -> None:
     """JSON lines `{"YYYY-MM-DD": {column: value, ...}}`, one per period."""
-    rows = by_day(df, period)
-    rows.select(F.concat(F.lit("{"), F.to_json(F.struct(period)).substr(F.lit(11 + len(period) - 6), F.lit(12)),
-                         F.lit(":"), F.col("record"), F.lit("}")).alias("value")).write.mode("overwrite").text(path)
+    line = F.concat(F.lit('{"'), F.col(period), F.lit('":'), F.col("record"), F.lit("}"))
+    by_day(df, period).select(line.alias("value")).write.mode("overwrite").text(path)
 
 
 def write_by_parameters(df: DataFrame, path: str, *parameters: str) -> None:

@@ -15,9 +15,8 @@ from ..operators.spatial import assign_areas, sample_pixels
 from ..operators.tables import align, append, overwrite_where_known, top_one, unseen
 from ..sources.tables import read_parquet, write_parquet
 
-# The app package whose first versions are test data, and its start day.
-APP_PACKAGE, APP_MIN_VERSION, CAMPAIGN_START = "ceab.movelab.tigatrapp", 3, "2014-06-24"
-TEST_NOTE = "#345"
+# Last test version of the own app, first day of the campaign, note of test reports.
+LAST_TEST_VERSION, CAMPAIGN_START, TEST_NOTE = 3, "2014-06-24", "#345"
 
 REPORT_COLUMNS = [
     "version_uuid", "user_id", "observation_date_utc", "upload_date_utc", "validation_date_utc", "validated",
@@ -25,16 +24,17 @@ REPORT_COLUMNS = [
 ]
 
 
-def extract_reports(records: DataFrame, uploads: DataFrame, annotations: DataFrame) -> DataFrame:
+def extract_reports(records: DataFrame, uploads: DataFrame, annotations: DataFrame, app: str) -> DataFrame:
     """Raw reports: map records with their upload and the last completed annotation.
 
-    The conditions on the upload make its join an inner one.
+    `app` is the package name of the own app. The conditions on the upload make its
+    join an inner one.
     """
     last = annotations.filter(F.col("validation_complete") & F.col("category_id").isNotNull()).groupBy(
         F.col("report_id").alias("version_uuid")).agg(F.max("last_modified").alias("max_last_modified"))
     kept = uploads.filter(
         from_known_app(F.col("package_name"), F.col("package_version"), F.col("creation_time"),
-                       F.col("version_number"), APP_PACKAGE, APP_MIN_VERSION, CAMPAIGN_START)
+                       F.col("version_number"), app, LAST_TEST_VERSION, CAMPAIGN_START)
         & differs(F.col("note"), F.lit(TEST_NOTE)) & differs(F.col("note"), F.lit(TEST_NOTE + "\n"))
     ).select(F.col("version_UUID").alias("version_uuid"), "user_id", "server_upload_time", "hide")
     return records.join(kept, "version_uuid").join(last, "version_uuid", "left").select(

@@ -11,19 +11,20 @@ from .tables import read_database, write_parquet
 
 Load = Callable[[str], DataFrame]
 
-# The extracts as Spark jobs: name -> the source tables it reads, by role, and what it makes of them.
-EXTRACTS: dict[str, Callable[[Load], DataFrame]] = {
-    "reports": lambda t: etl.extract_reports(t("records"), t("uploads"), t("annotations")),
-    "app_users": lambda t: t("users").select("user_UUID", "registration_time", "last_score_update", "score_v2"),
-    "sampling_effort": lambda t: etl.extract_sampling_effort(t("fixes")),
-    "reports_response": lambda t: t("responses").select("version_uuid", "answer_id", "question_id"),
-}
-
-
-def run_extracts(load: Load, save: Callable[[DataFrame, str], None],
-                 extracts: Mapping[str, Callable[[Load], DataFrame]] = EXTRACTS) -> None:
+def extracts(app: str) -> dict[str, Callable[[Load], DataFrame]]:
+    """The extracts as Spark jobs: name -> what it makes of the source tables it loads by role."""
+    return {
+        "reports": lambda t: etl.extract_reports(t("records"), t("uploads"), t("annotations"), app),
+        "app_users": lambda t: t("users").select("user_UUID", "registration_time", "last_score_update", "score_v2"),
+        "sampling_effort": lambda t: etl.extract_sampling_effort(t("fixes")),
+        "reports_response": lambda t: t("responses").select("version_uuid", "answer_id", "question_id"),
+    }
+
+
+def run_extracts(jobs: Mapping[str, Callable[[Load], DataFrame]], load: Load,
+                 save: Callable[[DataFrame, str], None]) -> None:
     """Run every extract over tables found by role; each save is one job."""
-    for name, build in extracts.items():
+    for name, build in jobs.items():
         save(build(load), name)
 
 

@@ -15,7 +15,7 @@ def test_refresh_writes_every_table_and_updates_codes(spark, tmp_path):
         "human_presence", "reports_codes")}
     sources = {"records": proxy.map_records, "uploads": proxy.uploads, "annotations": proxy.annotations,
                "users": proxy.raw_users, "fixes": proxy.fixes, "responses": proxy.reports_response}
-    extraction.run_extracts(lambda n: sources[n](spark, D), lambda df, n: tables.write_parquet(df, paths[n]))
+    extraction.run_extracts(extraction.extracts(proxy.OWN_APP), lambda n: sources[n](spark, D), lambda df, n: tables.write_parquet(df, paths[n]))
     for name, make in (("areas", proxy.areas), ("ecoregions", proxy.eco_layer), ("pixels", proxy.pixels)):
         tables.write_parquet(make(spark, D), paths[name])
     layer = proxy.polygons(spark, D).withColumn("level_name", F.lit("l"))

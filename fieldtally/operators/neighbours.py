@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .tables import join_hot
 
 
 def min_max_scaled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -78,8 +79,9 @@ def nearest_users(df: DataFrame, key: str, numeric: Sequence[str], categories: S
     cats = list(categories)
     populated = at_level(placed.select(*cats, "kept", *cells)).groupBy(*cats, "level", *cells).agg(
         F.sum("kept").alias("there"))
-    enough = at_level(placed.select(*features, *cells)).join(
-        populated.filter(F.col("there") >= k + 1), [*cats, "level", *cells])
+    # coarse cells hold many spots each
+    enough = join_hot(at_level(placed.select(*features, *cells)),
+                      populated.filter(F.col("there") >= k + 1), [*cats, "level", *cells])
     # cell of side s: no two of its points differ by more than s per coordinate
     side = F.pow(F.lit(2.0), F.col("level") - depth)
     bound = enough.groupBy(*features).agg((F.min(side) * len(numeric)).alias("reach"))

@@ -159,6 +159,11 @@ def nearest(points: DataFrame, edges: DataFrame, key: str, max_distance: float |
         F.expr("shiftright(cy, level)").alias("by"), F.explode(around).alias("o"), _salt(F.col(key), salt).alias("salt")
     ).select(key, "px", "py", "reach", "level", (F.col("bx") + F.col("o.i")).alias("cx"),
              (F.col("by") + F.col("o.j")).alias("cy"), "salt")
+    # of the nine cells only those the circle of the bound reaches
+    gaps = [f"greatest({o!r}D + {c} * side - {p}, {p} - {o!r}D - ({c} + 1) * side, 0D)"
+            for o, c, p in ((float(origin[0]), "cx", "px"), (float(origin[1]), "cy", "py"))]
+    asked = asked.withColumn("side", F.pow(F.lit(2.0), F.col("level")) * size).filter(
+        F.expr(f"pow({gaps[0]}, 2) + pow({gaps[1]}, 2) <= pow(reach, 2) * (1 + 1e-9) + 1e-18")).drop("side")
 
     spans = edges.select(
         "code", "x1", "y1", "x2", "y2", level,

@@ -42,12 +42,13 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mo
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> None:
     """Table bucketed and sorted by a join key: later joins on that key need no shuffle.
 
     Meant for reports and codes, which every indicator joins on the report key.
     """
-    df.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    writer = df.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:

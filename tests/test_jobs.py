@@ -70,3 +70,29 @@ def test_checkpoint_folder_of_the_session_is_used(spark):
     from fieldtally.session import cut_lineage
     assert cut_lineage(spark.range(3)).count() == 3
     assert spark.sparkContext.getCheckpointDir() is not None
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
+    tables.write_bucketed(proxy.reports(spark, D, False), "b_reports", "version_uuid", 4, str(tmp_path / "r"))
+    tables.write_bucketed(proxy.reports_codes(spark, D), "b_codes", "version_uuid", 4, str(tmp_path / "c"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        from fieldtally.operators.tables import with_scale
+        joined = with_scale(spark.table("b_reports"), spark.table("b_codes"), "name_gadm_level0")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert joined.count() == proxy.reports(spark, D, False).count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE b_reports")
+        spark.sql("DROP TABLE b_codes")
+
+
+def test_frequent_keys_join_like_a_plain_join(spark):
+    from fieldtally.operators.tables import join_hot
+    many = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    one = spark.range(2500).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    for how in ("inner", "left"):
+        a = sorted(map(str, join_hot(many, one, ["k"], how).select("k", "v", "w").collect()))
+        b = sorted(map(str, many.join(one, "k", how).select("k", "v", "w").collect()))
+        assert a == b

@@ -16,12 +16,14 @@ from .spatial_queries import ZONE, utm_sql
 EPS, MIN_SAMPLES = 100, 5
 CAMPAIGNS = {"ASIA": "1997-06-23", "EUROPE": "1996-06-01"}
 START = "1996-01-01"
+# Means of short decimals often end on a rounding tie, which the order of a sum would settle; this moves them off it.
+OFF_TIES = 1.23e-07
 
 
 def _features(spark, d):
     f = behaviour.user_features(proxy.points(spark, d), None, MIN_SAMPLES, EPS)
     return f.select("user_id", "n_points", "n_invalid_points",
-                    F.round(F.col("mean_latlon")[0], 10).alias("mean_lon"), F.round(F.col("mean_latlon")[1], 10).alias("mean_lat"),
+                    F.round(F.col("mean_latlon")[0] + OFF_TIES, 6).alias("mean_lon"), F.round(F.col("mean_latlon")[1] + OFF_TIES, 6).alias("mean_lat"),
                     F.round("std_utm", 3).alias("std_utm"), F.round("msd_utm", 3).alias("msd_utm"),
                     "n_random_points", "n_clusters")
 
@@ -271,8 +273,8 @@ _KNN = """SELECT user_id, std_utm, quality_target, coalesce(n_clusters::VARCHAR,
 ORACLE = {
     "model_density_clusters": with_views("SELECT * FROM per_user", "v_points", recursive=True,
                                          extra={"pts": "SELECT * FROM v_points", **cluster_ctes("pts")}),
-    "model_user_features": with_views("""
-        SELECT user_id, n_points, n_invalid_points, round(mean_lon, 10) AS mean_lon, round(mean_lat, 10) AS mean_lat,
+    "model_user_features": with_views(f"""
+        SELECT user_id, n_points, n_invalid_points, round(mean_lon + {OFF_TIES!r}, 6) AS mean_lon, round(mean_lat + {OFF_TIES!r}, 6) AS mean_lat,
                round(std_utm, 3) AS std_utm, round(std_utm, 3) AS msd_utm, n_random_points, n_clusters FROM features""",
         "v_points", recursive=True, extra={"pts": "SELECT * FROM v_points", **_FEATURE_CTES}),
     "model_user_quality": with_views(f"""

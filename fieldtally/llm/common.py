@@ -52,3 +52,9 @@ def text_or_empty(name: str = "text") -> Column:
 
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
+
+
+def words_of(text: Column) -> Column:
+    """The words of a non-null text in order; none for a blank one."""
+    inner = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, BLANKS, -1))

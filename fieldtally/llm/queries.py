@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, secret_scan
+from . import chat_format, decontaminate, line_dedup, mixing, secret_scan
 from .common import load
 
 
@@ -27,5 +27,15 @@ def op4_weighted_fair_queue(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_ownership, op3_chat_round_trip, op4_weighted_fair_queue)}
+def op8_deletion_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.line_report(load(spark, folder, "documents").select("doc_id", "text"))
+
+
+def op10_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
+    docs = load(spark, folder, "documents").select("doc_id", "text")
+    return decontaminate.leaks(docs, load(spark, folder, "benchmark")).drop("text_hash")
+
+
+QUERIES = {f.__name__: f for f in (op2_secret_ownership, op3_chat_round_trip, op4_weighted_fair_queue,
+                                   op8_deletion_neighbours, op10_spaced_seeds)}
 ORACLE: dict[str, str] = {}

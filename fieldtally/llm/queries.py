@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, line_dedup, mixing, secret_scan
+from . import chat_format, decontaminate, jaccard_join, line_dedup, mixing, secret_scan
 from .common import load
 
 
@@ -27,6 +27,11 @@ def op4_weighted_fair_queue(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op6_adaptive_prefix_join(spark: SparkSession, folder: str) -> DataFrame:
+    docs = load(spark, folder, "documents").select("doc_id", "text")
+    return jaccard_join.similar_groups(docs, k=3, num=90, den=100).drop("text_hash", "group")
+
+
 def op8_deletion_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_report(load(spark, folder, "documents").select("doc_id", "text"))
 
@@ -37,5 +42,5 @@ def op10_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op2_secret_ownership, op3_chat_round_trip, op4_weighted_fair_queue,
-                                   op8_deletion_neighbours, op10_spaced_seeds)}
+                                   op6_adaptive_prefix_join,                                   op8_deletion_neighbours, op10_spaced_seeds)}
 ORACLE: dict[str, str] = {}

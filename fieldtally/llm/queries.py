@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, jaccard_join, line_dedup, mixing, secret_scan
+from . import chat_format, decontaminate, embedding_dedup, jaccard_join, line_dedup, mixing, secret_scan
 from .common import load
 
 
+def op1_pigeonhole_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_vectors(load(spark, folder, "embeddings"))
+
+
 def op2_secret_ownership(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.secret_spans(load(spark, folder, "documents"))
 
@@ -41,6 +45,6 @@ def op10_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(docs, load(spark, folder, "benchmark")).drop("text_hash")
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_ownership, op3_chat_round_trip, op4_weighted_fair_queue,
+QUERIES = {f.__name__: f for f in (op1_pigeonhole_vectors, op2_secret_ownership, op3_chat_round_trip, op4_weighted_fair_queue,
                                    op6_adaptive_prefix_join,                                   op8_deletion_neighbours, op10_spaced_seeds)}
 ORACLE: dict[str, str] = {}

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, embedding_dedup, jaccard_join, line_dedup, mixing, secret_scan
+from . import chat_format, decontaminate, embedding_dedup, jaccard_join, line_dedup, mixing, secret_scan, token_records
 from .common import load
 
 
@@ -31,6 +32,12 @@ def op4_weighted_fair_queue(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op5_token_records(spark: SparkSession, folder: str) -> DataFrame:
+    docs = load(spark, folder, "documents").select("doc_id", "text")
+    index = token_records.encoded(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return index.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op6_adaptive_prefix_join(spark: SparkSession, folder: str) -> DataFrame:
     docs = load(spark, folder, "documents").select("doc_id", "text")
     return jaccard_join.similar_groups(docs, k=3, num=90, den=100).drop("text_hash", "group")
@@ -46,5 +53,5 @@ def op10_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pigeonhole_vectors, op2_secret_ownership, op3_chat_round_trip, op4_weighted_fair_queue,
-                                   op6_adaptive_prefix_join,                                   op8_deletion_neighbours, op10_spaced_seeds)}
+                                   op5_token_records, op6_adaptive_prefix_join,                                   op8_deletion_neighbours, op10_spaced_seeds)}
 ORACLE: dict[str, str] = {}

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.components import components
@@ -168,6 +169,20 @@ def _fits(n: Column, m: Column, num: int, den: int) -> Column:
     return F.least(n, m) * den >= F.greatest(n, m) * num
 
 
+def _slack(n: str, m: str, num: int, den: int) -> tuple[Column, Column]:
+    """How many shingles either of two sets may have besides those that a link needs them to share."""
+    need = F.ceil((F.col(n) + F.col(m)) * num / (num + den))
+    return F.col(n) - need, F.col(m) - need
+
+
+def _size(info: str) -> Column:
+    return F.shiftright(F.col(info), 8).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def _matches(info: str) -> Column:
+    return F.col(info).bitwiseAND(F.lit(0xFF)).cast("int")
+
+
 def similar_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Groups of documents linked by similar shingle sets: doc_id, text_hash, n_shingles, component_id, group.
 
@@ -181,43 +196,54 @@ def similar_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
 
     Links are found in two steps that lose none. First every text is held against one text of
     its postings, the one that shares most of its prefix; that ties groups of near copies
-    together with one link each. Then all texts of different groups that share enough of their prefixes are
-    held against each other. Pairs within a group need no look.
+    together with one link each. Then texts of different groups are held against each other if, for their two sizes, a shingle among the first
+    that a link must share is common, and as many as the lesser of the two asks for among those of the longer prefix.
+    Pairs within a group need no look.
     """
     sketch = shingle_sketch(docs, k)
     rows = _prefixes(docs, k, num, den, sketch)
     reps = rows.filter("prefix is not null").groupBy("sig").agg(
-        F.min(F.struct("check", "text_hash", "doc_id")).alias("first")).select(
-        "sig", "first.text_hash", "first.doc_id")
+        F.min(F.struct("check", "text_hash", "doc_id")).alias("first"), F.first("n").alias("n"),
+        F.first("matches").alias("matches"), F.first("prefix").alias("prefix")).select(
+        "sig", "first.text_hash", "first.doc_id", "n", "matches", "prefix")
 
+    # rank, size and matches in one number, which orders by rank first
+    info = F.shiftleft((F.col("rank") * 1000).cast("long"), 40).bitwiseOR(
+        F.shiftleft(F.col("n"), 8)).bitwiseOR(F.col("matches"))
     posting = rows.filter("prefix is not null").select(
-        "sig", F.col("n").cast("int").alias("n"), "matches", "rank",
-        F.explode(F.arrays_zip("prefix", "copies")).alias("x")).select(
-        F.col("x.prefix").alias("token"), F.pmod("sig", F.col("x.copies")).cast("int").alias("part"), "sig", "n",
-        "matches", "rank", (F.col("x.copies") > 1).alias("dealt")).repartition("token", "part")
-    mine = F.struct("rank", "sig", "n", "matches")
-    heads = posting.groupBy("token", "part").agg(F.max(mine).alias("head"), F.min("sig").alias("low"),
-                                                 F.max("sig").alias("high"), F.max("dealt").alias("dealt"))
-    heads = heads.filter((F.col("low") != F.col("high")) | F.col("dealt")).select("token", "part", "head")
-    live = stored(posting.drop("dealt").join(heads, ["token", "part"]), "live-postings")
-
-    stars = live.filter((F.col("sig") != F.col("head.sig")) & _fits(F.col("n"), F.col("head.n"), num, den)).groupBy(
-        "sig", F.col("head.sig").alias("head")).agg(
-        F.count_distinct("token").alias("shared"), F.first(F.least("matches", "head.matches")).alias("asked"),
-        F.first("head.rank").alias("rank"))
-    best = stars.filter("shared >= asked").groupBy("sig").agg(F.max(F.struct("shared", "rank", "head")).alias("best"))
+        "sig", info.alias("info"), F.posexplode(F.arrays_zip("prefix", "copies")).alias("at", "x")).select(
+        F.col("x.prefix").alias("token"), "at", F.when(F.col("x.copies") > 1, F.pmod("sig", F.col("x.copies")))
+        .otherwise(-1).cast("int").alias("part"), "sig", "info").repartition("token", "part")
+    heads = posting.groupBy("token", "part").agg(F.max(F.struct("info", "sig")).alias("head"), F.min("sig").alias("low"),
+                                                 F.max("sig").alias("high"))
+    heads = heads.filter((F.col("low") != F.col("high")) | (F.col("part") >= 0)).select(
+        "token", "part", F.max("head").over(W.partitionBy("token")).alias("head"))  # a row per group of a token
+    live = stored(posting.join(heads, ["token", "part"]).select("token", "at", "sig", "info", "head"), "live-postings")
+
+    stars = live.filter((F.col("sig") != F.col("head.sig")) & _fits(_size("info"), _size("head.info"), num, den))
+    stars = stars.groupBy("sig", F.col("head.sig").alias("head")).agg(
+        F.count_distinct("token").alias("shared"), F.first(F.least(_matches("info"), _matches("head.info"))).alias("asked"),
+        F.first("head.info").alias("info"))
+    best = stars.filter("shared >= asked").groupBy("sig").agg(F.max(F.struct("shared", "info", "head")).alias("best"))
     first = _verified(docs, reps, best.select(F.col("best.head").alias("a"), F.col("sig").alias("b")), k, num, den)
     group = stored(components(first.select(F.explode(F.array("a", "b")).alias("v")).distinct(), first, []), "groups")
 
-    placed = live.select("token", "sig", "n", "matches").distinct().join(
+    placed = live.select("token", "at", "sig", _size("info").alias("n")).distinct().join(
         group.select(F.col("v").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     mixed_tokens = placed.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b")
     placed = stored(placed.join(mixed_tokens.select("token"), "token", "left_semi"), "open-postings")
     x, y = placed.alias("x"), placed.alias("y")
+    slack_x, slack_y = _slack("x.n", "y.n", num, den)
     cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.sig") < F.col("y.sig")) &
-                   (F.col("x.label") != F.col("y.label")) & _fits(F.col("x.n"), F.col("y.n"), num, den))
-    cross = cross.groupBy(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).agg(
-        F.count("*").alias("shared"), F.first(F.least("x.matches", "y.matches")).alias("asked")).filter("shared >= asked")
+                   (F.col("x.label") != F.col("y.label")) & (F.col("x.at") <= slack_x) & (F.col("y.at") <= slack_y))
+    cross = cross.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct()
+    own = [reps.select(F.col("sig").alias(c), F.struct("n", "matches", "prefix").alias(f"of_{c}")) for c in "ab"]
+    cross = cross.join(own[0], "a").join(own[1], "b")
+    slack_x, slack_y = _slack("of_a.n", "of_b.n", num, den)
+    asked = F.least("of_a.matches", "of_b.matches")
+    shared = F.array_intersect(F.slice("of_a.prefix", F.lit(1), (slack_x + asked).cast("int")),
+                               F.slice("of_b.prefix", F.lit(1), (slack_y + asked).cast("int")))
+    cross = cross.filter((slack_x >= 0) & (slack_y >= 0) & (F.size(shared) >= asked))
     second = _verified(docs, reps, cross.select("a", "b"), k, num, den)
 
     links = first.unionByName(second)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # Words are runs of anything but the ASCII blanks (fixed value, as the contracts state it).
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = r"[\x20\x09-\x0D]+"
+# Bits of the filters that leave rows out of a shuffle (1 MB in all).
+FILTER_BITS = 1 << 23
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -46,6 +48,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def maybe_among(df: DataFrame, hashed: Column, wanted: DataFrame, wanted_hash: Column) -> DataFrame:
+    """Rows of `df` whose 64-bit hash may be among those of `wanted`, by a bitmap of FILTER_BITS bits.
+
+    The bitmap is broadcast and has the same size for any input. Rows that pass by chance are for a later
+    join to drop; no wanted row is lost.
+    """
+    bit = F.pmod(wanted_hash, F.lit(FILTER_BITS))
+    parts = wanted.groupBy(F.bitmap_bucket_number(bit).alias("__bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("__bits"))
+    bit = F.pmod(hashed, F.lit(FILTER_BITS))
+    place = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(place, F.lit(8)))).cast("int"), F.lit(2)) == 1
+    return df.join(F.broadcast(parts), F.bitmap_bucket_number(bit) == F.col("__bucket")).filter(hit).select(*df.columns)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import stored, text_or_empty
+from .common import maybe_among, stored, text_or_empty
 from .hashing import mixed, shingles, word_hashes
 
 # Cells of the count sketch that finds frequent shingles: 4 bytes each on the driver and in a task.
@@ -21,8 +21,6 @@ CELLS = 1 << 18
 MOST_MATCHES, VERIFY_COST = 6, 8.0
 # Postings of a frequent shingle are dealt out to groups of about this many texts.
 GROUP = 2000
-# Bits of the filter that leaves texts without candidates out of a shuffle (1 MB in all).
-FILTER_BITS = 1 << 23
 
 
 def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -107,17 +105,6 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray) -
                                          "rank float, prefix array<long>, copies array<int>"), "prefixes")
 
 
-def _filtered(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of `docs` whose text hash may be among `wanted(text_hash)`, by a bitmap of fixed size."""
-    bit = F.pmod(F.col("text_hash"), F.lit(FILTER_BITS))
-    parts = wanted.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
-    place = F.bitmap_bit_position(bit)
-    byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(place, F.lit(8)))).cast("int"), F.lit(2)) == 1
-    return docs.join(F.broadcast(parts), F.bitmap_bucket_number(bit) == F.col("bucket")).filter(hit)
-
-
 def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs(a, b) of set signatures whose sets are similar enough, by exact counting.
 
@@ -134,7 +121,7 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, num: i
     needed = reps.join(members.select("sig").distinct(), "sig").select("sig", F.col("text_hash"), "doc_id")
     text = text_or_empty()
     texts = docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    texts = _filtered(texts, needed.select("text_hash")).select("text_hash", "text").dropDuplicates(["text_hash"])
+    texts = maybe_among(texts, F.col("text_hash"), needed, F.col("text_hash")).dropDuplicates(["text_hash"])
     sets = needed.select("sig", "text_hash").join(texts, "text_hash").select("sig", "text")
     grouped = members.join(sets, "sig").repartition("a", "part").sortWithinPartitions("a", "part", "side")
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, embedding_dedup, jaccard_join, line_dedup, mixing, secret_scan, token_records
+from . import chat_format, decontaminate, embedding_dedup, jaccard_join, line_dedup, mixing, quality, secret_scan, token_records, toxicity
 from .common import load
 
 
@@ -43,15 +43,26 @@ def op6_adaptive_prefix_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.similar_groups(docs, k=3, num=90, den=100).drop("text_hash", "group")
 
 
+def op7_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    docs = load(spark, folder, "documents").select("doc_id", "text")
+    return toxicity.score(docs, load(spark, folder, "labels"))
+
+
 def op8_deletion_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_report(load(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op9_compression(spark: SparkSession, folder: str) -> DataFrame:
+    docs = load(spark, folder, "documents").select("doc_id", "text")
+    return quality.score(docs, load(spark, folder, "labels"))
+
+
 def op10_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
     docs = load(spark, folder, "documents").select("doc_id", "text")
     return decontaminate.leaks(docs, load(spark, folder, "benchmark")).drop("text_hash")
 
 
-QUERIES = {f.__name__: f for f in (op1_pigeonhole_vectors, op2_secret_ownership, op3_chat_round_trip, op4_weighted_fair_queue,
-                                   op5_token_records, op6_adaptive_prefix_join,                                   op8_deletion_neighbours, op10_spaced_seeds)}
+QUERIES = {f.__name__: f for f in (
+    op1_pigeonhole_vectors, op2_secret_ownership, op3_chat_round_trip, op4_weighted_fair_queue, op5_token_records,
+    op6_adaptive_prefix_join, op7_kneser_ney, op8_deletion_neighbours, op9_compression, op10_spaced_seeds)}
 ORACLE: dict[str, str] = {}

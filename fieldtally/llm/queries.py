@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, embedding_dedup, jaccard_join, line_dedup, mixing, quality, secret_scan, token_records, toxicity
+from . import chat_format, decontaminate, embedding_dedup, jaccard_join, line_dedup, mixing, oracles, quality, secret_scan, token_records, toxicity
 from .common import load
 
 
@@ -65,4 +65,4 @@ def op10_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_pigeonhole_vectors, op2_secret_ownership, op3_chat_round_trip, op4_weighted_fair_queue, op5_token_records,
     op6_adaptive_prefix_join, op7_kneser_ney, op8_deletion_neighbours, op9_compression, op10_spaced_seeds)}
-ORACLE: dict[str, str] = {}
+ORACLE = oracles.ORACLE

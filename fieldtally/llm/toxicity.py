@@ -21,7 +21,7 @@ CELLS = 1 << 20
 # Discounts to choose from, by the loss on the calibration fold.
 DISCOUNTS = (0.75, 1.0, 2.0, 3.0, 4.0)
 # Words over which the likelihoods are averaged where they differ most, beside the whole text.
-WINDOW = 4
+WINDOW = 2
 CALIBRATION_DOCUMENTS = 20_000
 
 

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 #   ### Role: text</turn>\n
 # Control strings inside a role or a text are preceded by a backslash, and so is a backslash.
 HEAD, COLON, END = "### ", ": ", "</turn>\n"
-_CONTROLS = re.compile(r"\\|###|</turn>")
-_ROLE_CONTROLS = re.compile(r"\\|###|</turn>|:")
+_CONTROLS = re.compile(r"\\|#(?=##)|</turn>")
+_ROLE_CONTROLS = re.compile(r"\\|#(?=##)|</turn>|:")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 _TURN = re.compile(r"### ((?:\\.|(?!###|</turn>)[^\\:])*): ((?:\\.|(?!###|</turn>)[^\\])*)</turn>\n", re.DOTALL)
 

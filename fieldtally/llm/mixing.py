@@ -105,7 +105,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), epochs: int = 2, sh
     taken = queue.select("row", "size", "source_size", "target").join(counted, "row", "left").select(
         "row", "size", "source_size", "target", F.coalesce("copies", F.lit(0)).alias("copies"))
     taken = taken.withColumn("taken", F.col("copies") * F.col("size"))
-    return table.drop(SIZE).join(taken, F.col(ROW) == F.col("row")).select(*kept, *new)
+    taken = taken.select(F.col("row").alias(ROW), *new)
+    return table.select(ROW, *kept).join(taken, ROW).select(*kept, *new)
 
 
 def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:

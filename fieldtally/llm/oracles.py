@@ -66,7 +66,8 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       sum(length('### ' || role || ': ' || regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g') || '</turn>') + 1)::BIGINT
+       sum(length('### ' || role || ': ' || text || '</turn>') + 1 + len(regexp_extract_all(text, '\\|</turn>')) +
+           coalesce(list_sum(list_transform(regexp_extract_all(text, '#{3,}'), lambda x: length(x) - 2)), 0))::BIGINT
          AS formatted_chars
 FROM c GROUP BY conv_id
 """

@@ -118,7 +118,7 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, num: i
                          F.col("a").alias("sig"), F.lit(0).alias("side"))
     members = stored(left.unionByName(dealt.select("a", F.col("part"), F.col("b").alias("sig"), F.lit(1).alias("side"))),
                      "jaccard-pairs")
-    needed = reps.join(members.select("sig").distinct(), "sig").select("sig", F.col("text_hash"), "doc_id")
+    needed = reps.join(members.select("sig").distinct(), "sig")
     text = text_or_empty()
     texts = docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text"))
     texts = maybe_among(texts, F.col("text_hash"), needed, F.col("text_hash")).dropDuplicates(["text_hash"])
@@ -190,9 +190,7 @@ def similar_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     sketch = shingle_sketch(docs, k)
     rows = _prefixes(docs, k, num, den, sketch)
     reps = rows.filter("prefix is not null").groupBy("sig").agg(
-        F.min(F.struct("check", "text_hash", "doc_id")).alias("first"), F.first("n").alias("n"),
-        F.first("matches").alias("matches"), F.first("prefix").alias("prefix")).select(
-        "sig", "first.text_hash", "first.doc_id", "n", "matches", "prefix")
+        F.min(F.struct("check", "text_hash")).alias("first")).select("sig", "first.text_hash")
 
     # rank, size and matches in one number, which orders by rank first
     info = F.shiftleft((F.col("rank") * 1000).cast("long"), 40).bitwiseOR(
@@ -223,14 +221,25 @@ def similar_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     slack_x, slack_y = _slack("x.n", "y.n", num, den)
     cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.sig") < F.col("y.sig")) &
                    (F.col("x.label") != F.col("y.label")) & (F.col("x.at") <= slack_x) & (F.col("y.at") <= slack_y))
-    cross = cross.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct()
-    own = [reps.select(F.col("sig").alias(c), F.struct("n", "matches", "prefix").alias(f"of_{c}")) for c in "ab"]
-    cross = cross.join(own[0], "a").join(own[1], "b")
-    slack_x, slack_y = _slack("of_a.n", "of_b.n", num, den)
-    asked = F.least("of_a.matches", "of_b.matches")
-    shared = F.array_intersect(F.slice("of_a.prefix", F.lit(1), (slack_x + asked).cast("int")),
-                               F.slice("of_b.prefix", F.lit(1), (slack_y + asked).cast("int")))
-    cross = cross.filter((slack_x >= 0) & (slack_y >= 0) & (F.size(shared) >= asked))
+    cross = stored(cross.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"), F.col("x.n").cast("int").alias("n_a"),
+                                F.col("y.n").cast("int").alias("n_b")).distinct(), "candidates")
+    met = cross.select(F.explode(F.array("a", "b")).alias("sig"))
+    own = maybe_among(rows.filter("prefix is not null").select("sig", "n", "matches", "prefix"), F.col("sig"), met,
+                      F.col("sig")).dropDuplicates(["sig"])
+    first_own, second_own = (own.select(F.col("sig").alias(c), F.struct("n", "matches", "prefix").alias(f"of_{c}"))
+                             for c in "ab")
+    slack_a, slack_b = _slack("n_a", "n_b", num, den)
+    cross = cross.join(first_own, "a").select("a", "b", "n_a", "n_b", F.col("of_a.matches").alias("matches"), F.slice(
+        "of_a.prefix", F.lit(1), (slack_a + F.col("of_a.matches")).cast("int")).alias("head"))
+    asked = F.least("matches", "of_b.matches")
+    mine = F.slice("head", F.lit(1), (slack_a + asked).cast("int"))
+    shared = F.array_intersect(mine, F.slice("of_b.prefix", F.lit(1), (slack_b + asked).cast("int")))
+    cross = cross.join(second_own, "b").withColumn("shared", shared).filter(F.size("shared") >= asked)
+    # what is shared up to the last common shingle of the prefixes, and all that can follow it
+    last = F.element_at("shared", -1)
+    most = F.size("shared") + F.least(F.col("n_a") - F.array_position("head", last),
+                                      F.col("n_b") - F.array_position("of_b.prefix", last))
+    cross = cross.filter(most * (num + den) >= (F.col("n_a") + F.col("n_b")) * num)
     second = _verified(docs, reps, cross.select("a", "b"), k, num, den)
 
     links = first.unionByName(second)

@@ -26,7 +26,7 @@ _LENGTH, _CHECK, _HEAD = "<Q", "<I", "<qBBI"
 MASK = 0xA282EAD8  # fixed value of the usual masked checksum
 SHARD_RECORDS = 20_000
 # Words a worker remembers the ids of; beyond that it starts anew.
-MOST_WORDS = 400_000
+MOST_WORDS = 500_000
 # How byte-level pieces are cut (fixed value, belongs to the vocabulary).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 
@@ -79,24 +79,24 @@ class WordCoder:
         # byte-level letters: printable bytes stand for themselves, the others for letters past the bytes
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
-        self.letters = {b: chr(256 + i) for i, b in enumerate(hidden)}
+        place = {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.letters = [place.get(b, chr(b)) for b in range(256)]
         self.letter = "H" if self.width == 2 else "I"
         self.words: dict[str, bytes] = {}  # a word after a space
         self.parts: dict[str, bytes] = {}  # a byte-level piece, or a stretch of text as it stands
+        self.stops = {c: self._piece(c) for c in ".,"}
 
     def _packed(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self.letter}", *ids)
 
     def _piece(self, piece: str) -> bytes:
-        if piece.isascii():  # only a leading space is written otherwise
-            return self._packed([t.id for t in self.model.tokenize(piece.replace(" ", self.letters[32]))])
-        return self._packed([t.id for t in self.model.tokenize(
-            piece.encode().decode("latin-1").translate(self.letters))])
+        letters = self.letters
+        return self._packed([t.id for t in self.model.tokenize("".join([letters[b] for b in piece.encode()]))])
 
     def _kept(self, table: dict[str, bytes], key: str, value: bytes) -> bytes:
         if len(table) >= MOST_WORDS:
             table.clear()
-        if len(key) < 100:
+        if len(key) < 40:
             table[key] = value
         return value
 
@@ -107,14 +107,19 @@ class WordCoder:
             return found
         if not self._plain.fullmatch(part) or "  " in part or any(a in part for a in self.added):
             return self._kept(self.parts, part, self._packed(self.tokenizer.encode(part, add_special_tokens=False).ids))
-        known = self.parts.get
-        return b"".join([known(p) or self._kept(self.parts, p, self._piece(p)) for p in self.pieces.findall(part)])
+        return b"".join([self._word(p[1:]) if p[0] == " " and p[1:].isalpha() else self.parts.get(p) or
+                         self._kept(self.parts, p, self._piece(p)) for p in self.pieces.findall(part)])
 
     def _word(self, word: str) -> bytes:
-        if word.isascii() and word.isalpha() and self.marked:  # one piece
-            ids = [t.id for t in self.model.tokenize(self.letters[32] + word)]
-            return self._kept(self.words, word, self._packed(ids))
-        return self._kept(self.words, word, self._part(" " + word))
+        """The ids of a word after a space. Words of letters are one piece; a stop or comma after them is another."""
+        found = self.words.get(word)
+        if found is not None:
+            return found
+        if self.marked and word.isalpha() and (word.isascii() or self._plain.fullmatch(word)):
+            return self._kept(self.words, word, self._piece(" " + word))
+        if word[-1:] in self.stops and word[:-1].isalpha():
+            return self._kept(self.words, word, self._word(word[:-1]) + self.stops[word[-1]])
+        return self._part(" " + word)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian numbers of `width` bytes."""

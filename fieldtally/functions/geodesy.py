@@ -100,15 +100,18 @@ def spherical_cell_area(lat_low: Column, size: float) -> Column:
 
 
 def _spread_bits(value: Column) -> Column:
-    """Put the low 16 bits of a number on the even bit positions."""
+    """Put the low 31 bits of a number on the even bit positions."""
     out = value.cast("bigint")
-    for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F),
+                        (2, 0x3333333333333333), (1, 0x5555555555555555)):
         out = out.bitwiseOR(F.shiftleft(out, shift)).bitwiseAND(F.lit(mask))
     return out
 
 
 def global_cell(lon: Column, lat: Column, resolution: int) -> Column:
-    """Discrete global cell number: bit-interleaved longitude and latitude, `resolution` ≤ 16 bits each."""
+    """Discrete global cell number: bit-interleaved longitude and latitude, `resolution` (1 to 31) bits each."""
+    if not 1 <= resolution <= 31:
+        raise ValueError(f"resolution must be 1 to 31, not {resolution}")
     n = 2**resolution
     x = F.least(F.floor((wrap_longitude(lon) + 180) / 360 * n), F.lit(n - 1))
     y = F.least(F.floor((lat + 90) / 180 * n), F.lit(n - 1))

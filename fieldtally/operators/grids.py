@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.geodesy import cell_index, global_cell, spherical_cell_area
 from ..functions.numeric import ratio
 from .spatial import containing, covers, nearest, polygon_cells, search_levels
-from .tables import join_hot
 
 
 def make_grid(spark: SparkSession, lat_range: tuple[float, float] = (-90, 90),
@@ -56,10 +55,10 @@ def point_density(grid: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def land_mask(polygons: DataFrame, lon_min: float, lat_max: float, width: int, height: int, size: float) -> DataFrame:
-    """Cells `(ix, iy)` of a north-up grid that a polygon touches.
+    """Every cell `(ix, iy)` of a north-up grid with `mask_land`: 1 where a polygon touches it, else 0.
 
-    Cells are listed by arithmetic per row of each polygon, so the grid is never
-    joined. A cell is touched when its centre is covered or an edge crosses it.
+    Cells are listed by arithmetic per row of each polygon. A cell is touched when its centre is covered or an
+    edge crosses it.
     """
     # the same rows of cells as for point lookups, in a frame with y growing downwards
     local = polygons.select("code", F.transform("rings", lambda ring: F.transform(ring, lambda p: F.struct(
@@ -67,7 +66,11 @@ def land_mask(polygons: DataFrame, lon_min: float, lat_max: float, width: int, h
     cells = polygon_cells(local, 1.0).filter(F.col("ix").between(0, width - 1) & F.col("iy").between(0, height - 1))
     cx, cy = F.col("ix") + 0.5, F.col("iy") + 0.5
     hit = covers(F.col("edges"), cx, cy) | F.exists("edges", lambda e: _crosses_unit_cell(e, F.col("ix"), F.col("iy")))
-    return cells.filter(hit).select("ix", "iy").distinct()
+    touched = cells.filter(hit).select("ix", "iy").distinct().withColumn("mask_land", F.lit(1))
+    number = F.col("id")
+    grid = polygons.sparkSession.range(width * height).select(
+        F.pmod(number, F.lit(width)).alias("ix"), F.floor(number / width).alias("iy"))
+    return grid.join(touched, ["ix", "iy"], "left").fillna(0, ["mask_land"])
 
 
 def _crosses_unit_cell(e: Column, ix: Column, iy: Column) -> Column:
@@ -97,39 +100,51 @@ def regrid_nearest(source: DataFrame, target: DataFrame, lon0: float, dlon: floa
                    lat0: float, dlat: float, n_lat: int) -> DataFrame:
     """Values of the nearest source cell for each target cell `(lon, lat)`; longitudes wrap around.
 
-    `source` is keyed by `(ix, iy)` (and any other columns, e.g. time).
+    `source` is keyed by `(ix, iy)` (and any other columns, e.g. time). A target without a source cell has null values.
     """
     keyed = target.withColumn("ix", nearest_index(F.col("lon"), lon0, dlon, n_lon, periodic=True)).withColumn(
         "iy", nearest_index(F.col("lat"), lat0, dlat, n_lat))
-    return join_hot(keyed, source, ["ix", "iy"]).drop("ix", "iy")
+    return keyed.join(source, ["ix", "iy"], "left").drop("ix", "iy")
+
+
+def regrid_difference(regridded: DataFrame, native: DataFrame, value: str, lon0: float, dlon: float, lat0: float,
+                      dlat: float) -> DataFrame:
+    """`regridded(lon, lat, value)` plus `difference`: the native grid's value at that place less the regridded one.
+
+    Null where either is missing.
+    """
+    there = extract_at(native.select("ix", "iy", F.col(value).alias("_native")), regridded, lon0, dlon, lat0, dlat)
+    return there.withColumn("difference", F.col("_native") - F.col(value)).drop("_native")
 
 
 def interpolate(source: DataFrame, points: DataFrame, key: str, value: str, lon0: float, dlon: float,
                 lat0: float, dlat: float, by: tuple[str, ...] = ()) -> DataFrame:
-    """Bilinear value at each point from its four surrounding cells; null when one is missing.
+    """Bilinear value at each point from its four surrounding cells; null when one that counts is missing.
 
-    `source` holds `(ix, iy, by…, value)`.
+    `source` holds `(ix, iy, by…, value)`. The small grid is folded first: one row per cell with the values of
+    its four corners, so that every point meets one row. A point with no cell at all stays, with null in `by` and value.
     """
+    corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
+    shifted = source.select("ix", "iy", *by, value, corner.alias("c")).select(
+        (F.col("ix") - F.col("c.i")).alias("bx"), (F.col("iy") - F.col("c.j")).alias("by_"), *by, value,
+        (2 * F.col("c.i") + F.col("c.j")).alias("c"))
+    folded = shifted.groupBy("bx", "by_", *by).agg(
+        *[F.max(F.when(F.col("c") == k, F.col(value))).alias(f"v{k}") for k in range(4)])
     fx, fy = (F.col("lon") - lon0) / dlon, (F.col("lat") - lat0) / dlat
     placed = points.select(key, F.floor(fx).alias("bx"), F.floor(fy).alias("by_"), (fx - F.floor(fx)).alias("wx"),
                            (fy - F.floor(fy)).alias("wy"))
-    corners = F.array(*[
-        F.struct((F.col("bx") + i).alias("ix"), (F.col("by_") + j).alias("iy"),
-                 ((F.col("wx") if i else 1 - F.col("wx")) * (F.col("wy") if j else 1 - F.col("wy"))).alias("w"))
-        for i in (0, 1) for j in (0, 1)])
-    # corners without weight need no source cell
-    wanted = placed.select(key, F.explode(F.filter(corners, lambda c: c["w"] > 0)).alias("c"),
-                           F.size(F.filter(corners, lambda c: c["w"] > 0)).alias("need")).select(key, "c.*", "need")
-    met = join_hot(wanted, source.select("ix", "iy", *by, value), ["ix", "iy"])
-    return met.groupBy(key, *by).agg(
-        F.when(F.count(value) == F.max("need"), F.sum(F.col("w") * F.col(value))).alias(value))
+    weights = [(F.col("wx") if i else 1 - F.col("wx")) * (F.col("wy") if j else 1 - F.col("wy"))
+               for i in (0, 1) for j in (0, 1)]
+    # corners without weight need no source cell; null in any other one makes the sum null
+    total = sum((F.when(w > 0, w * F.col(f"v{k}")).otherwise(F.lit(0.0)) for k, w in enumerate(weights)), F.lit(0.0))
+    return placed.join(folded, ["bx", "by_"], "left").select(key, *by, total.alias(value))
 
 
 def extract_at(source: DataFrame, points: DataFrame, lon0: float, dlon: float, lat0: float, dlat: float) -> DataFrame:
     """Values of the cell whose centre is nearest to each point; points off the grid have none."""
     i, j = F.ceil((F.col("lon") - lon0) / dlon - 0.5).cast("bigint"), F.ceil((F.col("lat") - lat0) / dlat - 0.5).cast("bigint")
     keyed = points.withColumn("ix", i).withColumn("iy", j)
-    return join_hot(keyed, source, ["ix", "iy"], "left").drop("ix", "iy")
+    return keyed.join(source, ["ix", "iy"], "left").drop("ix", "iy")
 
 
 def global_cells(points: DataFrame, resolution: int) -> DataFrame:

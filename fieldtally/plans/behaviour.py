@@ -42,6 +42,11 @@ def bounding_box(points: DataFrame, *keys: str) -> DataFrame:
         F.min("lon").alias("min_x"), F.min("lat").alias("min_y"), F.max("lon").alias("max_x"), F.max("lat").alias("max_y"))
 
 
+def nano_mean(degrees: str) -> Column:
+    """Mean of a coordinate from whole billionths of a degree: the same for any order of the rows."""
+    return F.sum(F.round(F.col(degrees) * 1e9).cast("long")) / (F.count(degrees) * F.lit(1e9))
+
+
 def user_features(reports: DataFrame, report_type: str | None = None, min_samples: int = 5,
                   eps: float = 100.0) -> DataFrame:
     """Spatial features of every user, from all users' reports at once.
@@ -53,7 +58,7 @@ def user_features(reports: DataFrame, report_type: str | None = None, min_sample
     ok = valid_point(F.col("lon"), F.col("lat"))
     basic = points.groupBy("user_id").agg(
         F.count("*").alias("rows"), F.count(F.when(ok, 1)).alias("valid"),
-        F.avg("lon").alias("m_lon"), F.avg("lat").alias("m_lat"))
+        nano_mean("lon").alias("m_lon"), nano_mean("lat").alias("m_lat"))
     # read by the spread and by the clusters
     metres = cut_lineage(projected(points).select("user_id", "x", "y"))
     spread = metres.groupBy("user_id").agg(dispersion(F.col("x"), F.col("y")).alias("spread"))

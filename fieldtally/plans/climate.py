@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geodesy import wrap_longitude
@@ -33,13 +33,18 @@ def weather(cube: DataFrame) -> DataFrame:
 
 
 def masked(index: DataFrame, mask: DataFrame, value: str = "mwi") -> DataFrame:
-    """Index on land only, null at sea.
+    """Index on land only, null at sea and where the mask says nothing; no row is lost.
 
-    `mask` has longitudes of either convention; they are wrapped to -180…180 first.
+    Longitudes of either convention are wrapped to -180…180; cells meet by whole millionths of a degree.
     """
-    land = mask.select(F.round(wrap_longitude(F.col("longitude")), 6).alias("longitude"), "latitude", "mask_land")
-    return index.join(land, ["longitude", "latitude"]).withColumn(
-        value, F.when(F.col("mask_land").cast("boolean"), F.col(value))).drop("mask_land")
+    def cell(frame: DataFrame) -> list[Column]:
+        return [F.round(wrap_longitude(frame["longitude"]) * 1e6).cast("long").alias("_x"),
+                F.round(frame["latitude"] * 1e6).cast("long").alias("_y")]
+
+    land = mask.select(*cell(mask), F.col("mask_land").cast("boolean").alias("_land")).groupBy("_x", "_y").agg(
+        F.max("_land").alias("_land"))
+    return index.select("*", *cell(index)).join(land, ["_x", "_y"], "left").withColumn(
+        value, F.when(F.col("_land"), F.col(value))).drop("_x", "_y", "_land")
 
 
 def exceedance(cube: DataFrame, value: str, threshold: float, keys: Sequence[str] = CELL) -> DataFrame:

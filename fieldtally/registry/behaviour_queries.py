@@ -16,14 +16,12 @@ from .spatial_queries import ZONE, utm_sql
 EPS, MIN_SAMPLES = 100, 5
 CAMPAIGNS = {"ASIA": "1997-06-23", "EUROPE": "1996-06-01"}
 START = "1996-01-01"
-# Means of short decimals often end on a rounding tie, which the order of a sum would settle; this moves them off it.
-OFF_TIES = 1.23e-07
 
 
 def _features(spark, d):
     f = behaviour.user_features(proxy.points(spark, d), None, MIN_SAMPLES, EPS)
     return f.select("user_id", "n_points", "n_invalid_points",
-                    F.round(F.col("mean_latlon")[0] + OFF_TIES, 6).alias("mean_lon"), F.round(F.col("mean_latlon")[1] + OFF_TIES, 6).alias("mean_lat"),
+                    F.col("mean_latlon")[0].alias("mean_lon"), F.col("mean_latlon")[1].alias("mean_lat"),
                     F.round("std_utm", 3).alias("std_utm"), F.round("msd_utm", 3).alias("msd_utm"),
                     "n_random_points", "n_clusters")
 
@@ -110,8 +108,8 @@ def _distance_inputs(spark, d):
 
 
 def _knn_frame(spark, d):
-    return _simple_profiles(spark, d).filter(F.col("std_utm").isNotNull()).withColumn("kind", F.col("n_clusters").cast("string")).select(
-        "user_id", "std_utm", "quality_target", F.coalesce("kind", F.lit("none")).alias("kind"))
+    return _simple_profiles(spark, d).withColumn("kind", F.col("n_clusters").cast("string")).select(
+        "user_id", F.coalesce("std_utm", F.lit(0.0)).alias("std_utm"), "quality_target", F.coalesce("kind", F.lit("none")).alias("kind"))
 
 
 def _knn(spark, d):
@@ -161,7 +159,7 @@ QUERIES = {
 def cluster_ctes(points: str, minimum_rows: int = 0) -> dict[str, str]:
     """Textbook density clustering by closure over all pairs; `points` has user_id, lon, lat."""
     return {
-        "centre": f"SELECT user_id, avg(lon) AS mlon, avg(lat) AS mlat, count(*) AS rows FROM {points} GROUP BY 1",
+        "centre": f"SELECT user_id, sum(round(lon * 1e9)::BIGINT)::DOUBLE / (count(lon) * 1e9::DOUBLE) AS mlon, sum(round(lat * 1e9)::BIGINT)::DOUBLE / (count(lat) * 1e9::DOUBLE) AS mlat, count(*) AS rows FROM {points} GROUP BY 1",
         "joined": f"""SELECT p.user_id, p.lon, p.lat, c.mlat, c.rows, ((floor((c.mlon + 180) / 6) % 60) + 1)::INTEGER AS z
                       FROM {points} p JOIN centre c USING (user_id)""",
         "metres": utm_sql("joined", "user_id, rows", "z", "mlat < 0"),
@@ -267,14 +265,14 @@ def _covariate_sql(values: str) -> str:
     ).replace("(date_diff(", "trunc(date_diff(").replace("/ 30.0)::DOUBLE AS since", "/ 30.0::DOUBLE)::INTEGER AS time_since_campaign")
 
 
-_KNN = """SELECT user_id, std_utm, quality_target, coalesce(n_clusters::VARCHAR, 'none') AS kind FROM simple
-          WHERE std_utm IS NOT NULL"""
+_KNN = """SELECT user_id, coalesce(std_utm, 0) AS std_utm, quality_target, coalesce(n_clusters::VARCHAR, 'none') AS kind
+          FROM simple"""
 
 ORACLE = {
     "model_density_clusters": with_views("SELECT * FROM per_user", "v_points", recursive=True,
                                          extra={"pts": "SELECT * FROM v_points", **cluster_ctes("pts")}),
     "model_user_features": with_views(f"""
-        SELECT user_id, n_points, n_invalid_points, round(mean_lon + {OFF_TIES!r}, 6) AS mean_lon, round(mean_lat + {OFF_TIES!r}, 6) AS mean_lat,
+        SELECT user_id, n_points, n_invalid_points, mean_lon, mean_lat,
                round(std_utm, 3) AS std_utm, round(std_utm, 3) AS msd_utm, n_random_points, n_clusters FROM features""",
         "v_points", recursive=True, extra={"pts": "SELECT * FROM v_points", **_FEATURE_CTES}),
     "model_user_quality": with_views(f"""
@@ -354,7 +352,7 @@ ORACLE = {
                      / (max(quality_target) OVER () - min(quality_target) OVER ()), 6) AS quality_target FROM k""",
         extra={"simple": _SIMPLE, "k": _KNN}),
     "model_l2_scaled": with_views("""
-        SELECT user_id, round(std_utm / n, 6) AS std_utm, round(quality_target / n, 6) AS quality_target FROM (
+        SELECT user_id, if(n = 0, 0, round(std_utm / n, 6)) AS std_utm, if(n = 0, 0, round(quality_target / n, 6)) AS quality_target FROM (
             SELECT *, sqrt(std_utm * std_utm + quality_target * quality_target) AS n FROM k)""",
         extra={"simple": _SIMPLE, "k": _KNN}),
     "agg_dispersion": with_views("SELECT user_id, round(s, 3) AS std_utm FROM spread", "v_points", extra={

@@ -89,11 +89,10 @@ def _regrid(spark, d):
 
 
 def _regrid_difference(spark, d):
-    """Regridded values against the ones of a second grid."""
+    """The values of a second grid against the regridded ones."""
     out = grids.regrid_nearest(_source(spark, d), _points(spark, d), 0.0, DLON, NLON, LAT0, DLAT, NLAT)
-    native = grids.extract_at(_source(spark, d).withColumnRenamed("human_presence", "native"), out, LON0, DLON,
-                              LAT0, DLAT)
-    return rounded(native.select("point_id", (F.col("human_presence") - F.col("native")).alias("difference")))
+    out = grids.regrid_difference(out, _source(spark, d), "human_presence", LON0, DLON, LAT0, DLAT)
+    return rounded(out.select("point_id", "difference"))
 
 
 def _interpolate(spark, d):
@@ -188,7 +187,7 @@ ORACLE = {
         SELECT time, longitude, latitude, CASE WHEN s_suppkey % 3 <> 0 THEN round(mwi, 6) END AS mwi
         FROM (SELECT time, CASE WHEN ix * 36 >= 180 THEN ix * 36 - 360 ELSE ix * 36 END::DOUBLE AS longitude,
                      iy::DOUBLE AS latitude, ix, iy, max({_MWI}) AS mwi FROM v_climate GROUP BY time, ix, iy)
-        JOIN supplier ON s_suppkey = iy * 10 + ix""", "v_climate"),
+        LEFT JOIN supplier ON s_suppkey = iy * 10 + ix""", "v_climate"),
     "grid_exceedance": with_views("""
         SELECT ix, iy, CASE WHEN count(t) = count(*) THEN sum(CASE WHEN t > 25 THEN 1 ELSE 0 END)::BIGINT END AS n_above
         FROM (SELECT ix, iy, CASE WHEN ix <> 3 OR line_key % 50 <> 0 THEN temperature END AS t FROM v_climate) GROUP BY 1, 2""",
@@ -203,13 +202,13 @@ ORACLE = {
         SELECT point_id, round(human_presence, 6) AS human_presence FROM (
             SELECT point_id, (({_near('lon', 0.0, DLON)} % {NLON}) + {NLON}) % {NLON} AS ix,
                    least(greatest({_near('lat', LAT0, DLAT)}, 0), {NLAT - 1}) AS iy FROM v_points)
-        JOIN v_pixels USING (ix, iy)""", "v_points", "v_pixels"),
+        LEFT JOIN v_pixels USING (ix, iy)""", "v_points", "v_pixels"),
     "grid_regrid_difference": with_views(f"""
-        SELECT point_id, round(a.human_presence - b.human_presence, 6) AS difference FROM (
+        SELECT point_id, round(b.human_presence - a.human_presence, 6) AS difference FROM (
             SELECT point_id, (({_near('lon', 0.0, DLON)} % {NLON}) + {NLON}) % {NLON} AS ix,
                    least(greatest({_near('lat', LAT0, DLAT)}, 0), {NLAT - 1}) AS iy,
                    {_near('lon', LON0, DLON)} AS jx, {_near('lat', LAT0, DLAT)} AS jy FROM v_points) p
-        JOIN v_pixels a ON a.ix = p.ix AND a.iy = p.iy LEFT JOIN v_pixels b ON b.ix = p.jx AND b.iy = p.jy""",
+        LEFT JOIN v_pixels a ON a.ix = p.ix AND a.iy = p.iy LEFT JOIN v_pixels b ON b.ix = p.jx AND b.iy = p.jy""",
         "v_points", "v_pixels"),
     "grid_extract_at_points": with_views(f"""
         SELECT point_id, round(human_presence, 6) AS human_presence FROM v_points
@@ -222,8 +221,7 @@ ORACLE = {
                      * (CASE WHEN j = 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END) AS w
               FROM (SELECT point_id, (lon - ({LON0})) / {DLON}::DOUBLE AS fx, (lat - ({LAT0})) / {DLAT}::DOUBLE AS fy FROM v_points),
                    (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) c(i, j))
-        LEFT JOIN v_pixels USING (ix, iy) WHERE w > 0 GROUP BY 1
-        HAVING count(human_presence) > 0""", "v_points", "v_pixels"),
+        LEFT JOIN v_pixels USING (ix, iy) WHERE w > 0 GROUP BY 1""", "v_points", "v_pixels"),
     "grid_fill_nearest": with_views("""
         SELECT ix, iy, round(value, 6) AS value FROM cells WHERE value IS NOT NULL
         UNION ALL SELECT ix, iy, round(near, 6) FROM (

@@ -124,6 +124,10 @@ def _cells(spark, d):
     return grids.global_cells(proxy.points(spark, d), 8).select("point_id", "cell")
 
 
+def _fine_cells(spark, d):
+    return grids.global_cells(proxy.points(spark, d), 20).select("point_id", "cell")
+
+
 def _layer(spark, d):
     """A raw layer with missing geometries and empty names, through the layer loader."""
     raw = proxy.polygons(spark, d).select(
@@ -158,6 +162,7 @@ QUERIES = {
     "grid_point_density": _density,
     "grid_land_mask": _land,
     "grid_global_cells": _cells,
+    "grid_global_cells_fine": _fine_cells,
     "grid_distinct_cell_ratio": _cell_ratio,
     "src_polygon_layer": _layer,
     "src_layer_missing_geometries": _dropped,
@@ -208,7 +213,7 @@ _UNIT = {
         f"ELSE least((i{a} - {a}1) / ({a}2 - {a}1), (i{a} + 1 - {a}1) / ({a}2 - {a}1)) END",
         f"CASE WHEN {a}2 = {a}1 THEN CASE WHEN {a}1 > i{a} AND {a}1 < i{a} + 1 THEN 1 ELSE -1 END "
         f"ELSE greatest((i{a} - {a}1) / ({a}2 - {a}1), (i{a} + 1 - {a}1) / ({a}2 - {a}1)) END") for a in "xy"}
-_BITS = " + ".join(f"((xi >> {i}) & 1) * {4 ** i} + ((yi >> {i}) & 1) * {2 * 4 ** i}" for i in range(16))
+_BITS = " + ".join(f"((xi >> {i}) & 1) * {4 ** i} + ((yi >> {i}) & 1) * {2 * 4 ** i}" for i in range(31))
 
 
 def _cells_sql(bits: int) -> str:
@@ -277,23 +282,26 @@ ORACLE = {
         SELECT id_cell, point_ct, round(point_ct / (area / 1e6), 6) AS point_density
         FROM g JOIN kept USING (id_cell) LEFT JOIN cts USING (id_cell)""", "v_points", "v_edges", extra=_GRID_CTES),
     "grid_land_mask": with_views(f"""
-        SELECT DISTINCT ix, iy FROM (
+        SELECT a.ix, b.iy, (t.ix IS NOT NULL)::INT AS mask_land FROM range({MASK_W}) a(ix) CROSS JOIN range({MASK_H}) b(iy)
+        LEFT JOIN (SELECT DISTINCT ix, iy FROM (
             SELECT ix, iy, code, ix + 0.5::DOUBLE AS px, iy + 0.5::DOUBLE AS py, x1, y1, x2, y2
             FROM range({MASK_W}) a(ix), range({MASK_H}) b(iy), e
             WHERE ix BETWEEN xa - 1 AND xb + 1 AND iy BETWEEN ya - 1 AND yb + 1)
         GROUP BY ix, iy, code
         HAVING count(*) FILTER ({_CROSS}) % 2 = 1 OR bool_or({_TOUCH})
-            OR bool_or(greatest({_UNIT['x'][0]}, {_UNIT['y'][0]}, 0) < least({_UNIT['x'][1]}, {_UNIT['y'][1]}, 1))""",
+            OR bool_or(greatest({_UNIT['x'][0]}, {_UNIT['y'][0]}, 0) < least({_UNIT['x'][1]}, {_UNIT['y'][1]}, 1))) t
+          ON t.ix = a.ix AND t.iy = b.iy""",
         "v_edges", extra={"e": """
             SELECT *, min(least(x1, x2)) OVER w AS xa, max(greatest(x1, x2)) OVER w AS xb,
                    min(least(y1, y2)) OVER w AS ya, max(greatest(y1, y2)) OVER w AS yb
             FROM (SELECT code, x1 + 180.25::DOUBLE AS x1, 60.25::DOUBLE - y1 AS y1, x2 + 180.25::DOUBLE AS x2,
                          60.25::DOUBLE - y2 AS y2 FROM v_edges) WINDOW w AS (PARTITION BY code)"""}),
     "grid_global_cells": with_views(_cells_sql(8), "v_points"),
+    "grid_global_cells_fine": with_views(_cells_sql(20), "v_points"),
     "grid_distinct_cell_ratio": with_views(
         f"SELECT round(count(DISTINCT cell)::DOUBLE / count(*), 6) AS cell_ratio FROM ({_cells_sql(10)})", "v_points"),
     "src_polygon_layer": with_views("""
-        SELECT c.s_suppkey::VARCHAR AS code, CASE WHEN l.s_suppkey % 3 <> 0 THEN s_name END AS name,
+        SELECT c.s_suppkey::VARCHAR AS code, CASE WHEN l.s_suppkey % 3 <> 0 THEN s_name WHEN l.s_suppkey % 3 = 0 THEN '' END AS name,
                CASE WHEN kind = 2 THEN 2 ELSE 1 END AS n_rings
         FROM v_corner c LEFT JOIN (SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 5 <> 0) l USING (s_suppkey)
         WHERE c.s_suppkey % 7 <> 0""", "v_corner"),

@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # checkpoints go when nothing refers to them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # a stack capture per column expression costs more than building most plans
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
@@ -33,12 +35,15 @@ def build_session(app: str = "fieldtally", master: str | None = None, **extra: s
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the checkpoint folder and return it with a fresh plan.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a folder of our
-    own is set only where none is configured (local tests).
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. A folder of our
+    own is set only in a local session without one; on a cluster executors could not see it,
+    so that the setting is required there.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured is None and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="fieldtally-ckpt-"))
     return df.checkpoint(eager=True)

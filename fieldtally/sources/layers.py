@@ -31,7 +31,7 @@ def polygon_layer(raw: DataFrame, layer: str, legend: DataFrame | None = None, g
     """A raw layer under the common schema.
 
     Rows without geometry are dropped (see :func:`missing_geometries`), empty texts
-    become null, climate regions get their names from the legend, and every column
+    of the administrative layer become null, climate regions get their names from the legend, and every column
     gets the type `LAYER_SCHEMA` declares.
     """
     renames = LAYER_COLUMNS[layer]
@@ -41,7 +41,7 @@ def polygon_layer(raw: DataFrame, layer: str, legend: DataFrame | None = None, g
         if legend is None:
             raise ValueError("climate regions need their legend")
         out = out.join(legend.select("code", "name"), "code", "left")
-    texts = [f.name for f in out.schema.fields if isinstance(f.dataType, T.StringType)]
+    texts = [f.name for f in out.schema.fields if isinstance(f.dataType, T.StringType) and layer == "gadm"]
     out = out.withColumns({c: F.when(F.col(c) != "", F.col(c)) for c in texts})
     return out.select(*[
         F.col(f.name).cast(f.dataType).alias(f.name) for f in LAYER_SCHEMA.fields if f.name in out.columns])

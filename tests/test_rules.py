@@ -39,6 +39,9 @@ def test_hidden_decides_the_label(spark):
 
 def test_ascii_and_paths(spark):
     assert value(spark, text.to_ascii(F.lit("Ñuñoa Łódź Straße Åre Œuvre"))) == "Nunoa Lodz Strasse Are OEuvre"
+    for name, spelt in (("Αθήνα", "Athena"), ("Москва", "Moskva"), ("Щукино, Київ", "Shchukino, Kiyiv"),
+                        ("თბილისი", "t'bilisi"), ("Երան", "Eran"), ("…–é", "...-e"), ("東京", "東京")):
+        assert value(spark, text.to_ascii(F.lit(name))) == spelt, name
     df = spark.createDataFrame([("Spain", "", "Lugo")], "a string, b string, c string")
     row = df.select(text.path_name([F.col("b"), F.col("a")]), text.path_name([F.col("c"), F.col("b"), F.col("a")])).first()
     assert tuple(row) == (None, "Lugo |  | Spain")

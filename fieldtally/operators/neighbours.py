@@ -27,6 +27,21 @@ def l2_scaled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.when(norm == 0, 0.0).otherwise(F.col(c) / norm).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
+def evenly_scaled(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, Column]:
+    """Columns moved to start at 0 and divided by the widest of their ranges, and that range (1 where it is 0)."""
+    bounds = df.agg(F.struct(*[F.min(c).alias(f"lo_{c}") for c in columns],
+                             *[F.max(c).alias(f"hi_{c}") for c in columns])).scalar()
+    ranges = [bounds[f"hi_{c}"] - bounds[f"lo_{c}"] for c in columns]
+    widest = F.greatest(*ranges) if len(ranges) > 1 else ranges[0]
+    widest = F.when(widest > 0, widest.cast("double")).otherwise(F.lit(1.0))
+    return df.select(*[((F.col(c) - bounds[f"lo_{c}"]) / widest).alias(c) if c in columns else F.col(c)
+                       for c in df.columns]), widest
+
+
+def euclidean_distance(numeric: Sequence[tuple[Column, Column]]) -> Column:
+    return F.sqrt(sum(((a - b) * (a - b) for a, b in numeric), F.lit(0.0)))
+
+
 def gower_distance(numeric: Sequence[tuple[Column, Column]], categories: Sequence[tuple[Column, Column]]) -> Column:
     """Mean of range-scaled differences and category mismatches."""
     total = F.lit(0.0)
@@ -38,11 +53,14 @@ def gower_distance(numeric: Sequence[tuple[Column, Column]], categories: Sequenc
 
 
 def nearest_users(df: DataFrame, key: str, numeric: Sequence[str], categories: Sequence[str] = (), k: int = 5,
-                  depth: int = 12) -> DataFrame:
-    """The k nearest other rows of each row under the Gower distance: `(key, other, distance, rank)`.
+                  depth: int = 12, metric: str = "gower") -> DataFrame:
+    """The k nearest other rows of each row: `(key, other, distance, rank)`.
+
+    `metric` is "gower" or "euclidean"; the latter takes numeric columns only, as they are (scale them before
+    with `min_max_scaled` or `l2_scaled` if they should count alike).
 
-    Exact, without comparing all pairs. Numeric columns are scaled to 0…1, which makes
-    the distance a sum of coordinate differences plus a constant per mismatch.
+    Exact, without comparing all pairs. For Gower, numeric columns are scaled to 0…1, which makes
+    the distance a sum of coordinate differences plus a constant per mismatch; for Euclid, all by the same number.
 
     1. Rows with equal features are one spot with its smallest keys; only the k + 1
        smallest can be anyone's neighbours, since ties go to the smaller key.
@@ -51,8 +69,16 @@ def nearest_users(df: DataFrame, key: str, numeric: Sequence[str], categories: S
     3. Neighbours lie in cells next to the spot's own, at the level as wide as the
        bound; other category combinations only matter when the bound allows a mismatch.
     """
+    if metric not in ("gower", "euclidean") or (metric == "euclidean" and categories):
+        raise ValueError("metric must be gower, or euclidean without categories")
     n_features = len(numeric) + len(categories)
-    scaled = min_max_scaled(df.select(key, *numeric, *categories), numeric)
+    plain = df.select(key, *numeric, *categories)
+    if metric == "gower":
+        scaled, unit, across, per = min_max_scaled(plain, numeric), F.lit(1.0), float(len(numeric)), n_features
+        farthest = float(n_features)
+    else:
+        scaled, unit = evenly_scaled(plain, numeric)
+        across, per, farthest = len(numeric) ** 0.5, 1, len(numeric) ** 0.5
     features = [*categories, *numeric]
     first_keys = F.slice(F.array_sort(F.collect_list(key)), 1, k + 1)
     # a limit on a row number is applied before the shuffle as well, so a spot shared by
@@ -82,11 +108,11 @@ def nearest_users(df: DataFrame, key: str, numeric: Sequence[str], categories: S
     # coarse cells hold many spots each
     enough = join_hot(at_level(placed.select(*features, *cells)),
                       populated.filter(F.col("there") >= k + 1), [*cats, "level", *cells])
-    # cell of side s: no two of its points differ by more than s per coordinate
+    # cell of side s: no two of its points differ by more than s per coordinate, which bounds their distance
     side = F.pow(F.lit(2.0), F.col("level") - depth)
-    bound = enough.groupBy(*features).agg((F.min(side) * len(numeric)).alias("reach"))
+    bound = enough.groupBy(*features).agg((F.min(side) * across).alias("reach"))
     # a category combination with too few rows of its own has to look everywhere
-    asked = placed.join(bound, features, "left").withColumn("reach", F.coalesce("reach", F.lit(float(n_features))))
+    asked = placed.join(bound, features, "left").withColumn("reach", F.coalesce("reach", F.lit(farthest)))
     asked = asked.withColumn("level", F.greatest(F.lit(0), F.least(
         F.lit(depth), F.ceil(F.log2(F.least(F.col("reach"), F.lit(1.0)) * top)))).cast("int"))
     offsets = [()]
@@ -104,10 +130,11 @@ def nearest_users(df: DataFrame, key: str, numeric: Sequence[str], categories: S
     same = F.lit(True)
     for c in cats:
         same = same & (F.col(f"a_{c}") == F.col(f"b_{c}"))
-    distance = gower_distance([(F.col(f"a_{c}"), F.col(f"b_{c}")) for c in numeric],
-                              [(F.col(f"a_{c}"), F.col(f"b_{c}")) for c in cats])
+    numbers = [(F.col(f"a_{c}"), F.col(f"b_{c}")) for c in numeric]
+    distance = gower_distance(numbers, [(F.col(f"a_{c}"), F.col(f"b_{c}")) for c in cats]) if metric == "gower" \
+        else euclidean_distance(numbers)
     met = asked.join(listed, ["level", *cells]).filter(same | (F.col("reach") >= 1.0))
-    met = met.withColumn("distance", distance).filter(F.col("distance") * n_features <= F.col("reach") * (1 + 1e-12))
+    met = met.withColumn("distance", distance).filter(F.col("distance") * per <= F.col("reach") * (1 + 1e-12))
     spot = [f"a_{c}" for c in features]
     # per spot the k + 1 nearest rows are enough for all rows of the spot
     others = met.select(*spot, "a_keys", F.round("distance", 12).alias("distance"), F.explode("b_keys").alias("other"))
@@ -117,4 +144,4 @@ def nearest_users(df: DataFrame, key: str, numeric: Sequence[str], categories: S
     pairs = rows.join(best, spot).filter(F.col(key) != F.col("other"))
     order = Window.partitionBy(key).orderBy("distance", "other")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
-        key, "other", "distance", "rank")
+        key, "other", (F.col("distance") * unit).alias("distance"), "rank")

@@ -117,6 +117,16 @@ def _knn(spark, d):
     return rounded(out.select("user_id", "other", "distance", F.col("rank").cast("bigint").alias("rank")))
 
 
+def _euclidean(scaling):
+    columns = ["std_utm", "quality_target"]
+
+    def run(spark, d):
+        rows = scaling(_knn_frame(spark, d).select("user_id", *columns), columns)
+        out = neighbours.nearest_users(rows, "user_id", columns, k=5, metric="euclidean")
+        return rounded(out.select("user_id", "other", "distance", F.col("rank").cast("bigint").alias("rank")))
+    return run
+
+
 def _min_max(spark, d):
     return rounded(neighbours.min_max_scaled(_knn_frame(spark, d).select("user_id", "std_utm", "quality_target"),
                                              ["std_utm", "quality_target"]))
@@ -144,6 +154,9 @@ QUERIES = {
     "model_campaign_covariates_raw": _covariates("raw"),
     "model_distance_features": lambda s, d: rounded(_distance_inputs(s, d)),
     "model_nearest_users": _knn,
+    "model_nearest_users_euclidean": _euclidean(lambda rows, columns: rows),
+    "model_nearest_users_euclidean_min_max": _euclidean(neighbours.min_max_scaled),
+    "model_nearest_users_euclidean_l2": _euclidean(neighbours.l2_scaled),
     "model_min_max_scaled": _min_max,
     "model_l2_scaled": _l2,
     "agg_dispersion": _dispersion,
@@ -268,7 +281,30 @@ def _covariate_sql(values: str) -> str:
 _KNN = """SELECT user_id, coalesce(std_utm, 0) AS std_utm, quality_target, coalesce(n_clusters::VARCHAR, 'none') AS kind
           FROM simple"""
 
+_RANGE = "(max({0}) OVER () - min({0}) OVER ())"
+
+
+def _euclidean_sql(features: str) -> str:
+    """All pairs of rows of `features` over the users `k`, which are scaled by the widest range as in the operator."""
+    apart = "round(sqrt((a.s - b.s) * (a.s - b.s) + (a.q - b.q) * (a.q - b.q)), 12)"
+    return with_views(f"""
+        SELECT user_id, other, round(distance * w, 6) AS distance, rank FROM (
+            SELECT a.user_id, b.user_id AS other, {apart} AS distance, a.w,
+                   row_number() OVER (PARTITION BY a.user_id ORDER BY {apart}, b.user_id) AS rank
+            FROM even a JOIN even b ON a.user_id <> b.user_id) WHERE rank <= 5""", extra={
+        "simple": _SIMPLE, "k": _KNN, "f": features,
+        "even": f"""SELECT user_id, w, (x - min(x) OVER ()) / w AS s, (y - min(y) OVER ()) / w AS q FROM (
+                      SELECT *, greatest({_RANGE.format("x")}, {_RANGE.format("y")})::DOUBLE AS w FROM f)"""})
+
+
 ORACLE = {
+    "model_nearest_users_euclidean": _euclidean_sql("SELECT user_id, std_utm AS x, quality_target AS y FROM k"),
+    "model_nearest_users_euclidean_min_max": _euclidean_sql(f"""
+        SELECT user_id, (std_utm - min(std_utm) OVER ()) / {_RANGE.format("std_utm")} AS x,
+               (quality_target - min(quality_target) OVER ()) / {_RANGE.format("quality_target")} AS y FROM k"""),
+    "model_nearest_users_euclidean_l2": _euclidean_sql("""
+        SELECT user_id, if(n = 0, 0, std_utm / n) AS x, if(n = 0, 0, quality_target / n) AS y FROM (
+            SELECT *, sqrt(std_utm * std_utm + quality_target * quality_target) AS n FROM k)"""),
     "model_density_clusters": with_views("SELECT * FROM per_user", "v_points", recursive=True,
                                          extra={"pts": "SELECT * FROM v_points", **cluster_ctes("pts")}),
     "model_user_features": with_views(f"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geodesy import cell_index, global_cell, spherical_cell_area
 from ..functions.numeric import ratio
-from .spatial import containing, covers, nearest, polygon_cells, search_levels
+from .spatial import containing, covers, nearest, polygon_cells
 
 
 def make_grid(spark: SparkSession, lat_range: tuple[float, float] = (-90, 90),
@@ -157,16 +157,13 @@ def distinct_cell_ratio(points: DataFrame, resolution: int) -> DataFrame:
     return global_cells(points, resolution).agg(ratio(F.count_distinct("cell"), F.count("*")).alias("cell_ratio"))
 
 
-def fill_nearest(cells: DataFrame, value: str = "value", extent: tuple[int, int] | None = None) -> DataFrame:
+def fill_nearest(cells: DataFrame, value: str = "value") -> DataFrame:
     """Missing values of a grid `(ix, iy, value)` replaced by the nearest known one.
 
     The nearest known cell always has an unknown or absent neighbour: one step from it
     toward the hole leads closer. Only such rim cells are searched. Ties go to the
-    smaller (ix, iy). Cell numbers start at 0; the extent is looked up when not given.
+    smaller (ix, iy).
     """
-    if extent is None:
-        far = cells.agg(F.max("ix"), F.max("iy")).first()
-        extent = (int(far[0] or 0) + 1, int(far[1] or 0) + 1)
     known = cells.filter(F.col(value).isNotNull())
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
                       for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0)])
@@ -178,8 +175,6 @@ def fill_nearest(cells: DataFrame, value: str = "value", extent: tuple[int, int]
     shapes = rim.select(F.struct("ix", "iy", value).alias("code"), x.alias("x1"), y.alias("y1"), x.alias("x2"), y.alias("y2"))
     holes = cells.filter(F.col(value).isNull()).select(
         F.struct("ix", "iy").alias("cell"), x.alias("lon"), y.alias("lat"))
-    # at most 512 × 512 cells at the finest level keep the pyramid small enough to broadcast
-    size = max(1.0, math.sqrt(extent[0] * extent[1]) / 512)
-    found = nearest(holes, shapes, "cell", size=size, levels=search_levels(max(extent) + 1, size), origin=(0.0, 0.0))
+    found = nearest(holes, shapes, "cell", size=1.0)
     filled = found.select(F.col("cell.ix").alias("ix"), F.col("cell.iy").alias("iy"), F.col(f"code.{value}").alias("_near"))
     return cells.join(filled, ["ix", "iy"], "left").withColumn(value, F.coalesce(value, "_near")).drop("_near")

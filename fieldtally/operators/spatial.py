@@ -13,14 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geodesy import cell_index
-from .tables import join_hot
 
 # Slack on cell borders: a rounding error must not hide an edge; extra edges do no harm.
 _SLACK = 1e-9
-# Finest cell of the nearest search, in degrees. With the range of valid coordinates it
-# bounds the table of occupied cells to 720 × 360 × 4/3 rows, whatever the polygons.
+# Finest cell of the nearest search, in degrees, and the most cells a side it may make: wider
+# data get wider cells. That bounds the table of occupied cells to 720 × 720 × 4/3 rows.
 _SEARCH_CELL = 0.5
-_SEARCH_LEVELS = 11
+_SEARCH_SIDE = 720
 # Distances closer than this many decimals are ties; the smallest code wins.
 _DISTANCE_DECIMALS = 9
 
@@ -111,12 +110,29 @@ def segment_distance(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y
     return F.sqrt(ex * ex + ey * ey)
 
 
+def _finite(value: Column) -> Column:
+    return F.coalesce(~F.isnan(value) & (F.abs(value) < float("inf")), F.lit(False))
+
+
+def _bounds(points: DataFrame, edges: DataFrame, lon: str, lat: str) -> tuple[tuple[float, float], float]:
+    """Lower corner and larger side of the box around points and edges."""
+    boxes = [edges.agg(F.min(F.least("x1", "x2")), F.min(F.least("y1", "y2")), F.max(F.greatest("x1", "x2")),
+                       F.max(F.greatest("y1", "y2"))).first(),
+             points.agg(F.min(lon), F.min(lat), F.max(lon), F.max(lat)).first()]
+    boxes = [b for b in boxes if b[0] is not None]
+    if not boxes:
+        return (0.0, 0.0), 0.0
+    low = tuple(float(min(b[i] for b in boxes)) for i in (0, 1))
+    return low, max(float(max(b[i + 2] for b in boxes)) - low[i] for i in (0, 1))
+
+
 def nearest(points: DataFrame, edges: DataFrame, key: str, max_distance: float | None = None,
-            size: float = _SEARCH_CELL, levels: int = _SEARCH_LEVELS, origin: tuple[float, float] = (-180.0, -90.0),
-            salt: int = 8, lon: str = "lon", lat: str = "lat") -> DataFrame:
+            size: float = _SEARCH_CELL, salt: int = 8, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """The closest shape of every point: `(key, code, distance)`, in coordinate units.
 
-    `edges` has rows `(code, x1, y1, x2, y2)`. The search is exact and needs no rounds:
+    `edges` has rows `(code, x1, y1, x2, y2)`. Any finite coordinates will do: origin and height of the pyramid
+    come from the bounds of both sides, which are looked up first. Points without coordinates have no row. The search
+    is exact and needs no rounds:
 
     1. Cells form a pyramid, each level twice as coarse as the one below; the top one
        holds everything. One vertex per occupied cell is kept. The table is bounded by
@@ -126,6 +142,11 @@ def nearest(points: DataFrame, edges: DataFrame, key: str, max_distance: float |
        reaches into one of the nine cells around the point. Edges are listed at every
        level, so one equi join finds all that can win.
     """
+    points = points.filter(_finite(F.col(lon)) & _finite(F.col(lat)))
+    origin, extent = _bounds(points, edges, lon, lat)
+    size = max(size, extent / _SEARCH_SIDE)
+    levels = search_levels(1.5 * extent, size)  # the top cell is as wide as any distance
+
     def cell(value: Column, axis: int) -> Column:
         return cell_index(value, origin[axis], size)
 
@@ -195,7 +216,7 @@ def assign_areas(points: DataFrame, polygons: DataFrame, key: str, max_distance:
     """One area per point: one that covers it, else the nearest one.
 
     `max_distance` 0 turns the nearest search off, None leaves it unlimited. Several
-    covering areas are settled by the smallest code. Points without any valid
+    covering areas are settled by the smallest code. Points without finite
     coordinates, or farther than allowed, keep a null code.
     """
     placed = points.select(key, lon, lat)
@@ -205,7 +226,7 @@ def assign_areas(points: DataFrame, polygons: DataFrame, key: str, max_distance:
         out = coded.select(key, "code")
     else:
         left_over = coded.filter(
-            F.col("code").isNull() & F.col(lon).between(-180, 180) & F.col(lat).between(-90, 90)).select(key, lon, lat)
+            F.col("code").isNull()).select(key, lon, lat)
         close = nearest(left_over, edge_rows(polygons), key, max_distance, lon=lon, lat=lat)
         out = coded.select(key, F.col("code").alias("in_code")).join(
             close.select(key, F.col("code").alias("near_code")), key, "left"
@@ -220,7 +241,7 @@ def sample_pixels(points: DataFrame, pixels: DataFrame, x0: float, y0: float, si
     """Pixel values under each point of a north-up grid; points off the grid are dropped."""
     placed = points.withColumn("ix", cell_index(lon, x0, size)).withColumn(
         "iy", F.floor((F.lit(y0) - lat) / size).cast("bigint"))
-    return join_hot(placed, pixels, ["ix", "iy"]).drop("ix", "iy")
+    return placed.join(pixels, ["ix", "iy"]).drop("ix", "iy")
 
 
 def search_levels(extent: float, size: float) -> int:

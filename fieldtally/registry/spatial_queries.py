@@ -52,6 +52,13 @@ def _nearest(limit):
     return run
 
 
+def _nearest_beyond(spark, d):
+    """Points and edges far beyond the range of degrees."""
+    edges = spatial.edge_rows(proxy.polygons(spark, d)).withColumns({"x1": F.col("x1") - 150, "x2": F.col("x2") - 150})
+    points = proxy.points(spark, d).select("point_id", (F.col("lon") * 2).alias("lon"), (F.col("lat") * 2).alias("lat"))
+    return rounded(spatial.nearest(points, edges, "point_id"))
+
+
 def _assign(limit, attributes=()):
     def run(spark, d):
         return spatial.assign_areas(proxy.points(spark, d), proxy.polygons(spark, d), "point_id", limit,
@@ -148,6 +155,7 @@ def _dropped(spark, d):
 QUERIES = {
     "join_point_in_polygon": _containing,
     "join_nearest_polygon": _nearest(None),
+    "join_nearest_polygon_beyond": _nearest_beyond,
     "join_nearest_polygon_within": _nearest(4.0),
     "join_area_of_point": _assign(None, ("name",)),
     "join_area_of_point_inside_only": _assign(0),
@@ -228,6 +236,11 @@ ORACLE = {
                                         extra={"inside": inside_cte()}),
     "join_nearest_polygon": with_views("SELECT id AS point_id, code, round(d, 6) AS distance FROM near", "v_points",
                                        "v_edges", extra={"near": nearest_cte(_POINTS)}),
+    "join_nearest_polygon_beyond": with_views(
+        "SELECT id AS point_id, code, round(d, 6) AS distance FROM near", "v_points", "v_edges", extra={
+            "moved": "SELECT * REPLACE (x1 - 150 AS x1, x2 - 150 AS x2) FROM v_edges",
+            "near": nearest_cte("SELECT point_id AS id, lon * 2 AS px, lat * 2 AS py FROM v_points").replace(
+                "v_edges", "moved")}),
     "join_nearest_polygon_within": with_views(
         "SELECT id AS point_id, code, round(d, 6) AS distance FROM near", "v_points", "v_edges",
         extra={"near": nearest_cte(_POINTS, "AND d <= 4.0")}),

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import maybe_among, stored, text_or_empty
+from .common import discard, maybe_among, stored, text_or_empty
 from .hashing import mixed, shingles, word_hashes
 
 # Cells of the count sketch that finds frequent shingles: 4 bytes each on the driver and in a task.
@@ -148,8 +148,10 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, num: i
             yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())],
                                              names=["a", "b"])
 
-    return stored(grouped.select("a", "part", "sig", "side", "text").mapInArrow(check, "a long, b long").distinct(),
-                  "jaccard-links")
+    links = stored(grouped.select("a", "part", "sig", "side", "text").mapInArrow(check, "a long, b long").distinct(),
+                   "jaccard-links")
+    discard(members)
+    return links
 
 
 def _fits(n: Column, m: Column, num: int, den: int) -> Column:
@@ -221,15 +223,15 @@ def similar_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     slack_x, slack_y = _slack("x.n", "y.n", num, den)
     cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.sig") < F.col("y.sig")) &
                    (F.col("x.label") != F.col("y.label")) & (F.col("x.at") <= slack_x) & (F.col("y.at") <= slack_y))
-    cross = stored(cross.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"), F.col("x.n").cast("int").alias("n_a"),
+    candidates = stored(cross.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"), F.col("x.n").cast("int").alias("n_a"),
                                 F.col("y.n").cast("int").alias("n_b")).distinct(), "candidates")
-    met = cross.select(F.explode(F.array("a", "b")).alias("sig"))
+    met = candidates.select(F.explode(F.array("a", "b")).alias("sig"))
     own = maybe_among(rows.filter("prefix is not null").select("sig", "n", "matches", "prefix"), F.col("sig"), met,
                       F.col("sig")).dropDuplicates(["sig"])
     first_own, second_own = (own.select(F.col("sig").alias(c), F.struct("n", "matches", "prefix").alias(f"of_{c}"))
                              for c in "ab")
     slack_a, slack_b = _slack("n_a", "n_b", num, den)
-    cross = cross.join(first_own, "a").select("a", "b", "n_a", "n_b", F.col("of_a.matches").alias("matches"), F.slice(
+    cross = candidates.join(first_own, "a").select("a", "b", "n_a", "n_b", F.col("of_a.matches").alias("matches"), F.slice(
         "of_a.prefix", F.lit(1), (slack_a + F.col("of_a.matches")).cast("int")).alias("head"))
     asked = F.least("matches", "of_b.matches")
     mine = F.slice("head", F.lit(1), (slack_a + asked).cast("int"))
@@ -248,6 +250,7 @@ def similar_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
         groups.select(F.col("v").alias("sig"), "label"), "sig", "left").withColumn(
         "label", F.when(F.col("n_shingles") > 0, F.coalesce("label", "sig")))
     labelled = stored(labelled.drop("sig"), "labelled")
+    discard(rows, live, first, group, placed, candidates, second)
     lowest = labelled.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return labelled.join(lowest, "label", "left").select(
         "doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),

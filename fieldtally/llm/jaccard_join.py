@@ -15,8 +15,9 @@ from ..operators.components import components
 from .common import discard, maybe_among, stored, text_or_empty
 from .hashing import mixed, shingles, word_hashes
 
-# Cells of the count sketch that finds frequent shingles: 4 bytes each on the driver and in a task.
-CELLS = 1 << 18
+# Cells of the count sketch that finds frequent shingles (8 bytes each on the driver, 4 in a task), and the blocks
+# they are sent in.
+CELLS, BLOCKS = 1 << 21, 512
 # Matches that may be asked of a prefix at most, and the cost of a verification in posting reads.
 MOST_MATCHES, VERIFY_COST = 6, 8.0
 # Postings of a frequent shingle are dealt out to groups of about this many texts.
@@ -30,22 +31,41 @@ def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 
 def shingle_sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """How many texts hold the shingles of each cell: a fixed number of cells, whatever the input."""
-    cells = CELLS
+    """How many texts hold the shingles of each cell: a fixed number of cells, whatever the input.
+
+    A task sends its counts as blocks of cells; blocks are dealt by number and added one after the other.
+    """
+    cells, block = CELLS, CELLS // BLOCKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, dtype=np.int64)
+        total = np.zeros(cells, dtype=np.uint32)
         for batch in batches:
             for s in _sets(batch.column(0), k):
-                np.add.at(total, (s & np.uint64(cells - 1)).astype(np.int64), 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
+                np.add.at(total, (s & np.uint64(cells - 1)).astype(np.int64), np.uint32(1))
+        if total.any():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(BLOCKS), pa.int32()), pa.array([total[i:i + block].tobytes() for i in range(0, cells, block)],
+                                                               pa.binary())], names=["block", "counts"])
 
-    parts = docs.select(text_or_empty().alias("text")).mapInArrow(count, "cell int, n long")
-    table = parts.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, None
+        for batch in batches:
+            for number, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
+                if number != at:
+                    if at is not None:
+                        yield pa.RecordBatch.from_pylist([{"block": at, "counts": total.tobytes()}], schema=kind)
+                    at, total = number, np.zeros(block, dtype=np.int64)
+                total += np.frombuffer(counts, dtype=np.uint32)
+        if at is not None:
+            yield pa.RecordBatch.from_pylist([{"block": at, "counts": total.tobytes()}], schema=kind)
+
+    kind = pa.schema([("block", pa.int32()), ("counts", pa.binary())])
+    parts = docs.select(text_or_empty().alias("text")).mapInArrow(count, "block int, counts binary")
+    sums = parts.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, counts binary")
     sketch = np.zeros(cells, dtype=np.int64)
-    sketch[table.column("cell").to_numpy()] = table.column("n").to_numpy()
-    return sketch
+    for row in sums.collect():  # BLOCKS rows, 8 bytes a cell in all
+        sketch[row["block"] * block:(row["block"] + 1) * block] = np.frombuffer(row["counts"], dtype=np.int64)
+    return sketch.astype(np.float32)
 
 
 def _prefixes(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray) -> DataFrame:
@@ -57,7 +77,7 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray) -
     postings read, and candidates (postings by matches asked) verified. Of two texts the
     smaller l counts. Equal sets in one task give one prefix.
     """
-    mean = sketch.sum() / len(sketch)
+    mean = float(sketch.sum(dtype=np.float64)) / len(sketch)
     floor = 8 * math.sqrt(mean) + 8  # what stands out of the noise of a cell
     cells = np.uint64(len(sketch) - 1)
 

@@ -309,7 +309,7 @@ def test_jaccard_hot_group(spark):
             v[r.randrange(100)] = r.choice(lex)
         texts.append(" ".join(v))
     old = jaccard_join.GROUP, jaccard_join.CELLS
-    jaccard_join.GROUP, jaccard_join.CELLS = 40, 1 << 18
+    jaccard_join.GROUP, jaccard_join.CELLS = 40, 1 << 16
     try:
         got = jaccard_join.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 90, 100)
         got = {x.doc_id: x.component_id for x in got.collect()}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -12,36 +12,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .calibration import Logistic, fit_logistic, log_loss
-from .common import maybe_among, text_or_empty
+from .common import discard, maybe_among, stored, text_or_empty
 from .hashing import mixed, word_hashes
 from .quality import fold
 
-# Words share this many cells of the models: a model is 8 bytes a cell, whatever the corpus.
-CELLS = 1 << 20
+# Words that make up at least this share of all words are looked up in memory: at most 2 / SHARE words, and none of the
+# others is a hot key of the join that looks those up. No result depends on it.
+SHARE = 1 / (1 << 18)
 # Discounts to choose from, by the loss on the calibration fold.
 DISCOUNTS = (0.75, 1.0, 2.0, 3.0, 4.0)
-# Words over which the likelihoods are averaged where they differ most, beside the whole text.
-WINDOW = 2
 CALIBRATION_DOCUMENTS = 20_000
+_COUNTS = ("toxic", "ordinary", "either")
+_BEGUN = ("row long, n int, sums array<double>, mosts array<double>, "
+          "words array<bigint>, pos array<int>, before array<int>, after array<int>")
 
 
 @dataclass(frozen=True)
 class KneserNey:
-    """Log-ratio of the two class models for every word cell, for each discount."""
+    """What the class models need beside the stored counts of each word, for each discount."""
 
-    ratios: np.ndarray  # discounts x cells
     discounts: tuple[float, ...]
-
-
-def _cells(words: np.ndarray) -> np.ndarray:
-    return (words & np.uint64(CELLS - 1)).astype(np.int64)
-
-
-def continuation_counts(docs: DataFrame) -> DataFrame:
-    """Distinct histories of each word by class: cell, toxic, ordinary, either; from `docs(text, y)`.
+    totals: tuple[float, float]  # histories of all words in the toxic and the ordinary class
+    taken: np.ndarray  # classes x discounts: what is taken off in all
+    either: float  # histories of both classes together
+    vocabulary: int
+    words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # hashes of the frequent words, sorted
+    ratios: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # discounts x those words, and NaN for any other
+
+    def log_ratios(self, toxic: np.ndarray, ordinary: np.ndarray, either: np.ndarray) -> np.ndarray:
+        """Discounts x words, from the counts of each word; a word with no counts has the backoff of both classes."""
+        shared = (either + 0.5) / (self.either + 0.5 * (self.vocabulary + 1))
+        out = []
+        for i, discount in enumerate(self.discounts):
+            logs = []
+            for c, total, taken in zip((toxic, ordinary), self.totals, self.taken[:, i]):
+                rest = taken / total if total else 1.0
+                logs.append(np.log((c - np.minimum(c, discount)) / max(1.0, total) + max(rest, 1e-9) * shared))
+            out.append(logs[0] - logs[1])
+        return np.stack(out)
+
+    def only(self, i: int) -> KneserNey:
+        """The model with its discount number `i` alone."""
+        return replace(self, discounts=self.discounts[i:i + 1], taken=self.taken[:, i:i + 1], ratios=self.ratios[i:i + 1])
+
+
+def _places(words: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Place of each word in the sorted `among`, or -1."""
+    at = np.searchsorted(among, words)
+    known = at < len(among)
+    known[known] = among[at[known]] == words[known]
+    return np.where(known, at, -1)
+
+
+def continuation_counts(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """Distinct histories of each word by class: word (its hash), toxic, ordinary, either; from `docs(text, y)`.
 
     A history is the word before (or the start of the text). Every task reduces its texts to distinct pairs
-    of history and word before anything is shuffled; pairs are dealt by word, and then counted.
+    of history and word, listed by word, before anything is shuffled; pairs are dealt by word, those of frequent words
+    in 16 parts, and then counted.
     """
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -51,65 +79,154 @@ def continuation_counts(docs: DataFrame) -> DataFrame:
             y = np.repeat(batch.column("y").to_numpy(zero_copy_only=False).astype(np.int64), np.diff(offsets))
             pair = mixed(before * np.uint64(3) + words)
             # the class in the lowest bit, so that one sort makes the pairs distinct by class
-            keyed = (pair & ~np.uint64(1)) | y.astype(np.uint64)
-            _, first = np.unique(keyed, return_index=True)
-            bits = np.where(y[first] == 1, 1, 2).astype(np.int8)
+            keyed, first = np.unique((pair & ~np.uint64(1)) | y.astype(np.uint64), return_index=True)
+            words = words[first]
+            part = np.where(_places(words, frequent) >= 0, (keyed >> np.uint64(1)) % np.uint64(16), 0).astype(np.int32)
+            order = np.lexsort((part, words))
+            keyed, words, part = keyed[order], words[order], part[order]
+            starts = np.flatnonzero(np.r_[True, (words[1:] != words[:-1]) | (part[1:] != part[:-1])][:len(words)])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(words)).astype(np.int32)), pa.array(keyed.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(words[starts].view(np.int64)), pa.array(part[starts]), lists],
+                                             names=["word", "part", "pairs"])
+
+    found = docs.select("text", "y").mapInArrow(pairs, "word long, part int, pairs array<bigint>").repartition("word", "part")
+    each = found.select("word", "part", F.explode("pairs").alias("keyed"))
+    bit = F.when(F.col("keyed").bitwiseAND(F.lit(1)) == 1, 1).otherwise(2)
+    distinct = each.groupBy("word", "part", F.col("keyed").bitwiseAND(F.lit(-2)).alias("pair")).agg(F.bit_or(bit).alias("c"))
+    in_class = [F.sum((F.col("c").bitwiseAND(b) > 0).cast("long")).alias(n) for b, n in ((1, "toxic"), (2, "ordinary"))]
+    parts = distinct.groupBy("word", "part").agg(*in_class, F.count("*").alias("either"))
+    return parts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("toxic", "ordinary", "either")])
+
+
+def frequent_words(texts: DataFrame) -> np.ndarray:
+    """Sorted hashes of all words with a share of SHARE or more in `texts(text)`, and of none below half of that.
+
+    Each batch reports words with half that share of its own words or more: what it leaves out is less than half the
+    share in all, so that half the share of the reported counts takes in every frequent word.
+    """
+    half = SHARE / 2
+
+    def uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, n = np.unique(word_hashes(batch.column("text"))[0], return_counts=True)
+            total = n.sum()
+            often = n >= total * half
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_cells(words)[first].astype(np.int32)), pa.array((pair[first] & ~np.uint64(1)).view(np.int64)),
-                 pa.array(bits)], names=["cell", "pair", "classes"])
+                [pa.array(np.append(words[often].view(np.int64), 0)), pa.array(np.append(n[often], 0)),
+                 pa.array(np.append(np.zeros(often.sum(), np.int64), total))], names=["word", "n", "total"])
 
-    found = docs.select("text", "y").mapInArrow(pairs, "cell int, pair long, classes byte")
-    distinct = found.repartition("cell", F.pmod("pair", F.lit(16))).groupBy("cell", F.pmod("pair", F.lit(16)).alias("part"),
-                                                                            "pair").agg(F.bit_or("classes").alias("c"))
-    in_class = [F.sum((F.col("c").bitwiseAND(b) > 0).cast("long")).alias(n) for b, n in ((1, "toxic"), (2, "ordinary"))]
-    parts = distinct.groupBy("cell", "part").agg(*in_class, F.count("*").alias("either"))
-    return parts.groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("toxic", "ordinary", "either")])
+    used = stored(texts.select("text").mapInArrow(uses, "word long, n long, total long").groupBy("word").agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total")), "word-uses")
+    total = used.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    often = used.filter((F.col("n") > 0) & (F.col("n") >= total * half)).select("word").toArrow()  # at most 2 / SHARE
+    discard(used)
+    return np.sort(often.column("word").to_numpy().view(np.uint64))
 
 
-def kneser_ney(counts: DataFrame) -> KneserNey:
-    """The two class models from the continuation counts of all labelled texts.
+def kneser_ney(counts: DataFrame, words: np.ndarray) -> KneserNey:
+    """The two class models from the stored continuation counts of all labelled texts; `words` are the frequent ones.
 
     In each class a word has its number of distinct histories less a discount; what is taken off goes to the
     shared backoff model, the histories of both classes together. A word that a few copied texts repeat has one
     history only and says nothing about its class, however often it occurs.
     """
-    table = counts.toArrow()  # at most a row per cell
-    cell = table.column("cell").to_numpy()
-    toxic, ordinary, either = (np.zeros(CELLS) for _ in range(3))
+    classes = ("toxic", "ordinary")
+    sums = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("double") for c in (*classes, "either")], F.count("*"),
+                      *[F.coalesce(F.sum(F.least(F.col(c), F.lit(d))), F.lit(0.0)) for c in classes for d in DISCOUNTS]).first()
+    model = KneserNey(DISCOUNTS, (sums[0], sums[1]), np.array(sums[4:], dtype=float).reshape(2, -1), sums[2], sums[3])
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_places(batch.column("word").to_numpy().view(np.uint64), words) >= 0))
+
+    table = counts.mapInArrow(known, counts.schema).toArrow()  # at most as many rows as frequent words
+    at = np.searchsorted(words, table.column("word").to_numpy().view(np.uint64))
+    toxic, ordinary, either = (np.zeros(len(words)) for _ in range(3))
     for name, array in (("toxic", toxic), ("ordinary", ordinary), ("either", either)):
-        array[cell] = table.column(name).to_numpy()
-    shared = (either + 0.5) / (either.sum() + 0.5 * CELLS)
-    ratios = []
-    for discount in DISCOUNTS:
-        logs = []
-        for c in (toxic, ordinary):
-            taken = np.minimum(c, discount)
-            total = max(1.0, c.sum())
-            rest = taken.sum() / total if c.sum() else 1.0
-            logs.append(np.log((c - taken) / total + max(rest, 1e-9) * shared))
-        ratios.append((logs[0] - logs[1]).astype(np.float32))
-    return KneserNey(np.stack(ratios), DISCOUNTS)
-
-
-def _measures(texts: pa.Array, ratio: np.ndarray) -> np.ndarray:
-    """Per text: log-likelihood ratio by length, its greatest mean over WINDOW words in a row, and log length."""
+        array[at] = table.column(name).to_numpy()
+    ratios = model.log_ratios(toxic, ordinary, either)
+    return replace(model, words=words, ratios=np.column_stack([ratios, np.full(len(ratios), np.nan)]))
+
+
+def _begun(texts: pa.Array, model: KneserNey) -> list[pa.Array]:
+    """What the frequent words of every text give, and the other words with the (frequent) words beside them."""
     words, offsets = word_hashes(texts)
-    sums = np.concatenate([[0.0], np.cumsum(ratio[_cells(words)], dtype=np.float64)])
     n = np.diff(offsets)
     begin, end = offsets[:-1], offsets[1:]
-    width = np.minimum(n, WINDOW)
-    most = np.full(len(n), np.nan)
-    for i in np.flatnonzero(n):
-        w = width[i]
-        most[i] = (sums[begin[i] + w:end[i] + 1] - sums[begin[i]:end[i] + 1 - w]).max() / w
-    with np.errstate(invalid="ignore", divide="ignore"):
-        whole = sums[end] - sums[begin]
-        return np.column_stack([np.where(n > 0, whole / n, np.nan), np.where(n > 0, whole / np.sqrt(n), np.nan), most,
-                                np.where(n > 0, np.log(np.maximum(n, 1)), np.nan)])
+    at = _places(words, model.words)
+    known = at >= 0
+    before, after = np.full(len(at), -1), np.full(len(at), -1)
+    before[1:], after[:-1] = at[:-1], at[1:]
+    before[begin[n > 0]] = -1
+    after[end[n > 0] - 1] = -1
+    sums, mosts = np.zeros((len(n), len(model.discounts))), np.full((len(n), len(model.discounts)), -np.inf)
+    for j, ratio in enumerate(model.ratios):
+        value = ratio[at]
+        total = np.concatenate([[0.0], np.cumsum(np.where(known, value, 0.0))])
+        sums[:, j] = total[end] - total[begin]
+        two = (value[:-1] + value[1:]) / 2
+        for i in np.flatnonzero(n > 1):
+            mosts[i, j] = np.fmax.reduce(two[begin[i]:end[i] - 1], initial=-np.inf)
+    rare = ~known
+    places = np.arange(len(words)) - np.repeat(begin, n)
+    upto = pa.array(np.concatenate([[0], np.cumsum(rare)])[offsets].astype(np.int32))
+    steps = pa.array(np.arange(len(n) + 1, dtype=np.int32) * len(model.discounts))
+    return [pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(steps, pa.array(sums.ravel())),
+            pa.ListArray.from_arrays(steps, pa.array(mosts.ravel())), *[
+                pa.ListArray.from_arrays(upto, pa.array(x)) for x in (
+                    words[rare].view(np.int64), *[x[rare].astype(np.int32) for x in (places, before, after)])]]
+
+
+def _measures(batch: pa.RecordBatch, model: KneserNey) -> np.ndarray:
+    """Texts x discounts x measures: log-likelihood ratio by length, by its root, its greatest mean over two words
+    in a row (one, if there is no other), and log length."""
+    n = batch.column("n").to_numpy()
+    k = len(model.discounts)
+    sums, mosts = (batch.column(c).flatten().to_numpy().reshape(-1, k).copy() for c in ("sums", "mosts"))
+    owner, at = (np.repeat(np.arange(len(n)), batch.column(c).value_lengths().to_numpy()) for c in ("words", "found"))
+    parts = {c: batch.column(c).flatten().to_numpy() for c in ("words", "pos", "before", "after")}
+    found = batch.column("found").flatten()
+    counts = pd.DataFrame({"at": at, **{c: found.field(c).to_numpy() for c in ("word", *_COUNTS)}})
+    counts = pd.DataFrame({"at": owner, "word": parts["words"]}).merge(counts, "left", ["at", "word"]).fillna(0)
+    value = model.log_ratios(*[counts[c].to_numpy(dtype=float) for c in _COUNTS]).T
+    np.add.at(sums, owner, value)
+    for beside in ("before", "after"):
+        np.fmax.at(mosts, owner, (value + model.ratios[:, parts[beside]].T) / 2)
+    both = np.flatnonzero((owner[1:] == owner[:-1]) & (parts["pos"][1:] == parts["pos"][:-1] + 1))
+    np.fmax.at(mosts, owner[both], (value[both] + value[both + 1]) / 2)
+    mosts[n == 1] = sums[n == 1]
+    n = np.where(n > 0, n, np.nan)[:, None]
+    return np.stack([sums / n, sums / np.sqrt(n), np.where(n > 0, mosts, np.nan), np.broadcast_to(np.log(n), sums.shape)], axis=2)
+
+
+def _measured(table: DataFrame, counts: DataFrame, model: KneserNey, name: str) -> DataFrame:
+    """`table` with the columns that `_measures` needs in place of `text`.
+
+    Each text is reduced to the sums of its frequent words before anything is shuffled; every other word meets
+    its counts by a join and goes back to its row. A word without counts gets zeros, which is the backoff.
+    """
+    kept = [c for c in table.columns if c != "text"]
+    names = [*kept, "row", "n", "sums", "mosts", "words", "pos", "before", "after"]
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(c) for c in (*kept, "row")], *_begun(part.column("text"), model)],
+                    names=names)
 
+    schema = "".join(f"`{c}` {table.schema[c].dataType.simpleString()}, " for c in kept)
+    begun = stored(table.withColumn("row", F.monotonically_increasing_id()).mapInArrow(begin, schema + _BEGUN), name)
+    rare = begun.select("row", F.explode(F.array_distinct("words")).alias("word")).join(counts, "word").repartition("row")
+    found = rare.groupBy("row").agg(F.collect_list(F.struct("word", *_COUNTS)).alias("found"))
+    none = F.array().cast(found.schema["found"].dataType)
+    return begun.join(found, "row", "left").select(
+        *[c for c in names if c != "row"], F.coalesce("found", none).alias("found"))
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[np.ndarray, Logistic]:
-    """Log-ratios by word cell and the calibration, from labelled rows outside fold 0.
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[DataFrame, KneserNey, Logistic]:
+    """Stored continuation counts of every learned word, the models and the calibration, from labelled rows outside fold 0.
 
     The models count all labelled texts of folds 2 to 4; fold 1 chooses the discount and calibrates (at most
     CALIBRATION_DOCUMENTS labels, by a hash of the id). Null labels are left out.
@@ -120,19 +237,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[np.
     learned = known.filter("fold > 1")
     # the labels grow with the corpus: only documents that may have one are shuffled to meet them
     rows = maybe_among(texts, F.xxhash64("doc_id"), learned, F.xxhash64("doc_id")).join(learned, "doc_id")
-    model = kneser_ney(continuation_counts(rows))
+    frequent = frequent_words(texts)
+    counts = stored(continuation_counts(rows, frequent), "continuation-counts")
+    model = kneser_ney(counts, frequent)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column("y")]
-            for ratio in model.ratios:
-                columns += [pa.array(c) for c in _measures(batch.column("text"), ratio).T]
-            yield pa.RecordBatch.from_arrays(columns, names=["y", *names])
+            m = _measures(batch, model).reshape(batch.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([batch.column("y"), *[pa.array(c) for c in m.T]], names=["y", *names])
 
     names = [f"m{i}_{j}" for i in range(len(DISCOUNTS)) for j in range(4)]
     chosen = known.filter("fold = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_DOCUMENTS)
     held = texts.join(F.broadcast(chosen), "doc_id").select("y", "text")  # a bounded number of labels
-    table: pd.DataFrame = held.mapInArrow(measure, "y int, " + ", ".join(f"{n} double" for n in names)).toPandas().dropna()
+    table: pd.DataFrame = _measured(held, counts, model, "calibration-words").mapInArrow(
+        measure, "y int, " + ", ".join(f"{n} double" for n in names)).toPandas().dropna()
     y = table["y"].to_numpy(dtype=float)
     best = None
     for i in range(len(DISCOUNTS)):
@@ -140,40 +258,42 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[np.
         fitted = fit_logistic(m, y)
         loss = log_loss(y, fitted.scores(m))
         if best is None or loss < best[0]:
-            best = (loss, model.ratios[i], fitted)
-    return best[1], best[2]
+            best = (loss, model.only(i), fitted)
+    return counts, best[1], best[2]
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", cut: float = 0.5) -> DataFrame:
     """Toxicity of every whole text: doc_id, held_out, score, predicted.
 
     The score is a calibrated function of length-normalised log-likelihood ratios of the toxic and the ordinary
-    model: over the whole text and over the words in a row where it is highest. An empty or null text gets the share
+    model: over the whole text and over the words in a row where it is highest. Every word has counts of its own, and
+    one that no learned text holds gets the backoff. An empty or null text gets the share
     of label 1. `predicted` is 1 from `cut` on. One row per row of `docs`, repeated rows too; without labels of either kind
     the scores say nothing but stay between 0 and 1; an empty table gives an empty table; further columns are left out.
     """
-    return _scored(docs, labels, label, cut, []).select("doc_id", "held_out", "score", "predicted")
+    return _scored(docs.select("doc_id", text_or_empty().alias("text")), labels, label).select(
+        "doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
-def _scored(docs: DataFrame, labels: DataFrame, label: str, cut: float, kept: list[str]) -> DataFrame:
-    ratio, model = train(docs, labels, label)
+def _scored(table: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """`table(doc_id, text)` with `score` in place of `text`; other columns stay."""
+    counts, model, logistic = train(table, labels, label)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                scores = pa.array(model.scores(_measures(part.column("__text"), ratio)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], scores], names=[*part.schema.names[:-1], "__score"])
+            scores = pa.array(logistic.scores(_measures(batch, model)[:, 0]))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], scores], names=[*kept, "score"])
 
-    table = docs.select(*kept, F.col("doc_id").alias("__id"), text_or_empty().alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields[:-1])
-    out = table.mapInArrow(judge, f"{schema}, __score double")
-    if kept:
-        return out.filter(F.col("__score") < cut).select(*kept)
-    return out.select(F.col("__id").alias("doc_id"), (fold(F.col("__id")) == 0).alias("held_out"),
-                      F.col("__score").alias("score"), (F.col("__score") >= cut).cast("int").alias("predicted"))
+    kept = [c for c in table.columns if c != "text"]
+    schema = "".join(f"`{c}` {table.schema[c].dataType.simpleString()}, " for c in kept)
+    return _measured(table, counts, model, "text-words").mapInArrow(judge, schema + "score double")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", cut: float = 0.5) -> DataFrame:
     """The rows of `docs` that score below `cut`; columns as they were."""
-    return _scored(docs, labels, label, cut, docs.columns)
+    text = text_or_empty()
+    scored = _scored(docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash")), labels, label)
+    toxic = scored.filter(F.col("score") >= cut).select(
+        F.col("doc_id").alias("__toxic_id"), F.col("text_hash").alias("__toxic_hash")).distinct()
+    return docs.join(toxic, F.col("doc_id").eqNullSafe(F.col("__toxic_id")) &
+                     (F.xxhash64(text_or_empty()) == F.col("__toxic_hash")), "left_anti")

@@ -371,6 +371,34 @@ def test_without_toxic(labelled):
     assert out.columns == docs.columns and out.count() == keep < len(rows)
 
 
+def test_words_have_counts_of_their_own(labelled, spark):
+    """An unseen word whose hash ends like that of a toxic word scores as any other unseen word."""
+    docs, labels, rows, _ = labelled
+    names = ["vileword", *[f"w{i}q" for i in range(2_000_000)]]
+    hashes = hashing.word_hashes(pa.array([" ".join(names)]))[0]
+    low = hashes & np.uint64((1 << 20) - 1)
+    twin = names[1 + int(np.flatnonzero(low[1:] == low[0])[0])]
+    more = [(9100, f"{twin} {twin} {twin}", None, None, None), (9101, "unseen unseen unseen", None, None, None),
+            (9102, "vileword vileword vileword", None, None, None)]
+    all_docs = docs.unionByName(spark.createDataFrame(more, DOCS))
+    got = {r.doc_id: r.score for r in toxicity.score(all_docs, labels).collect() if r.doc_id and r.doc_id >= 9100}
+    assert got[9100] == pytest.approx(got[9101]) and got[9102] > got[9100] + 0.1
+
+
+@pytest.mark.parametrize("share", [1.0, 0.003])
+def test_joined_words_score_as_frequent_ones(labelled, spark, share):
+    """Scores do not depend on which words are looked up in memory: none, some, or all of them."""
+    docs, labels, rows, _ = labelled
+    want = sorted((r.doc_id or -1, r.score) for r in toxicity.score(docs, labels).collect())
+    old, toxicity.SHARE = toxicity.SHARE, share
+    try:
+        got = sorted((r.doc_id or -1, r.score) for r in toxicity.score(docs, labels).collect())
+    finally:
+        toxicity.SHARE = old
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert [s for _, s in got] == pytest.approx([s for _, s in want], abs=1e-9)
+
+
 # ---- 8 ------------------------------------------------------------------------------------------------------------
 
 def edits(a, b):

@@ -81,8 +81,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[t
             out = []
             for y, text in zip(batch["y"], batch["text"]):
                 pieces = _pieces(text.encode())
-                step = max(1, len(pieces) // DOCUMENT_PIECES)  # spread over the whole text
-                out += [(y, p) for p in pieces[::step][:DOCUMENT_PIECES]]
+                some = min(len(pieces), DOCUMENT_PIECES)  # spread over the whole text
+                out += [(y, pieces[i * len(pieces) // some]) for i in range(some)]
             yield pd.DataFrame(out, columns=["y", "piece"])
 
     samples: list[list[bytes]] = [[], []]

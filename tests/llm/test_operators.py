@@ -399,6 +399,21 @@ def test_joined_words_score_as_frequent_ones(labelled, spark, share):
     assert [s for _, s in got] == pytest.approx([s for _, s in want], abs=1e-9)
 
 
+@pytest.mark.parametrize("n", [3, 9, 15, 23])
+def test_dictionary_pieces_reach_the_end(spark, monkeypatch, n):
+    """The eight pieces of a text are spread evenly: piece i * n // 8, or all of fewer."""
+    monkeypatch.setattr(quality, "_dictionary", b"".join)
+    r = random.Random(n)
+    names = [f"<piece{i:02d}>" for i in range(n)]
+    text = "".join(x + "".join(r.choice("abcdefgh") for _ in range(quality.PIECE - len(x))) for x in names)
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 > 1][:2]
+    frame = spark.createDataFrame([(i, text) for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for y, i in enumerate(ids)], "doc_id long, quality int")
+    want = {names[i * n // 8] for i in range(8)} if n > 8 else set(names)
+    for dictionary in quality.train(frame, labels)[0]:
+        assert {x for x in names if x.encode() in dictionary} == want
+
+
 # ---- 8 ------------------------------------------------------------------------------------------------------------
 
 def edits(a, b):

@@ -37,10 +37,10 @@ def entity_options(codes: DataFrame, scale: str, reports: DataFrame | None = Non
                    minimum: int | None = None) -> DataFrame:
     """Selectable entities with their position: 'Total' first, then the names in order.
 
-    With `minimum`, only entities with that many reports.
+    Without `minimum`, null names are no entity; with it, only entities with that many reports.
     """
     if minimum is None:
-        names = codes.select(F.col(scale).alias("entity")).distinct()
+        names = codes.select(F.col(scale).alias("entity")).filter(F.col("entity").isNotNull()).distinct()
     else:
         names = at_least(rank(reports, codes, scale), "total", minimum).select(F.col(scale).alias("entity"))
     total = codes.sparkSession.range(1).select(F.lit(TOTAL).alias("entity"), F.lit(0).alias("_rank"))

@@ -96,3 +96,18 @@ def test_frequent_keys_join_like_a_plain_join(spark):
         a = sorted(map(str, join_hot(many, one, ["k"], how).select("k", "v", "w").collect()))
         b = sorted(map(str, many.join(one, "k", how).select("k", "v", "w").collect()))
         assert a == b
+
+
+def test_entity_options_settle_null_names(spark):
+    codes = spark.createDataFrame([("a", "Spain"), ("b", None), ("c", "Italy"), ("d", "Spain")], "version_uuid string, name string")
+    assert [r.entity for r in kpis.entity_options(codes, "name").collect()] == ["Total", "Italy", "Spain"]
+
+
+def test_province_gaps_and_options_read_whole_tables(spark, monkeypatch):
+    from fieldtally import registry
+    read = {}
+    monkeypatch.setattr(etl, "province_gaps", lambda areas, known: read.update(gaps=known.count()))
+    monkeypatch.setattr(kpis, "entity_options", lambda codes, scale: read.update(options=codes.count()))
+    for name in ("etl_province_gaps", "kpi_entity_options"):
+        registry.queries()[name](spark, D)
+    assert read == {"gaps": proxy.municipalities(spark, D).count(), "options": proxy.reports_codes(spark, D).count()}

@@ -146,6 +146,22 @@ SELECT doc_id, item_id, first_word::INT AS first_word, n_words::INT AS n_words,
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal DESC, n_words DESC, first_word) = 1
 """
 
+OP11 = """
+WITH rows AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+              list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS x FROM embeddings
+              WHERE label IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding::DOUBLE[], lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS positive, list_dot_product(a.x, r.x)::BIGINT AS score
+           FROM rows a JOIN rows r ON len(a.x) = len(r.x) AND a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE positive
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+ranked AS (SELECT p.anchor_id, p.positive_id, p.positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+           row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)::INT AS rank
+           FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.positive
+           AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5
+"""
+
 ORACLE = {"op1_pigeonhole_vectors": OP1, "op2_secret_ownership": OP2, "op3_chat_round_trip": OP3,
           "op4_weighted_fair_queue": OP4, "op6_adaptive_prefix_join": OP6, "op8_deletion_neighbours": OP8,
-          "op10_spaced_seeds": OP10}
+          "op10_spaced_seeds": OP10, "op11_angular_negatives": OP11}

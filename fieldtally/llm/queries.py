@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, embedding_dedup, jaccard_join, line_dedup, mixing, oracles, quality, secret_scan, token_records, toxicity
+from . import (chat_format, decontaminate, embedding_dedup, hard_negatives, jaccard_join, line_dedup, mixing, oracles, quality,
+               secret_scan, token_records, toxicity, vantage_search)
 from .common import load
 
 
@@ -62,7 +63,19 @@ def op10_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(docs, load(spark, folder, "benchmark")).drop("text_hash")
 
 
+def op11_angular_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = load(spark, folder, "embeddings").select("vec_id", moved.alias("label"), "embedding")
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+def op12_vantage_trees(spark: SparkSession, folder: str) -> DataFrame:
+    rows = load(spark, folder, "embeddings").select("vec_id", "embedding")
+    return vantage_search.nearest_vectors(rows, F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_pigeonhole_vectors, op2_secret_ownership, op3_chat_round_trip, op4_weighted_fair_queue, op5_token_records,
-    op6_adaptive_prefix_join, op7_kneser_ney, op8_deletion_neighbours, op9_compression, op10_spaced_seeds)}
+    op6_adaptive_prefix_join, op7_kneser_ney, op8_deletion_neighbours, op9_compression, op10_spaced_seeds,
+    op11_angular_negatives, op12_vantage_trees)}
 ORACLE = oracles.ORACLE

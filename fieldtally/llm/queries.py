@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (chat_format, decontaminate, embedding_dedup, hard_negatives, jaccard_join, line_dedup, mixing, oracles, quality,
-               secret_scan, token_records, toxicity, vantage_search)
+               secret_scan, token_records, toxicity, vantage_search, whitening)
 from .common import load
 
 
@@ -74,8 +74,12 @@ def op12_vantage_trees(spark: SparkSession, folder: str) -> DataFrame:
     return vantage_search.nearest_vectors(rows, F.col("vec_id") % 20 == 0)
 
 
+def op13_feast_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(load(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_pigeonhole_vectors, op2_secret_ownership, op3_chat_round_trip, op4_weighted_fair_queue, op5_token_records,
     op6_adaptive_prefix_join, op7_kneser_ney, op8_deletion_neighbours, op9_compression, op10_spaced_seeds,
-    op11_angular_negatives, op12_vantage_trees)}
+    op11_angular_negatives, op12_vantage_trees, op13_feast_whitening)}
 ORACLE = oracles.ORACLE

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geodesy import cell_index, global_cell, spherical_cell_area
 from ..functions.numeric import ratio
-from .spatial import containing, covers, nearest, polygon_cells
+from .spatial import _Frame, _layer_edges, containing, flips, nearest, polygon_cells, touched
 
 
 def make_grid(spark: SparkSession, lat_range: tuple[float, float] = (-90, 90),
@@ -18,7 +18,7 @@ def make_grid(spark: SparkSession, lat_range: tuple[float, float] = (-90, 90),
     """Cells of a grid: `(id_cell, lon, lat, c_lon, c_lat, area)`, corner and centroid in degrees, area in m².
 
     Cells are numbered column by column from the south-west. With a polygon mask only
-    cells whose centroid lies inside are kept; ids do not change.
+    cells whose centroid lies inside, not on the border, are kept; ids do not change.
     """
     n_lat = _steps(lat_range, size)
     cells = spark.range(_steps(lon_range, size) * n_lat).select(
@@ -29,7 +29,7 @@ def make_grid(spark: SparkSession, lat_range: tuple[float, float] = (-90, 90),
                         spherical_cell_area(F.col("lat"), size).alias("area"))
     if mask is None:
         return grid
-    inside = containing(grid, mask, "id_cell", lon="c_lon", lat="c_lat").select("id_cell").distinct()
+    inside = containing(grid, mask, "id_cell", border=False, lon="c_lon", lat="c_lat").select("id_cell").distinct()
     return grid.join(inside, "id_cell", "left_semi")
 
 
@@ -60,17 +60,22 @@ def land_mask(polygons: DataFrame, lon_min: float, lat_max: float, width: int, h
     Cells are listed by arithmetic per row of each polygon. A cell is touched when its centre is covered or an
     edge crosses it.
     """
-    # the same rows of cells as for point lookups, in a frame with y growing downwards
+    # the same cells as for point lookups, in a frame with y growing downwards
     local = polygons.select("code", F.transform("rings", lambda ring: F.transform(ring, lambda p: F.struct(
         ((p["lon"] - lon_min) / size).alias("lon"), ((lat_max - p["lat"]) / size).alias("lat")))).alias("rings"))
-    cells = polygon_cells(local, 1.0).filter(F.col("ix").between(0, width - 1) & F.col("iy").between(0, height - 1))
-    cx, cy = F.col("ix") + 0.5, F.col("iy") + 0.5
-    hit = covers(F.col("edges"), cx, cy) | F.exists("edges", lambda e: _crosses_unit_cell(e, F.col("ix"), F.col("iy")))
-    touched = cells.filter(hit).select("ix", "iy").distinct().withColumn("mask_land", F.lit(1))
+    frame = _Frame(0.0, 0.0, 1.0, width, height)
+    cells = polygon_cells(_layer_edges({"": local}), frame).filter(F.col("ix").between(0, width - 1) & F.col("iy").between(0, height - 1))
+    centre = ("(ix + 0.5D)", "(iy + 0.5D)")
+    changes = flips(*centre, frame.left("ix"), frame.bottom("iy")) + F.expr("int(inside)")
+    crossed = F.exists("edges", lambda e: _crosses_unit_cell(e, F.col("ix"), F.col("iy")))
+    cells = cells.withColumns({"changes": changes, "crossed": touched(*centre) | crossed}).groupBy(
+        "layer", "code", "shape", "ix", "iy").agg(F.max("crossed").alias("crossed"), F.sum("changes").alias("changes"))
+    hit = F.col("crossed") | (F.col("changes") % 2 == 1)
+    land = cells.filter(hit).select("ix", "iy").distinct().withColumn("mask_land", F.lit(1))
     number = F.col("id")
     grid = polygons.sparkSession.range(width * height).select(
         F.pmod(number, F.lit(width)).alias("ix"), F.floor(number / width).alias("iy"))
-    return grid.join(touched, ["ix", "iy"], "left").fillna(0, ["mask_land"])
+    return grid.join(land, ["ix", "iy"], "left").fillna(0, ["mask_land"])
 
 
 def _crosses_unit_cell(e: Column, ix: Column, iy: Column) -> Column:
@@ -175,6 +180,6 @@ def fill_nearest(cells: DataFrame, value: str = "value") -> DataFrame:
     shapes = rim.select(F.struct("ix", "iy", value).alias("code"), x.alias("x1"), y.alias("y1"), x.alias("x2"), y.alias("y2"))
     holes = cells.filter(F.col(value).isNull()).select(
         F.struct("ix", "iy").alias("cell"), x.alias("lon"), y.alias("lat"))
-    found = nearest(holes, shapes, "cell", size=1.0)
+    found = nearest(holes, shapes, "cell")
     filled = found.select(F.col("cell.ix").alias("ix"), F.col("cell.iy").alias("iy"), F.col(f"code.{value}").alias("_near"))
     return cells.join(filled, ["ix", "iy"], "left").withColumn(value, F.coalesce(value, "_near")).drop("_near")

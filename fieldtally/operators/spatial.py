@@ -1,238 +1,339 @@
 """Points against polygons: containment, nearest polygon, grid sampling.
 
 Polygons are rows `(code, rings)`, rings being arrays of `(lon, lat)`; holes are rings
-like any other (even-odd rule). All joins are equi joins on grid cells, so no pair of
-a far point and polygon is ever formed.
+like any other (even-odd rule). Layers are taken apart into edges at once, so that no later row holds a whole polygon.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geodesy import cell_index
+from ..session import cut_lineage
 
-# Slack on cell borders: a rounding error must not hide an edge; extra edges do no harm.
+# Rounding at cell borders: an edge this close (as a share of its size) belongs to both cells, which does no harm.
 _SLACK = 1e-9
-# Finest cell of the nearest search, in degrees, and the most cells a side it may make: wider
-# data get wider cells. That bounds the table of occupied cells to 720 × 720 × 4/3 rows.
-_SEARCH_CELL = 0.5
-_SEARCH_SIDE = 720
+# Cells a side of the containment grid, and edges that one row of it holds.
+_LEAST_SIDE, _MOST_SIDE, _HELD = 16, 1024, 128
+# The regular part of that grid covers this share of the corners; what lies beyond falls into its outer cells.
+_TAIL = 0.005
+# Most slabs (a power of 4) of the nearest search, and the edges a leaf should hold. Leaves are at most the square
+# of the slabs, which bounds what is broadcast to 65,536 rows for the finest level of a layer.
+_MOST_SLABS, _LEAF = 256, 4
 # Distances closer than this many decimals are ties; the smallest code wins.
 _DISTANCE_DECIMALS = 9
+_EDGE = ("x1", "y1", "x2", "y2")
 
 
-def edges_of(rings: Column) -> Column:
+def edges_of(rings: str = "rings") -> Column:
     """All edges `(x1, y1, x2, y2)` of a polygon; open rings are closed."""
-    def one_ring(ring: Column) -> Column:
-        nxt = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
-        return F.zip_with(ring, nxt, lambda a, b: F.struct(
-            a["lon"].alias("x1"), a["lat"].alias("y1"), b["lon"].alias("x2"), b["lat"].alias("y2")))
+    return F.expr(f"""flatten(transform({rings}, ring -> zip_with(
+        ring, concat(slice(ring, 2, greatest(size(ring) - 1, 0)), slice(ring, 1, 1)),
+        (a, b) -> struct(a.lon as x1, a.lat as y1, b.lon as x2, b.lat as y2))))""")
 
-    return F.flatten(F.transform(rings, one_ring))
 
+def _finite(value: Column) -> Column:
+    return F.coalesce(~F.isnan(value) & (F.abs(value) < float("inf")), F.lit(False))
+
+
+def edge_rows(polygons: DataFrame, code: str = "code") -> DataFrame:
+    """Polygons as one row per edge."""
+    return polygons.select(F.col(code).alias("code"), F.explode(edges_of()).alias("e")).select("code", "e.*")
+
+
+class _Frame(NamedTuple):
+    """A grid of `nx` by `ny` square cells; what lies outside is in cells -1 and n, which have no end."""
+
+    x0: float
+    y0: float
+    size: float
+    nx: int
+    ny: int
+
+    def column(self, x: str) -> str:
+        return f"int(greatest(least(floor(({x} - {self.x0!r}D) / {self.size!r}D), {self.nx}L), -1L))"
 
-def _bound(edges: Column, axis: str, low: bool) -> Column:
-    pick, best = (F.least, F.array_min) if low else (F.greatest, F.array_max)
-    return best(F.transform(edges, lambda e: pick(e[f"{axis}1"], e[f"{axis}2"])))
+    def row(self, y: str) -> str:
+        return f"int(greatest(least(floor(({y} - {self.y0!r}D) / {self.size!r}D), {self.ny}L), -1L))"
 
+    def left(self, ix: str) -> str:
+        """The left border of a cell; null where it has none."""
+        return f"if({ix} >= 0, {self.x0!r}D + ({ix}) * {self.size!r}D, null)"
 
-def polygon_cells(polygons: DataFrame, size: float, code: str = "code") -> DataFrame:
-    """Cells that may hold points of a polygon, each with the edges that matter there.
+    def bottom(self, iy: str) -> str:
+        return f"if({iy} >= 0, {self.y0!r}D + ({iy}) * {self.size!r}D, null)"
 
-    A horizontal ray to the right only meets edges that reach the row of the cell and
-    do not end left of it. Splitting rows first keeps the edge lists short for large
-    polygons, and spreads one polygon over many rows.
+
+def _layer_edges(layers: Mapping[str, DataFrame]) -> DataFrame:
+    """Edges of all layers: layer, code, shape (a hash that tells polygons of one code apart), x1, y1, x2, y2.
+
+    Rows that repeat a polygon count once; edges with unknown or non-finite ends are left out.
     """
-    with_edges = polygons.select(code, edges_of(F.col("rings")).alias("edges")).filter(F.size("edges") > 0)
-    rows = with_edges.select(code, "edges", F.explode(F.sequence(
-        cell_index(_bound(F.col("edges"), "y", True), 0.0, size),
-        cell_index(_bound(F.col("edges"), "y", False), 0.0, size))).alias("iy"))
-    low, high = F.col("iy") * size - _SLACK, (F.col("iy") + 1) * size + _SLACK
-    banded = rows.select(code, "iy", F.filter("edges", lambda e: (
-        (F.greatest(e["y1"], e["y2"]) >= low) & (F.least(e["y1"], e["y2"]) <= high))).alias("edges")
-    ).filter(F.size("edges") > 0)
-    cells = banded.select(code, "iy", "edges", F.explode(F.sequence(
-        cell_index(_bound(F.col("edges"), "x", True), 0.0, size),
-        cell_index(_bound(F.col("edges"), "x", False), 0.0, size))).alias("ix"))
-    left = F.col("ix") * size - _SLACK
-    return cells.select(code, "ix", "iy", F.filter(
-        "edges", lambda e: F.greatest(e["x1"], e["x2"]) >= left).alias("edges"))
+    out = None
+    for name, polygons in layers.items():
+        # hashed before the edges are listed, so once for each polygon
+        whole = polygons.select(F.lit(name).alias("layer"), "code", F.xxhash64("code", "rings").alias("shape"), edges_of().alias("edges"))
+        rows = whole.select("layer", "code", "shape", F.posexplode("edges").alias("place", "e")).select(
+            "layer", "code", "shape", "place", "e.*")
+        out = rows if out is None else out.unionByName(rows)
+    fine = [_finite(F.col(c)) for c in _EDGE]
+    return cut_lineage(out.filter(fine[0] & fine[1] & fine[2] & fine[3]).distinct().drop("place"))
 
 
-def covers(edges: Column, x: Column, y: Column) -> Column:
-    """Whether a point lies inside (even-odd rule) or on an edge."""
-    def side(e: Column) -> Column:
-        return (e["x2"] - e["x1"]) * (y - e["y1"]) - (x - e["x1"]) * (e["y2"] - e["y1"])
+def _frame(edges: DataFrame, size: float | None) -> _Frame:
+    """A grid over all but the outermost corners, with cells for about four times as many places as there are edges.
 
-    def crossed(e: Column) -> Column:
-        upward = (e["y1"] <= y) & (e["y2"] > y) & (side(e) > 0)
-        downward = (e["y2"] <= y) & (e["y1"] > y) & (side(e) < 0)
-        return upward | downward
+    Its lines are put off round numbers. Few far corners do not widen the cells.
+    """
+    tails = [_TAIL, 1 - _TAIL]
+    n, xs, ys = edges.agg(F.count("*"), F.percentile_approx("x1", tails, 1000), F.percentile_approx("y1", tails, 1000)).first()
+    if not n:
+        return _Frame(0.0, 0.0, 1.0, 1, 1)
+    widest = max(xs[1] - xs[0], ys[1] - ys[0])
+    side = min(_MOST_SIDE, max(_LEAST_SIDE, math.ceil(2 * math.sqrt(n))))
+    size = max(widest / side if size is None else size, widest / _MOST_SIDE) or 1.0
+    x0, y0 = xs[0] - 0.5618 * size, ys[0] - 0.5618 * size
+    return _Frame(x0, y0, size, math.ceil((xs[1] - x0) / size) + 1, math.ceil((ys[1] - y0) / size) + 1)
 
-    def touched(e: Column) -> Column:
-        return ((side(e) == 0) & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
-                & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])))
 
-    parity = F.size(F.filter(edges, crossed)) % 2 == 1
-    return parity | F.exists(edges, touched)
+def _positive(x: str, y: str, e: str = "") -> str:
+    """On which side of an edge's line a place lies; one on the line counts as a little higher, then a little to the right."""
+    side = f"(({e}x2 - {e}x1) * ({y} - {e}y1) - ({x} - {e}x1) * ({e}y2 - {e}y1))"
+    return f"(case when {side} <> 0 then {side} > 0 when {e}x1 <> {e}x2 then {e}x2 > {e}x1 else {e}y2 < {e}y1 end)"
 
 
-def _salt(key: Column, n: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+def flips(x: str, y: str, left: str, bottom: str) -> Column:
+    """How often the `edges` of a cell are crossed on the way from its lower left corner to a place in it.
+
+    The way goes up, then right. A null `left` or `bottom` is infinitely far, where it is outside.
+    """
+    turn, end = _positive(left, y, "e."), _positive(x, y, "e.")
+    start = f"if({bottom} is null, e.x2 < e.x1, {_positive(left, bottom, 'e.')})"
+    up = f"({left} is not null and (e.x1 <= {left}) <> (e.x2 <= {left}) and {start} <> {turn})"
+    right = f"((e.y1 <= {y}) <> (e.y2 <= {y}) and if({left} is null, {end} <> (e.y2 > e.y1), {turn} <> {end}))"
+    return F.expr(f"size(filter(edges, e -> {up} <> {right}))")
 
 
-def containing(points: DataFrame, polygons: DataFrame, key: str, size: float = 1.0, salt: int = 8,
+def touched(x: str, y: str) -> Column:
+    """Whether a place lies on one of the `edges`."""
+    return F.expr(f"""exists(edges, e -> (e.x2 - e.x1) * ({y} - e.y1) = ({x} - e.x1) * (e.y2 - e.y1)
+        and {x} between least(e.x1, e.x2) and greatest(e.x1, e.x2) and {y} between least(e.y1, e.y2) and greatest(e.y1, e.y2))""")
+
+
+def polygon_cells(edges: DataFrame, frame: _Frame) -> DataFrame:
+    """The cells of each polygon: layer, code, shape, ix, iy, chunk, inside, edges.
+
+    A cell that edges pass has these edges, and those only, in chunks; `inside` says (in chunk 0) whether its lower left corner
+    is inside. Cells wholly inside have no edges, cells wholly outside have no row. Corners are settled by
+    counting, along the lower border of a row of cells, the edges that cross it.
+    """
+    shape = ["layer", "code", "shape"]
+    rows = edges.selectExpr(
+        *shape, *_EDGE, "least(y1, y2) as low", "greatest(y1, y2) as high",
+        f"{_SLACK}D * (1 + greatest(abs(x1), abs(y1), abs(x2), abs(y2))) as room").selectExpr(
+        "*", "high - low <= 1e-6D * (1 + greatest(abs(y1), abs(y2))) as flat",
+        f"explode(sequence({frame.row('low - room')}, {frame.row('high + room')})) as iy")
+
+    # the part of an edge within a row of cells, and the cells it reaches there
+    bottom = f"greatest(least(coalesce({frame.bottom('iy')} - room, low), high), low)"
+    top = f"greatest(least(if(iy < {frame.ny}, {frame.bottom('(iy + 1)')} + room, high), high), low)"
+    at = [f"if(flat, {x}, x1 + ({y} - y1) * (x2 - x1) / if(flat, 1D, y2 - y1))" for x, y in (("x1", bottom), ("x2", top))]
+    wide = "(room + 1e-5D * abs(x2 - x1))"
+    reached = (frame.column(f"least({at[0]}, {at[1]}) - {wide}"), frame.column(f"greatest({at[0]}, {at[1]}) + {wide}"))
+    passed = rows.selectExpr(*shape, "iy", *_EDGE, f"explode(sequence({reached[0]}, {reached[1]})) as ix")
+    mixed = passed.selectExpr(
+        *shape, "ix", "iy", "struct(x1, y1, x2, y2) as edge", "false as inside",
+        f"int((row_number() over (partition by layer, code, shape, ix, iy order by x1, y1, x2, y2) - 1) div {_HELD}) as chunk")
+
+    # crossings of the lower border of each row, and the last corner to the left of each
+    crossed = rows.withColumn("line", F.expr(frame.bottom("iy"))).filter("(y1 <= line) <> (y2 <= line)").withColumn(
+        "guess", F.expr(frame.column("x1 + (line - y1) * (x2 - x1) / (y2 - y1)")))
+
+    def to_the_right(ix: str) -> str:
+        return f"({ix} < 0 or ({ix} <= {frame.nx} and {_positive(frame.left(ix), 'line')} = (y2 > y1)))"
+
+    last = f"case when {to_the_right('(guess + 1)')} then guess + 1 when {to_the_right('guess')} then guess else guess - 1 end"
+    odd = crossed.groupBy(*shape, "iy", F.expr(last).alias("last")).agg(F.expr("count(*) % 2 as odd")).filter("odd = 1")
+    row = "over (partition by layer, code, shape, iy order by last desc)"
+    runs = odd.selectExpr(*shape, "iy", "last", f"row_number() {row} as k", f"greatest(lead(last, 1, -1) {row}, -1) as next")
+    corners = runs.filter("k % 2 = 1 and next < last").selectExpr(
+        *shape, "explode(sequence(next + 1, last)) as ix", "iy", "cast(null as struct<x1:double,y1:double,x2:double,y2:double>) as edge",
+        "true as inside", "0 as chunk")
+    return mixed.unionByName(corners).groupBy(*shape, "ix", "iy", "chunk").agg(
+        F.max("inside").alias("inside"), F.collect_list("edge").alias("edges"))
+
+
+def _placed(points: DataFrame, frame: _Frame, cells: DataFrame, how: str = "inner") -> DataFrame:
+    """Points `(…, px, py)` beside the cells they lie in: adds layer, code, shape, changes and on_edge."""
+    met = points.selectExpr("*", f"{frame.column('px')} as ix", f"{frame.row('py')} as iy").join(cells, ["ix", "iy"], how)
+    changes = flips("px", "py", frame.left("ix"), frame.bottom("iy")) + F.expr("int(inside)")
+    return met.select(*points.columns, "layer", "code", "shape", changes.alias("changes"), touched("px", "py").alias("on_edge"))
+
+
+def _covered(border: bool) -> Column:
+    """Over the chunks of a point and polygon: whether it is inside, or on the border if that counts."""
+    on_edge = "coalesce(max(on_edge), false)"
+    return F.expr(f"coalesce(sum(changes) % 2 = 1, false) {'or' if border else 'and not'} {on_edge} as covered")
+
+
+def containing(points: DataFrame, polygons: DataFrame, key: str, size: float | None = None, border: bool = True,
                lon: str = "lon", lat: str = "lat") -> DataFrame:
-    """Every (point key, polygon code) where the polygon covers the point.
+    """Every (point key, polygon code) where the polygon contains the point; with `border`, also on its edges.
 
-    Cells crowded with points are split by a salt of the point's key; the polygons,
-    a bounded layer next to the points, are repeated per salt.
+    `size` is the width of the cells in coordinate units; by default it follows from the layer. Points without finite
+    coordinates are in no polygon. Crowded cells are left to adaptive skew handling.
     """
-    cells = polygon_cells(polygons, size).withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salt)])))
-    placed = points.select(
-        key, F.col(lon).alias("px"), F.col(lat).alias("py"),
-        cell_index(F.col(lon), 0.0, size).alias("ix"), cell_index(F.col(lat), 0.0, size).alias("iy"),
-        _salt(F.col(key), salt).alias("salt"),
-    ).filter(F.col("px").isNotNull() & F.col("py").isNotNull() & ~F.isnan("px") & ~F.isnan("py"))
-    hits = placed.join(cells, ["ix", "iy", "salt"]).filter(covers(F.col("edges"), F.col("px"), F.col("py")))
-    return hits.select(key, "code")
+    edges = _layer_edges({"": polygons})
+    frame = _frame(edges, size)
+    placed = points.select(key, F.col(lon).alias("px"), F.col(lat).alias("py")).filter(_finite(F.col(lon)) & _finite(F.col(lat)))
+    hits = _placed(placed, frame, polygon_cells(edges, frame))
+    return hits.groupBy(key, "code", "shape").agg(_covered(border)).filter("covered").select(key, "code").distinct()
 
 
-def segment_distance(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    """Planar distance from a point to a segment."""
-    dx, dy = x2 - x1, y2 - y1
-    along = F.coalesce(F.try_divide((x - x1) * dx + (y - y1) * dy, dx * dx + dy * dy), F.lit(0.0))
-    t = F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0))
-    ex, ey = x - (x1 + t * dx), y - (y1 + t * dy)
-    return F.sqrt(ex * ex + ey * ey)
+def segment_distance(x: str, y: str) -> str:
+    """Planar distance from a place to the segment x1, y1, x2, y2."""
+    dx, dy = "(x2 - x1)", "(y2 - y1)"
+    along = f"coalesce(try_divide(({x} - x1) * {dx} + ({y} - y1) * {dy}, {dx} * {dx} + {dy} * {dy}), 0D)"
+    t = f"least(greatest({along}, 0D), 1D)"
+    return f"sqrt(pow({x} - (x1 + {t} * {dx}), 2) + pow({y} - (y1 + {t} * {dy}), 2))"
 
 
-def _finite(value: Column) -> Column:
-    return F.coalesce(~F.isnan(value) & (F.abs(value) < float("inf")), F.lit(False))
+class _Tree(NamedTuple):
+    """Edges in slabs of equal numbers by x, cut into tiles by y, and the boxes of blocks of 4 x 4 tiles, and so on up."""
+
+    leaves: DataFrame
+    nodes: DataFrame
+    levels: int
 
 
-def _bounds(points: DataFrame, edges: DataFrame, lon: str, lat: str) -> tuple[tuple[float, float], float]:
-    """Lower corner and larger side of the box around points and edges."""
-    boxes = [edges.agg(F.min(F.least("x1", "x2")), F.min(F.least("y1", "y2")), F.max(F.greatest("x1", "x2")),
-                       F.max(F.greatest("y1", "y2"))).first(),
-             points.agg(F.min(lon), F.min(lat), F.max(lon), F.max(lat)).first()]
-    boxes = [b for b in boxes if b[0] is not None]
-    if not boxes:
-        return (0.0, 0.0), 0.0
-    low = tuple(float(min(b[i] for b in boxes)) for i in (0, 1))
-    return low, max(float(max(b[i + 2] for b in boxes)) - low[i] for i in (0, 1))
+def _slab(cuts: Column, value: Column) -> Column:
+    return F.size(F.filter(cuts, lambda c: c < value))
+
+
+def _tree(edges: DataFrame) -> _Tree:
+    """Built from quantiles of each layer: a few far edges widen the box of their own leaf and of nothing else below the top."""
+    parts = [i / _MOST_SLABS for i in range(1, _MOST_SLABS)]
+    x, y = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
+    found = edges.groupBy("layer").agg(F.count("*").alias("n"), F.percentile_approx(x, parts, 10_000).alias("cuts")).collect()
+    most = max((r.n for r in found), default=0)
+    levels = next(k for k in range(5) if 2 * 4 ** k >= min(_MOST_SLABS, math.sqrt(most / _LEAF)))
+    slabs = 4 ** levels
+    step = _MOST_SLABS // slabs
+    shares = F.array(*[F.lit(i / slabs) for i in range(1, slabs)]).cast("array<double>")
+    if slabs == 1:
+        leaves = edges.select("*", F.lit(0).alias("sx"), F.lit(0).alias("sy"))
+    else:
+        rows = [(r.layer, r.cuts[step - 1::step]) for r in found]
+        cuts = F.broadcast(edges.sparkSession.createDataFrame(rows, "layer string, cuts array<double>"))
+        slabbed = edges.join(cuts, "layer").withColumn("sx", _slab(F.col("cuts"), x)).drop("cuts")
+        tiles = slabbed.groupBy("layer", "sx").agg(F.percentile_approx(y, shares, F.lit(10_000)).alias("cuts"))
+        leaves = slabbed.join(F.broadcast(tiles), ["layer", "sx"]).withColumn("sy", _slab(F.col("cuts"), y)).drop("cuts")
+    leaf_boxes = leaves.groupBy("layer", "sx", "sy").agg(
+        F.min(F.least("x1", "x2")).alias("left"), F.max(F.greatest("x1", "x2")).alias("right"),
+        F.min(F.least("y1", "y2")).alias("low"), F.max(F.greatest("y1", "y2")).alias("high"),
+        F.min(F.struct("x1", "y1")).alias("corner"))
+    level = F.explode(F.sequence(F.lit(0), F.lit(max(0, levels - 1)))).alias("level")
+    up = leaf_boxes.select("*", level).withColumns({c: F.expr(f"shiftright({c}, 2 * level)") for c in ("sx", "sy")})
+    nodes = up.groupBy("layer", "level", "sx", "sy").agg(
+        *[f(c).alias(c) for c, f in (("left", F.min), ("right", F.max), ("low", F.min), ("high", F.max), ("corner", F.min))])
+    return _Tree(leaves, cut_lineage(nodes), levels)
+
+
+def _descended(rows: DataFrame, tree: _Tree, by: list[str], max_distance: float | None) -> DataFrame:
+    """Leaves that may hold the nearest edge of each row `(…, layer, px, py, wanted)`: adds sx, sy.
+
+    Level by level the nodes are kept whose box is within the least distance known, and that is tightened by a corner
+    of each node looked at. Nodes are broadcast; rows stay where they are, partitioned by `by`. Rows not
+    wanted pass through once, with null sx.
+    """
+    start = "double('infinity')" if max_distance is None else f"{float(max_distance)!r}D"
+    kept = [c for c in rows.columns]
+    rows = rows.selectExpr("*", f"{start} as bound", "if(wanted, 0, null) as sx", "if(wanted, 0, null) as sy")
+    across, along = "greatest(left - px, px - right, 0D)", "greatest(low - py, py - high, 0D)"
+    best = f"min(sqrt(pow(px - corner.x1, 2) + pow(py - corner.y1, 2))) over (partition by {', '.join(f'r.{c}' for c in by)})"
+    for level in range(tree.levels - 1, -1, -1):
+        kids = tree.nodes.filter(F.col("level") == level).selectExpr(
+            "layer", "sx as kx", "sy as ky", "shiftright(sx, 2) as sx", "shiftright(sy, 2) as sy", "left", "right", "low", "high", "corner")
+        gap = f"sqrt({across} * {across} + {along} * {along})"
+        same = " and ".join(f"r.{c} = k.{c}" for c in ("layer", "sx", "sy"))
+        within = F.expr(f"{same} and {gap} <= bound * (1 + 1e-12D) + 2e-9D")
+        met = rows.alias("r").join(F.broadcast(kids.alias("k")), within, "left").selectExpr(
+            *[f"r.{c}" for c in kept], f"least(bound, {best}) as bound", "kx as sx", "ky as sy", f"{gap} as gap")
+        rows = met.filter("not wanted or (sx is not null and gap <= bound * (1 + 1e-12D) + 2e-9D)").drop("gap")
+    return rows
+
+
+def _closest(rows: DataFrame, tree: _Tree, by: list[str], max_distance: float | None) -> DataFrame:
+    """Rows with distance and near_code of the edges in their leaves."""
+    found = _descended(rows, tree, by, max_distance).drop("bound").join(
+        tree.leaves.select("layer", "sx", "sy", F.col("code").alias("near_code"), *_EDGE), ["layer", "sx", "sy"], "left")
+    found = found.selectExpr(*rows.columns, f"round({segment_distance('px', 'py')}, {_DISTANCE_DECIMALS}) as distance", "near_code")
+    if max_distance is not None:
+        found = found.withColumn("distance", F.expr(f"if(distance <= {float(max_distance)!r}D, distance, null)"))
+    return found
 
 
 def nearest(points: DataFrame, edges: DataFrame, key: str, max_distance: float | None = None,
-            size: float = _SEARCH_CELL, salt: int = 8, lon: str = "lon", lat: str = "lat") -> DataFrame:
+            lon: str = "lon", lat: str = "lat") -> DataFrame:
     """The closest shape of every point: `(key, code, distance)`, in coordinate units.
 
-    `edges` has rows `(code, x1, y1, x2, y2)`. Any finite coordinates will do: origin and height of the pyramid
-    come from the bounds of both sides, which are looked up first. Points without coordinates have no row. The search
-    is exact and needs no rounds:
-
-    1. Cells form a pyramid, each level twice as coarse as the one below; the top one
-       holds everything. One vertex per occupied cell is kept. The table is bounded by
-       the range of the coordinates and the finest cell, so it is broadcast. The best
-       vertex among the cells around a point, level by level, bounds its distance.
-    2. At the level whose cells are at least as wide as that bound, the closest edge
-       reaches into one of the nine cells around the point. Edges are listed at every
-       level, so one equi join finds all that can win.
+    `edges` has rows `(code, x1, y1, x2, y2)`. Any finite coordinates will do; points without, and points farther than
+    `max_distance`, have no row. The search is exact: a tree of boxes over the edges is descended by all
+    points at once, and only edges of the leaves that remain are met.
     """
-    points = points.filter(_finite(F.col(lon)) & _finite(F.col(lat)))
-    origin, extent = _bounds(points, edges, lon, lat)
-    size = max(size, extent / _SEARCH_SIDE)
-    levels = search_levels(1.5 * extent, size)  # the top cell is as wide as any distance
-
-    def cell(value: Column, axis: int) -> Column:
-        return cell_index(value, origin[axis], size)
-
-    vertices = edges.select(cell(F.col("x1"), 0).alias("cx"), cell(F.col("y1"), 1).alias("cy"), "x1", "y1")
-    finest = vertices.groupBy("cx", "cy").agg(F.min(F.struct("x1", "y1")).alias("v"))
-    level = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level")
-    occupied = (
-        finest.select("cx", "cy", "v", level)
-        .select("level", F.expr("shiftright(cx, level)").alias("cx"), F.expr("shiftright(cy, level)").alias("cy"), "v")
-        .groupBy("level", "cx", "cy").agg(F.min("v").alias("v"))
-    )
-    # shuffled by key before the levels are listed, so that the grouping below stays in place
-    where = points.select(key, F.col(lon).alias("px"), F.col(lat).alias("py")).repartition(key)
-    looked = (
-        where.select("*", cell(F.col("px"), 0).alias("cx"), cell(F.col("py"), 1).alias("cy"), level)
-        .withColumn("cx", F.expr("shiftright(cx, level)")).withColumn("cy", F.expr("shiftright(cy, level)"))
-    )
-    gap = F.sqrt(F.pow(F.col("px") - F.col("v.x1"), 2) + F.pow(F.col("py") - F.col("v.y1"), 2))
-    bounded = looked.join(F.broadcast(occupied), ["level", "cx", "cy"]).groupBy(key).agg(
-        F.first("px").alias("px"), F.first("py").alias("py"), F.min(gap).alias("reach"))
-    if max_distance is not None:
-        bounded = bounded.withColumn("reach", F.least("reach", F.lit(float(max_distance))))
-
-    reach = F.col("reach") * (1 + 1e-12)
-    wide = F.greatest(F.ceil(F.log2(F.greatest(reach / size, F.lit(1e-9)))), F.lit(0)).cast("int")
-    picked = bounded.withColumn("level", wide).withColumn(
-        "level", F.when(F.pow(F.lit(2.0), F.col("level")) * size < reach, F.col("level") + 1).otherwise(F.col("level")))
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    asked = picked.withColumn("cx", cell(F.col("px"), 0)).withColumn("cy", cell(F.col("py"), 1)).select(
-        key, "px", "py", "reach", "level", F.expr("shiftright(cx, level)").alias("bx"),
-        F.expr("shiftright(cy, level)").alias("by"), F.explode(around).alias("o"), _salt(F.col(key), salt).alias("salt")
-    ).select(key, "px", "py", "reach", "level", (F.col("bx") + F.col("o.i")).alias("cx"),
-             (F.col("by") + F.col("o.j")).alias("cy"), "salt")
-    # of the nine cells only those the circle of the bound reaches
-    gaps = [f"greatest({o!r}D + {c} * side - {p}, {p} - {o!r}D - ({c} + 1) * side, 0D)"
-            for o, c, p in ((float(origin[0]), "cx", "px"), (float(origin[1]), "cy", "py"))]
-    asked = asked.withColumn("side", F.pow(F.lit(2.0), F.col("level")) * size).filter(
-        F.expr(f"pow({gaps[0]}, 2) + pow({gaps[1]}, 2) <= pow(reach, 2) * (1 + 1e-9) + 1e-18")).drop("side")
-
-    spans = edges.select(
-        "code", "x1", "y1", "x2", "y2", level,
-        cell(F.least("x1", "x2"), 0).alias("ax"), cell(F.greatest("x1", "x2"), 0).alias("zx"),
-        cell(F.least("y1", "y2"), 1).alias("ay"), cell(F.greatest("y1", "y2"), 1).alias("zy"))
-    listed = (
-        spans.select("code", "x1", "y1", "x2", "y2", "level", F.expr("shiftright(ay, level)").alias("ay"),
-                     F.expr("shiftright(zy, level)").alias("zy"),
-                     F.explode(F.expr("sequence(shiftright(ax, level), shiftright(zx, level))")).alias("cx"))
-        .select("code", "x1", "y1", "x2", "y2", "level", "cx", F.explode(F.sequence("ay", "zy")).alias("cy"))
-        .withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salt)])))
-    )
-    distance = F.round(segment_distance(F.col("px"), F.col("py"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")),
-                       _DISTANCE_DECIMALS)
-    found = asked.join(listed, ["level", "cx", "cy", "salt"]).select(key, "code", distance.alias("distance"))
-    if max_distance is not None:
-        found = found.filter(F.col("distance") <= max_distance)
-    return found.groupBy(key).agg(F.min(F.struct("distance", "code")).alias("b")).select(
+    fine = [_finite(F.col(c)) for c in _EDGE]
+    tree = _tree(edges.filter(fine[0] & fine[1] & fine[2] & fine[3]).select(F.lit("").alias("layer"), "code", *_EDGE))
+    rows = points.filter(_finite(F.col(lon)) & _finite(F.col(lat))).select(
+        key, F.lit("").alias("layer"), F.col(lon).alias("px"), F.col(lat).alias("py"), F.col(lon).isNotNull().alias("wanted")).repartition(key)
+    found = _closest(rows, tree, [key], max_distance).filter("distance is not null")
+    return found.groupBy(key).agg(F.min(F.struct("distance", F.col("near_code").alias("code"))).alias("b")).select(
         key, F.col("b.code").alias("code"), F.col("b.distance").alias("distance"))
 
 
-def edge_rows(polygons: DataFrame, code: str = "code") -> DataFrame:
-    """Polygons as one row per edge."""
-    return polygons.select(F.col(code).alias("code"), F.explode(edges_of(F.col("rings"))).alias("e")).select("code", "e.*")
+def assign_layers(points: DataFrame, layers: Mapping[str, DataFrame], key: str, max_distance: float | None = None,
+                  size: float | None = None, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """One area per point and layer, as columns `code_<layer>`: one that covers it, else the nearest one.
 
+    `max_distance` 0 turns the nearest search off, None leaves it unlimited. Several covering areas are settled by the smallest
+    code. Points without finite coordinates, or farther than allowed, keep null codes.
 
-def assign_areas(points: DataFrame, polygons: DataFrame, key: str, max_distance: float | None = None,
-                 size: float = 1.0, attributes: tuple[str, ...] = (), lon: str = "lon", lat: str = "lat") -> DataFrame:
-    """One area per point: one that covers it, else the nearest one.
-
-    `max_distance` 0 turns the nearest search off, None leaves it unlimited. Several
-    covering areas are settled by the smallest code. Points without finite
-    coordinates, or farther than allowed, keep a null code.
+    All layers are one table of edges, met in one join; each distinct position is looked up once and its codes are then
+    joined to the points (so that a position of very many points is split by adaptive skew handling).
     """
-    placed = points.select(key, lon, lat)
-    inside = containing(placed, polygons, key, size, lon=lon, lat=lat).groupBy(key).agg(F.min("code").alias("code"))
-    coded = placed.join(inside, key, "left")
-    if max_distance == 0:
-        out = coded.select(key, "code")
-    else:
-        left_over = coded.filter(
-            F.col("code").isNull()).select(key, lon, lat)
-        close = nearest(left_over, edge_rows(polygons), key, max_distance, lon=lon, lat=lat)
-        out = coded.select(key, F.col("code").alias("in_code")).join(
-            close.select(key, F.col("code").alias("near_code")), key, "left"
-        ).select(key, F.coalesce("in_code", "near_code").alias("code"))
+    edges = _layer_edges(layers)
+    frame = _frame(edges, size)
+    fine = _finite(F.col(lon)) & _finite(F.col(lat))
+    # the hash is what rows are partitioned by throughout: one exchange serves all groupings
+    at = F.xxhash64(F.col(lon) + 0.0, F.col(lat) + 0.0).alias("at")
+    positions = points.filter(fine).select(at, (F.col(lon) + 0.0).alias("px"), (F.col(lat) + 0.0).alias("py")).distinct()
+    hits = _placed(positions, frame, polygon_cells(edges, frame), "left").repartition("at")
+    covered = hits.groupBy("at", "px", "py", "layer", "code", "shape").agg(_covered(True))
+    names = list(layers)
+    codes = covered.groupBy("at", "px", "py").agg(*[
+        F.min(F.when(F.col("covered") & (F.col("layer") == name), F.col("code"))).alias(f"code_{name}") for name in names])
+    if max_distance != 0:
+        each = F.explode(F.array(*[F.struct(F.lit(n).alias("layer"), F.col(f"code_{n}").alias("code")) for n in names]))
+        rows = codes.select("at", "px", "py", each.alias("e")).select("at", "px", "py", "e.layer", "e.code", F.col("e.code").isNull().alias("wanted"))
+        near = _closest(rows, _tree(edges), ["at", "px", "py", "layer"], max_distance)
+        pick = F.struct("distance", "near_code")
+        codes = near.groupBy("at", "px", "py").agg(*[F.coalesce(
+            F.min(F.when(F.col("layer") == n, F.col("code"))),
+            F.min(F.when((F.col("layer") == n) & F.col("distance").isNotNull(), pick))["near_code"]).alias(f"code_{n}") for n in names])
+    placed = points.select(key, F.when(fine, at).alias("at"), (F.col(lon) + 0.0).alias("px"), (F.col(lat) + 0.0).alias("py"))
+    return placed.join(codes, ["at", "px", "py"], "left").select(key, *[f"code_{n}" for n in names])
+
+
+def assign_areas(points: DataFrame, polygons: DataFrame, key: str, max_distance: float | None = None,
+                 size: float | None = None, attributes: tuple[str, ...] = (), lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """One area of one layer per point, as :func:`assign_layers` finds it, with attributes of the area."""
+    out = assign_layers(points, {"area": polygons}, key, max_distance, size, lon, lat).withColumnRenamed("code_area", "code")
     if attributes:
-        out = out.join(polygons.select("code", *attributes), "code", "left")
+        out = out.join(polygons.select("code", *attributes), "code", "left").select(key, "code", *attributes)
     return out
 
 

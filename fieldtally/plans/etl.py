@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import classify, text
 from ..operators.filters import differs, from_known_app, geolocated
 from ..operators.fuzzy import best_match
-from ..operators.spatial import assign_areas, sample_pixels
-from ..operators.tables import align, append, overwrite_where_known, top_one, unseen
+from ..operators.spatial import assign_layers, sample_pixels
+from ..operators.tables import append, overwrite_where_known, top_one, unseen
 from ..sources.tables import read_parquet, write_parquet
 
 # Last test version of the own app, first day of the campaign, note of test reports.
@@ -212,15 +212,16 @@ def missing_name_share(areas: DataFrame, country: str = "Spain") -> DataFrame:
 
 
 def report_codes(points: DataFrame, gadm: DataFrame, climate_regions: DataFrame, ecoregions: DataFrame,
-                 key: str = "version_uuid", size: float = 1.0) -> DataFrame:
+                 key: str = "version_uuid", size: float | None = None) -> DataFrame:
     """Codes and names of the areas of each point, in three layers, one row per point."""
-    admin = assign_areas(points, gadm, key, size=size).withColumnRenamed("code", "code_gadm")
-    climate = assign_areas(points, climate_regions, key, size=size, attributes=("name",)).select(
-        key, F.col("code").alias("code_climate_regions"), F.col("name").alias("name_climate_regions"))
-    eco = assign_areas(points, ecoregions, key, size=size, attributes=("name", "level", "level_name")).select(
-        key, F.col("code").alias("code_ecoregions"), F.col("name").alias("name_ecoregions"),
-        F.col("level").alias("code_biome"), F.col("level_name").alias("name_biome"))
-    return align([admin, climate, eco], key)
+    layers = {"gadm": gadm, "climate_regions": climate_regions, "ecoregions": ecoregions}
+    climate = climate_regions.select(F.col("code").alias("code_climate_regions"), F.col("name").alias("name_climate_regions"))
+    eco = ecoregions.select(F.col("code").alias("code_ecoregions"), F.col("name").alias("name_ecoregions"),
+                            F.col("level").alias("code_biome"), F.col("level_name").alias("name_biome"))
+    out = assign_layers(points, layers, key, size=size)
+    out = out.join(climate, "code_climate_regions", "left").join(eco, "code_ecoregions", "left")
+    return out.select(key, "code_gadm", "code_climate_regions", "name_climate_regions", "code_ecoregions", "name_ecoregions",
+                      "code_biome", "name_biome")
 
 
 def updated_codes(points: DataFrame, known: DataFrame | None, code: Callable[[DataFrame], DataFrame],

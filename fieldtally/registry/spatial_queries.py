@@ -206,11 +206,14 @@ _GRID_SQL = f"""
     FROM range(720) a(i), range(240) b(j)"""
 _GRID_CTES = {
     "g": _GRID_SQL,
-    "kept": f"""SELECT DISTINCT id_cell FROM (SELECT id_cell, c_lon AS px, c_lat AS py FROM g) p
-                JOIN (SELECT code, x1, y1, x2, y2, min(least(x1, x2)) OVER (PARTITION BY code) AS xa,
-                             max(greatest(x1, x2)) OVER (PARTITION BY code) AS xb FROM v_edges)
-                  ON px BETWEEN xa AND xb
-                GROUP BY id_cell, code HAVING count(*) FILTER ({_CROSS}) % 2 = 1 OR bool_or({_TOUCH})""",
+    # crossings of each row of centres, then an equi join on the row; a centre on an edge is not within
+    "hits": """SELECT code, j, x1 + (-60 + j * 0.5::DOUBLE + 0.25::DOUBLE - y1) * (x2 - x1) / (y2 - y1) AS x
+               FROM (SELECT *, unnest(range(floor((least(y1, y2) + 60) / 0.5::DOUBLE)::BIGINT - 1,
+                                            ceil((greatest(y1, y2) + 60) / 0.5::DOUBLE)::BIGINT + 1)) AS j FROM v_edges)
+               WHERE (y1 <= -60 + j * 0.5::DOUBLE + 0.25::DOUBLE) <> (y2 <= -60 + j * 0.5::DOUBLE + 0.25::DOUBLE)""",
+    "kept": """SELECT DISTINCT id_cell FROM (
+                 SELECT id_cell, code FROM g JOIN hits ON id_cell % 240 = j GROUP BY id_cell, code
+                 HAVING count(*) FILTER (x > c_lon) % 2 = 1 AND NOT bool_or(x = c_lon))""",
     "cts": """SELECT floor((lon + 180) / 0.5::DOUBLE)::BIGINT * 240 + floor((lat + 60) / 0.5::DOUBLE)::BIGINT AS id_cell,
                      count(*) AS point_ct FROM v_points
               WHERE lon >= -180 AND lon < 180 AND lat >= -60 AND lat < 60 GROUP BY 1""",
@@ -289,7 +292,7 @@ ORACLE = {
     "grid_make_masked": with_views("""
         SELECT id_cell, round(lon, 3) AS lon, round(lat, 3) AS lat, round(c_lon, 3) AS c_lon, round(c_lat, 3) AS c_lat,
                round(area, 3) AS area FROM g JOIN kept USING (id_cell)""", "v_edges",
-        extra={k: _GRID_CTES[k] for k in ("g", "kept")}),
+        extra={k: _GRID_CTES[k] for k in ("g", "hits", "kept")}),
     "grid_counted_cells": with_views("SELECT * FROM cts", "v_points", extra={"cts": _GRID_CTES["cts"]}),
     "grid_point_density": with_views("""
         SELECT id_cell, point_ct, round(point_ct / (area / 1e6), 6) AS point_density

@@ -53,6 +53,85 @@ def test_nearest_against_all_pairs(spark):
     assert within == {i for i, (_, d) in got.items() if d <= 5.0}
 
 
+def covered(rings, x, y, border=True):
+    """Even-odd rule in whole numbers or fractions."""
+    odd = False
+    for ring in rings:
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+            side = (x2 - x1) * (y - y1) - (x - x1) * (y2 - y1)
+            if side == 0 and min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2):
+                return border
+            odd ^= (y1 <= y) != (y2 <= y) and (side > 0) == (y2 > y1)
+    return odd
+
+
+@pytest.mark.parametrize("size,border", [(None, True), (1.0, False), (0.7, True), (40.0, False)])
+def test_containment_against_even_odd_rule(spark, size, border):
+    """Corners, edges and points on whole numbers, where a cell border or a corner is met by chance all the time."""
+    rnd = random.Random(11)
+    shapes = [(f"s{i}", [[(rnd.randint(-8, 8), rnd.randint(-8, 8)) for _ in range(rnd.randint(3, 9))]
+                         for _ in range(rnd.randint(1, 3))]) for i in range(25)]
+    shapes.append(("far", [[(0, 0), (10 ** 6, 3), (5, 10 ** 6)]]))
+    shapes += [shapes[0], ("s1", [[(-9, -9), (9, -9), (9, 9), (-9, 9)]]), ("line", [[(0, 0), (3, 3)]]), ("none", []), ("dot", [[(1, 1)]])]
+    pts = [(i, rnd.randint(-18, 18) / 2, rnd.randint(-18, 18) / 2) for i in range(400)] + [(900, 5e5, 4e5), (901, -5e5, 0.0), (902, 1e300, -1e300)]
+    got = {tuple(r) for r in spatial.containing(spark.createDataFrame(pts, "id long, lon double, lat double"),
+                                                polygons(spark, shapes), "id", size, border).collect()}
+    assert got == {(i, c) for i, x, y in pts for c, rings in shapes if covered(rings, x, y, border)}
+
+
+def test_one_polygon_of_many_edges(spark):
+    """No row of the cells holds the polygon, and cells inside hold nothing."""
+    n = 100_000
+    ring = [(100 * math.cos(2 * math.pi * i / n) * (1 + 0.001 * (i % 2)), 80 * math.sin(2 * math.pi * i / n)) for i in range(n)]
+    polys = polygons(spark, [("ring", [ring])])
+    edges = spatial._layer_edges({"": polys})
+    frame = spatial._frame(edges, None)
+    cells = spatial.polygon_cells(edges, frame).select(F.size("edges").alias("n"), "inside")
+    most, total, full = cells.agg(F.max("n"), F.sum("n"), F.sum(((F.col("n") == 0) & F.col("inside")).cast("int"))).first()
+    assert most <= spatial._HELD and n <= total < 4 * n and full > 1000
+    rnd = random.Random(2)
+    pts = [(i, rnd.uniform(-120, 120), rnd.uniform(-90, 90)) for i in range(300)]
+    got = {r.id for r in spatial.containing(spark.createDataFrame(pts, "id long, lon double, lat double"), polys, "id").collect()}
+    sure = {i for i, x, y in pts if math.hypot(x / 100, y / 80) < 0.999}
+    assert sure <= got and not got & {i for i, x, y in pts if math.hypot(x / 100, y / 80) > 1.002}
+    assert got & set(range(20)) == {i for i, x, y in pts[:20] if covered([ring], x, y)}
+
+
+def test_a_far_edge_leaves_the_candidates_alone(spark):
+    rnd = random.Random(4)
+    edges = [(f"c{i:04d}", x, y, x + 0.3, y + 0.2) for i in range(3000) for x, y in [(rnd.uniform(-170, 170), rnd.uniform(-80, 80))]]
+    pts = [(i, rnd.uniform(-180, 180), rnd.uniform(-90, 90)) for i in range(2000)]
+    counts = []
+    for extra in ([], [("far", 1e6, 1e6, 1e6 + 5, 1e6)], [("long", 0.0, 0.0, 1e6, 1e6)]):
+        e = spark.createDataFrame(edges + extra, "code string, x1 double, y1 double, x2 double, y2 double")
+        tree = spatial._tree(e.withColumn("layer", F.lit("")))
+        rows = spark.createDataFrame(pts, "id long, px double, py double").select(
+            "id", F.lit("").alias("layer"), "px", "py", F.col("px").isNotNull().alias("wanted"))
+        leaves = spatial._descended(rows.repartition("id"), tree, ["id"], None)
+        counts.append(leaves.join(tree.leaves, ["layer", "sx", "sy"]).count())
+    assert counts[0] < 60 * len(pts) and max(counts) < counts[0] + 20 * len(pts), counts
+
+
+def test_layers_in_one_pass(spark):
+    """Positions shared by many points, points outside, without coordinates, and beyond the distance."""
+    one = polygons(spark, [("a", [SQUARE, HOLE]), ("b", [NEXT])])
+    two = polygons(spark, [("z", [[(0, 0), (2, 0), (2, 2), (0, 2)]]), ("y", [[(0, 0), (2, 0), (2, 2), (0, 2)]])])
+    pts = [(i, 1.5, 0.5) for i in range(500)] + [(500, 6.0, 1.0), (501, 2.0, 2.0), (502, 30.0, 1.0), (503, None, 1.0), (504, -0.0, 0.0)]
+    df = spark.createDataFrame(pts, "id long, lon double, lat double")
+    got = {r.id: (r.code_one, r.code_two) for r in spatial.assign_layers(df, {"one": one, "two": two}, "id").collect()}
+    assert got == {**{i: ("a", "y") for i in range(500)}, 500: ("b", "y"), 501: ("a", "y"), 502: ("b", "y"), 503: (None, None), 504: ("a", "y")}
+    near = {r.id: (r.code_one, r.code_two) for r in spatial.assign_layers(df, {"one": one, "two": two}, "id", 5.0).collect()}
+    assert near[502] == (None, None) and near[500] == ("b", "y")
+    inside = {r.id: (r.code_one, r.code_two) for r in spatial.assign_layers(df, {"one": one, "two": two}, "id", 0).collect()}
+    assert inside[500] == ("b", None) and inside[501] == (None, "y") and inside[502] == (None, None)
+    assert spatial.assign_layers(df, {"one": one.limit(0), "two": two}, "id").filter("code_one is not null").count() == 0
+
+
+def test_masked_grid_leaves_out_the_border(spark):
+    got = grids.make_grid(spark, (0, 4), (0, 4), 1.0, polygons(spark, [("t", [[(0, 0), (4, 0), (4, 4)]])])).collect()
+    assert {(r.lon, r.lat) for r in got} == {(i, j) for i in range(4) for j in range(i)}
+
+
 def test_missing_coordinates_keep_a_row(spark):
     df = spark.createDataFrame([(1, None, 2.0), (2, 1.0, float("nan")), (3, 20.0, 2.0)], "id long, lon double, lat double")
     got = {r.id: r.code for r in spatial.assign_areas(df, polygons(spark, [("a", [SQUARE])]), "id").collect()}

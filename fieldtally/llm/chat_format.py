@@ -6,7 +6,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,21 +57,26 @@ def format_turns(conversations: DataFrame) -> DataFrame:
                                  F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     order = clean.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, position = object(), 0
         for batch in batches:
-            rows = []
-            for conv, role, text in zip(batch["conv_id"].astype(object), batch["role"], batch["text"]):
-                conv = None if pd.isna(conv) else int(conv)
+            ids = batch.column("conv_id")
+            places, pieces, begins, ends = [], [], [], []
+            for conv, role, text in zip(ids.to_pylist(), batch.column("role").to_pylist(), batch.column("text").to_pylist()):
                 position = position + 1 if conv == current else 0
                 current = conv
                 piece, begin, end = render_turn(role, text)
                 masked = role == "assistant"
-                rows.append((conv, position, piece, begin if masked else None, end if masked else None))
-            out = pd.DataFrame(rows, columns=["conv_id", "position", "piece", "loss_from", "loss_to"])
-            yield out.astype({"conv_id": "Int64", "loss_from": "Int64", "loss_to": "Int64"})
+                places.append(position)
+                pieces.append(piece)
+                begins.append(begin if masked else None)
+                ends.append(end if masked else None)
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array(places, pa.int64()), pa.array(pieces, pa.string()), pa.array(begins, pa.int64()),
+                 pa.array(ends, pa.int64())], names=["conv_id", "position", "piece", "loss_from", "loss_to"])
 
-    return order.mapInPandas(write, "conv_id long, position long, piece string, loss_from long, loss_to long")
+    kind = clean.schema["conv_id"].dataType.simpleString()
+    return order.mapInArrow(write, f"conv_id {kind}, position long, piece string, loss_from long, loss_to long")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -83,24 +88,25 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """
     order = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "position")
 
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-        state, done = None, []
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, done, kind = None, [], None
 
         def close() -> None:
             if state is not None:
                 conv, n, turns, chars, loss, length = state
                 done.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), length))
 
-        def frame() -> pd.DataFrame:
-            out = pd.DataFrame(done, columns=columns).astype({"conv_id": "Int64"})
+        def rows() -> pa.RecordBatch:
+            kinds = (kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], names=[
+                "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
             done.clear()
             return out
 
         for batch in batches:
-            for conv, piece, begin, end in zip(batch["conv_id"].astype(object), batch["piece"], batch["loss_from"],
-                                               batch["loss_to"]):
-                conv = None if pd.isna(conv) else int(conv)
+            kind = batch.schema.field("conv_id").type
+            columns = [batch.column(c).to_pylist() for c in ("conv_id", "piece", "loss_from", "loss_to")]
+            for conv, piece, begin, end in zip(*columns):
                 if state is None or state[0] != conv:
                     close()
                     state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
@@ -109,16 +115,17 @@ def read_back(formatted: DataFrame) -> DataFrame:
                     raise ValueError(f"conversation {conv} cannot be read back")
                 state[1] += 1
                 state[2].update(f"{read[0]}\n{read[1]}\n".encode())
-                if not pd.isna(begin):
-                    masked = _ESCAPED.sub(r"\1", piece[int(begin):int(end)])
+                if begin is not None:
+                    masked = _ESCAPED.sub(r"\1", piece[begin:end])
                     state[3] += len(masked)
                     state[4].update(masked.encode())
                 state[5] += len(piece)
             if done:
-                yield frame()
+                yield rows()
         close()
         if done:
-            yield frame()
+            yield rows()
 
-    return order.mapInPandas(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, "
-                                     "loss_sha256 string, formatted_chars long")
+    kind = formatted.schema["conv_id"].dataType.simpleString()
+    return order.mapInArrow(digest, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
+                                    "formatted_chars long")

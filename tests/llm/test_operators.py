@@ -201,6 +201,15 @@ def test_conversations(spark):
     assert chat_format.read_back(chat_format.format_turns(frame.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("kind,ids", [("long", (2 ** 53, 2 ** 53 + 1, -(2 ** 63), None)), ("string", ("a", "b", "", None))])
+def test_conversation_ids_stay_apart(spark, kind, ids):
+    """Ids that a double cannot tell apart, beside a null one, and ids of another type."""
+    rows = [(c, turn, role, f"text {n}") for n, c in enumerate(ids) for turn, role in ((0, "user"), (1, "assistant"))]
+    frame = spark.createDataFrame(rows, f"conv_id {kind}, turn long, role string, text string").coalesce(1)
+    got = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat_format.read_back(chat_format.format_turns(frame)).collect()}
+    assert got == {c: (2, 6) for c in ids}
+
+
 # ---- 4 ------------------------------------------------------------------------------------------------------------
 
 def test_mix(docs, texts, spark):

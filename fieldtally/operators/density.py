@@ -16,12 +16,12 @@ from ..functions.geodesy import cell_key
 from ..session import cut_lineage
 from .components import components
 
-# A grid cell is cut into boxes twice: 8 per side, then 16 per side of each of those.
-_COARSE_BITS, _FINE_BITS = 3, 4
+# Boxes of a grid cell, and of a box: 8 per side.
+_COARSE_BITS = 3
 
 
-def _fine_index(value: Column, side: float) -> Column:
-    return F.floor(value / (side / 2 ** (_COARSE_BITS + _FINE_BITS))).cast("bigint")
+def _box_index(value: Column, side: float) -> Column:
+    return F.floor(value / (side / 2 ** _COARSE_BITS)).cast("bigint")
 
 
 def _box(fx: Column, fy: Column, drop_bits: int) -> Column:
@@ -41,13 +41,12 @@ def _neighbours(cell: str, reach: int = 2, half: bool = False) -> Column:
 def _linked_cells(core: DataFrame, by: list[str], eps: float) -> DataFrame:
     """Pairs of neighbouring cells with core points at most `eps` apart.
 
-    Boxes decide almost all pairs: boxes whose extents lie wholly within `eps` link
-    their cells, boxes that lie wholly beyond it cannot. Only box pairs in between are
-    looked at again with finer boxes, and what is open then point by point.
+    Boxes decide all pairs: boxes whose extents lie wholly within `eps` link
+    their cells, boxes that lie wholly beyond it cannot. Box pairs in between are cut into
+    finer boxes, round by round, down to single positions; points are never paired.
     """
-    def extents(level: str, parent: str | None) -> DataFrame:
-        keys = [*by, "cell", *([parent] if parent else []), level]
-        return core.groupBy(*dict.fromkeys(keys)).agg(
+    def extents(table: DataFrame, *keys: str) -> DataFrame:
+        return table.groupBy(*by, "cell", *keys).agg(
             F.min("x").alias("lox"), F.max("x").alias("hix"), F.min("y").alias("loy"), F.max("y").alias("hiy"))
 
     def side(boxes: DataFrame, s: str, columns: list[str]) -> DataFrame:
@@ -62,7 +61,7 @@ def _linked_cells(core: DataFrame, by: list[str], eps: float) -> DataFrame:
     ends = ["lox", "hix", "loy", "hiy"]
     cells = [*by, "cell_a", "cell_b"]
 
-    coarse = extents("coarse", None)
+    coarse = extents(core, "coarse")
     a = side(coarse, "a", ["cell", "coarse", *ends]).withColumn("cell_b", F.explode(_neighbours("cell_a", half=True)))
     first = judged(a.join(side(coarse, "b", ["cell", "coarse", *ends]), [*by, "cell_b"]))
     first = cut_lineage(first.select(*cells, "coarse_a", "coarse_b", (F.col("far") <= eps).alias("sure")))
@@ -71,45 +70,50 @@ def _linked_cells(core: DataFrame, by: list[str], eps: float) -> DataFrame:
     if open_boxes.isEmpty():
         return linked
 
-    fine = extents("fine", "coarse")
-    wanted = open_boxes.select(*cells, "coarse_a", "coarse_b")
-    second = judged(
-        wanted.join(side(fine, "a", ["cell", "coarse", "fine", *ends]), [*by, "cell_a", "coarse_a"])
-        .join(side(fine, "b", ["cell", "coarse", "fine", *ends]), [*by, "cell_b", "coarse_b"]))
-    second = cut_lineage(second.select(*cells, "fine_a", "fine_b", (F.col("far") <= eps).alias("sure")))
-    linked_2 = second.filter("sure").select(*cells).distinct()
-    open_pairs = second.filter(~F.col("sure")).join(linked_2, cells, "left_anti").select(*cells, "fine_a", "fine_b")
-
-    pts = core.select(*by, "cell", "fine", "x", "y")
-    third = (
-        open_pairs.join(side(pts, "a", ["cell", "fine", "x", "y"]), [*by, "cell_a", "fine_a"])
-        .join(side(pts, "b", ["cell", "fine", "x", "y"]), [*by, "cell_b", "fine_b"])
-        .filter(_apart("x_a", "y_a", "x_b", "y_b") <= eps).select(*cells).distinct()
-    )
-    return linked.unionByName(linked_2).unionByName(third).distinct()
+    # boxes of open pairs are halved, three times a round, until every pair is decided: a box of one position always is
+    found, bits, side_length = linked, _COARSE_BITS, eps / math.sqrt(2) * (1 - 1e-12)
+    pairs = open_boxes.select(*cells, F.col("coarse_a").alias("box_a"), F.col("coarse_b").alias("box_b"))
+    boxes = core.withColumnRenamed("coarse", "box")
+    while True:
+        bits += _COARSE_BITS
+        wanted = pairs.select(*by, F.explode(F.array(F.struct(F.col("cell_a").alias("cell"), F.col("box_a").alias("box")), F.struct(
+            F.col("cell_b").alias("cell"), F.col("box_b").alias("box")))).alias("e")).select(*by, "e.cell", "e.box").distinct()
+        step = side_length / 2 ** bits
+        inner = boxes.join(wanted, [*by, "cell", "box"]).withColumn("part", F.xxhash64(F.floor(F.col("x") / step), F.floor(F.col("y") / step)))
+        boxes = cut_lineage(inner.select(*by, "cell", "box", "part", "x", "y"))
+        extent = extents(boxes, "box", "part")
+        both = (pairs.join(side(extent, "a", ["cell", "box", "part", *ends]), [*by, "cell_a", "box_a"])
+                .join(side(extent, "b", ["cell", "box", "part", *ends]), [*by, "cell_b", "box_b"]))
+        judged_now = cut_lineage(judged(both).select(*cells, "part_a", "part_b", (F.col("far") <= eps).alias("sure")))
+        sure = judged_now.filter("sure").select(*cells).distinct()
+        found = found.unionByName(sure)
+        pairs = judged_now.filter(~F.col("sure")).join(sure, cells, "left_anti").select(
+            *cells, F.col("part_a").alias("box_a"), F.col("part_b").alias("box_b"))
+        if pairs.isEmpty():
+            return found.distinct()
+        boxes = boxes.drop("box").withColumnRenamed("part", "box")
 
 
 def _apart(x1: str, y1: str, x2: str, y2: str) -> Column:
     return F.expr(f"sqrt(({x1} - {x2}) * ({x1} - {x2}) + ({y1} - {y2}) * ({y1} - {y2}))")
 
 
-def density_clusters(points: DataFrame, by: Sequence[str], eps: float = 100.0, min_samples: int = 5) -> DataFrame:
+def density_clusters(points: DataFrame, by: Sequence[str], eps: float = 100.0, min_samples: int = 5,
+                     weight: str | None = None) -> DataFrame:
     """Cluster of every distinct position: `(by…, x, y, n, cluster)`, cluster null for noise.
 
     A point is core when at least `min_samples` points (itself included) lie within
     `eps`. The cells of the grid have the diagonal `eps`, so all points of one cell are
     neighbours: a cell with `min_samples` points is core as a whole, and only points of
     thin cells, fewer than `min_samples` each, are compared with their surroundings.
-    Points at one position are one row with a count throughout. `cluster` is the
+    Points at one position are one row with a count throughout; with `weight`, rows are so many points already. `cluster` is the
     smallest cell of the cluster; a border point joins its smallest neighbouring one.
     """
     by = list(by)
     side = eps / math.sqrt(2) * (1 - 1e-12)
-    here = points.groupBy(*by, "x", "y").agg(F.count("*").alias("n"))
-    bits = _COARSE_BITS + _FINE_BITS
-    fx, fy = _fine_index(F.col("x"), side), _fine_index(F.col("y"), side)
-    placed = here.select(*by, "x", "y", "n", _box(fx, fy, bits).alias("cell"),
-                         _box(fx, fy, _FINE_BITS).alias("coarse"), _box(fx, fy, 0).alias("fine"),
+    here = points.groupBy(*by, "x", "y").agg((F.count("*") if weight is None else F.sum(weight)).alias("n"))
+    bx, by_ = _box_index(F.col("x"), side), _box_index(F.col("y"), side)
+    placed = here.select(*by, "x", "y", "n", _box(bx, by_, _COARSE_BITS).alias("cell"), _box(bx, by_, 0).alias("coarse"),
                          cell_key(*[F.floor(F.col(c) / (eps * (1 + 1e-9))) for c in ("x", "y")]).alias("block"))
     # written down here, or the joins below would push their null checks on cells into
     # whatever the coordinates are computed from, and compute them once per branch
@@ -132,7 +136,7 @@ def density_clusters(points: DataFrame, by: Sequence[str], eps: float = 100.0, m
         placed.join(counted.filter(F.col("close") >= min_samples).select(*by, "x", "y", F.lit(True).alias("dense_spot")),
                     [*by, "x", "y"], "left")
         .withColumn("core", (F.col("cell_n") >= min_samples) | F.col("dense_spot").isNotNull())
-        .select(*by, "x", "y", "n", "cell", "coarse", "fine", "block", "core"))
+        .select(*by, "x", "y", "n", "cell", "coarse", "block", "core"))
     core = flagged.filter("core")
     links = _linked_cells(core, by, eps).select(*by, F.col("cell_a").alias("a"), F.col("cell_b").alias("b"))
     labels = components(core.select(*by, F.col("cell").alias("v")).distinct(), links, by)

@@ -128,12 +128,30 @@ def padded(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), fill
     return df.select(*out)
 
 
-def join_hot(many: DataFrame, one: DataFrame, keys: Sequence[str], how: str = "inner", salt: int = 8) -> DataFrame:
-    """Join a table with very frequent keys to one with few rows per key.
-
-    Rows of a frequent key are spread by a hash of the whole row (the same after a task
-    is run again), and the other side is repeated per salt.
+def join_hot(many: DataFrame, one: DataFrame, keys: Sequence[str], how: str = "inner", share: float = 0.005,
+             tracked: int = 10_000) -> DataFrame:
+    """Join a table with very frequent keys to one with few rows per key (`how` keeps the first side: inner, left, semi, anti).
+
+    A sketch of frequent items, merged over all tasks, finds the keys with more than about `share` of all rows; there are at
+    most 1 / share of them, so that the table of them is broadcast. Their rows are dealt out by number, equal rows too, and
+    the other side is repeated for those keys only; all other keys join plainly. Numbers follow a local order of whole
+    rows, so that a task that runs again deals alike. A wrong guess of the sketch changes the spread, not the result.
     """
-    spread = many.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in many.columns]), F.lit(salt)).cast("int"))
-    repeated = one.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salt)])))
-    return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    if how not in ("inner", "left", "left_outer", "left_semi", "left_anti", "semi", "anti"):
+        raise ValueError(f"no {how} join with frequent keys")
+
+    def hashed(side: DataFrame) -> Column:
+        return F.xxhash64(*[F.col(k).cast(many.schema[k].dataType) for k in keys])
+
+    found = many.select(hashed(many).alias("_h")).agg(
+        F.count("*").alias("_n"), F.expr(f"approx_top_k(_h, {int(1 / share)}, {tracked})").alias("_top"))
+    parts = F.ceil(F.col("_item.count") / (F.col("_n") * share)).cast("int")
+    hot = F.broadcast(found.select("_n", F.explode("_top").alias("_item")).select(
+        F.col("_item.item").alias("_h"), parts.alias("_parts")).filter("_parts > 1"))
+    marked = many.withColumn("_h", hashed(many))
+    cold = marked.join(hot, "_h", "left_anti").select(*many.columns).join(one, list(keys), how)
+    number = F.pmod(F.monotonically_increasing_id(), F.col("_parts")).cast("int")
+    dealt = marked.join(hot, "_h").sortWithinPartitions(*many.columns).withColumn("_part", number).select(*many.columns, "_part")
+    copies = one.withColumn("_h", hashed(one)).join(hot, "_h").withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).select(*one.columns, "_part")
+    return cold.unionByName(dealt.join(copies, [*keys, "_part"], how).drop("_part"))

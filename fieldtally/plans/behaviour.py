@@ -24,12 +24,16 @@ HQ = [a for a in ARCHETYPES_2 if a.startswith("HQ-")]
 LQ = [a for a in ARCHETYPES_2 if a.startswith("LQ-")]
 
 
+def _centres(points: DataFrame, user: str) -> DataFrame:
+    """UTM zone of the mean position of each user."""
+    return points.groupBy(user).agg(F.avg("lon").alias("m_lon"), F.avg("lat").alias("m_lat")).select(
+        user, utm_zone(F.col("m_lon")).alias("zone"), (F.col("m_lat") < 0).alias("south"))
+
+
 def projected(points: DataFrame, user: str = "user_id") -> DataFrame:
     """Valid points in metres, each user in the UTM zone of their mean position."""
-    centre = points.groupBy(user).agg(F.avg("lon").alias("m_lon"), F.avg("lat").alias("m_lat")).select(
-        user, utm_zone(F.col("m_lon")).alias("zone"), (F.col("m_lat") < 0).alias("south"))
     valid = points.filter(valid_point(F.col("lon"), F.col("lat")))
-    return with_utm(join_hot(valid, centre, [user]), F.col("zone"), F.col("south")).drop("zone", "south")
+    return with_utm(join_hot(valid, _centres(points, user), [user]), F.col("zone"), F.col("south")).drop("zone", "south")
 
 
 def dispersion(x: Column, y: Column) -> Column:
@@ -43,8 +47,21 @@ def bounding_box(points: DataFrame, *keys: str) -> DataFrame:
 
 
 def nano_mean(degrees: str) -> Column:
-    """Mean of a coordinate from whole billionths of a degree: the same for any order of the rows."""
-    return F.sum(F.round(F.col(degrees) * 1e9).cast("long")) / (F.count(degrees) * F.lit(1e9))
+    """Mean of a coordinate of weighted positions from whole billionths of a degree: the same for any order of the rows."""
+    whole = F.round(F.col(degrees) * 1e9).cast("decimal(20,0)") * F.col("n")
+    return F.sum(whole).cast("double") / (F.sum(F.when(F.col(degrees).isNotNull(), F.col("n"))) * F.lit(1e9))
+
+
+def _weighted_mean(value: str, weight: Column) -> Column:
+    return F.try_divide(F.sum(F.col(value) * weight), F.sum(F.when(F.col(value).isNotNull(), weight)))
+
+
+def weighted_dispersion(dx: str, dy: str, n: str = "n") -> Column:
+    """:func:`dispersion` of weighted positions, given relative to a place near their centre."""
+    total = F.sum(n)
+    square = F.sum(F.expr(f"{n} * ({dx} * {dx} + {dy} * {dy})")) / total
+    return F.sqrt(F.greatest(square - F.pow(F.sum(F.expr(f"{n} * {dx}")) / total, 2) - F.pow(F.sum(F.expr(f"{n} * {dy}")) / total, 2),
+                             F.lit(0.0)))
 
 
 def user_features(reports: DataFrame, report_type: str | None = None, min_samples: int = 5,
@@ -56,16 +73,27 @@ def user_features(reports: DataFrame, report_type: str | None = None, min_sample
     """
     points = only_type(reports, report_type).select("user_id", "lon", "lat")
     ok = valid_point(F.col("lon"), F.col("lat"))
-    basic = points.groupBy("user_id").agg(
-        F.count("*").alias("rows"), F.count(F.when(ok, 1)).alias("valid"),
-        nano_mean("lon").alias("m_lon"), nano_mean("lat").alias("m_lat"))
+    # reports at one position are one row with a count from here on
+    places = points.groupBy("user_id", "lon", "lat").agg(F.count("*").alias("n"))
+    valid = F.when(ok, F.col("n"))
+    basic = places.groupBy("user_id").agg(
+        F.sum("n").alias("rows"), F.coalesce(F.sum(valid), F.lit(0)).alias("valid"),
+        nano_mean("lon").alias("m_lon"), nano_mean("lat").alias("m_lat"),
+        _weighted_mean("lon", F.col("n")).alias("z_lon"), _weighted_mean("lat", F.col("n")).alias("z_lat"),
+        F.try_divide(F.sum(F.col("lon") * valid), F.sum(valid)).alias("v_lon"),
+        F.try_divide(F.sum(F.col("lat") * valid), F.sum(valid)).alias("v_lat"))
+    basic = cut_lineage(basic)
+    zone, south = utm_zone(F.col("z_lon")), F.col("z_lat") < 0
+    centre = with_utm(basic.select("user_id", "rows", zone.alias("zone"), south.alias("south"), "v_lon", "v_lat"),
+                      F.col("zone"), F.col("south"), "v_lon", "v_lat")
+    centre = centre.select("user_id", "rows", "zone", "south", F.col("x").alias("cx"), F.col("y").alias("cy"))
+    metres = with_utm(join_hot(places.filter(ok), centre, ["user_id"]), F.col("zone"), F.col("south"))
     # read by the spread and by the clusters
-    metres = cut_lineage(projected(points).select("user_id", "x", "y"))
-    spread = metres.groupBy("user_id").agg(dispersion(F.col("x"), F.col("y")).alias("spread"))
-    busy = basic.filter(F.col("rows") >= min_samples).select("user_id")
-    clusters = cluster_counts(
-        density_clusters(join_hot(metres, busy, ["user_id"]), ["user_id"], eps, min_samples),
-        ["user_id"])
+    metres = cut_lineage(metres.select("user_id", "rows", "n", "x", "y", (F.col("x") - F.col("cx")).alias("dx"),
+                                       (F.col("y") - F.col("cy")).alias("dy")))
+    spread = metres.groupBy("user_id").agg(weighted_dispersion("dx", "dy").alias("spread"))
+    busy = metres.filter(F.col("rows") >= min_samples).select("user_id", "x", "y", "n")
+    clusters = cluster_counts(density_clusters(busy, ["user_id"], eps, min_samples, "n"), ["user_id"])
     several = F.col("rows") > 1
     return basic.join(spread, "user_id", "left").join(clusters, "user_id", "left").select(
         "user_id",

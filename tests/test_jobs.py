@@ -92,12 +92,32 @@ def test_frequent_keys_join_like_a_plain_join(spark):
     from fieldtally.operators.tables import join_hot
     many = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
     one = spark.range(2500).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
-    for how in ("inner", "left"):
+    for how in ("inner", "left", "left_anti"):
+        if how == "left_anti":
+            assert join_hot(many, one, ["k"], how).count() == many.join(one, "k", how).count()
+            continue
         a = sorted(map(str, join_hot(many, one, ["k"], how).select("k", "v", "w").collect()))
         b = sorted(map(str, many.join(one, "k", how).select("k", "v", "w").collect()))
         assert a == b
 
 
+def test_equal_rows_of_a_frequent_key_are_dealt_out(spark):
+    """100,000 equal rows and keys of another integer type; cold keys are not repeated."""
+    from fieldtally.operators.tables import join_hot
+    many = spark.range(120_000).select(F.when(F.col("id") < 100_000, 7).otherwise(F.col("id")).cast("int").alias("k"), F.lit("same").alias("v"))
+    one = spark.range(200_000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = join_hot(many, one, ["k"])
+        assert out.count() == 120_000 and out.filter("k = 7 and w = 14").count() == 100_000
+        text = out._jdf.queryExecution().optimizedPlan().toString()
+        assert text.count("sequence(0, (_parts") == 1 and "approx_top_k" in text
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    nulls = spark.createDataFrame([(None, i) for i in range(500)] + [(1, 1)], "k long, v long")
+    assert join_hot(nulls, one, ["k"], "left").count() == 501 and join_hot(nulls, one, ["k"]).count() == 1
+
+
 def test_entity_options_settle_null_names(spark):
     codes = spark.createDataFrame([("a", "Spain"), ("b", None), ("c", "Italy"), ("d", "Spain")], "version_uuid string, name string")
     assert [r.entity for r in kpis.entity_options(codes, "name").collect()] == ["Total", "Italy", "Spain"]

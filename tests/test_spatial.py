@@ -183,6 +183,18 @@ def test_clusters_against_textbook(spark):
         assert got[name] == _dbscan(pts, 100.0, 5), name
 
 
+def test_frequent_positions_and_many_in_a_metre(spark):
+    """A user of 200,000 rows at three positions, and one with 20,000 positions within a metre and 5 more near reach."""
+    few = spark.range(200_000).select(F.lit("few").alias("g"), (F.col("id") % 3 * 80.0).alias("x"), F.lit(0.0).alias("y"))
+    dense = spark.range(20_000).select(F.lit("dense").alias("g"), (F.col("id") % 200 / 200).alias("x"), (F.col("id") / 20_000).alias("y"))
+    edge = spark.range(20).select(F.lit("dense").alias("g"), (100.99 + F.col("id") * 0.01).alias("x"), F.lit(0.5).alias("y"))
+    out = density.density_clusters(few.unionByName(dense).unionByName(edge), ["g"], 100.0, 5)
+    got = {r.g: (r.n_clusters, r.n_random_points) for r in density.cluster_counts(out, ["g"]).collect()}
+    assert got == {"few": (1, 0), "dense": (1, 0)}
+    weighted = out.groupBy("g").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
+    assert {r.g: (r.n, r.rows) for r in weighted.collect()} == {"few": (200_000, 3), "dense": (20_020, 20_020)}
+
+
 def test_components_of_a_shuffled_chain(spark):
     ids = list(range(400))
     random.Random(1).shuffle(ids)

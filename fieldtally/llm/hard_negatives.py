@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 from .vector_tables import Best, lists, matrix, points, runs, shards_and_queries, usable
 
 # Reference directions of a length of vectors, and the rows they are picked from.
@@ -263,6 +263,7 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, positives: int = 5, ne
     asked = rows.filter("anchors").select("label", "vector", F.array("vec_id").alias("ids"))
     blank = [F.lit(0).cast("long").alias(c) for c in ("window", "floor", "ceiling")]
     base = stored(_with_angles(few, references), "negatives-angles")
+    discard(few)
     base = base.select("*", F.lit(0).cast("long").alias("row"), *blank).select(_COLUMNS)
     anchors = stored(_with_angles(asked, references).withColumn("row", F.monotonically_increasing_id()), "negatives-anchors")
 

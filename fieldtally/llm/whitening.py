@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 from .vector_tables import matrix, usable
 
 # Quadrature nodes on the upper half of a contour, and eigenvalues that one interval should hold.
@@ -209,6 +209,7 @@ def whitened(vectors: DataFrame, components: int = 16, scale: int = 64) -> DataF
     turn = {dims: vectors / np.sqrt(values) for dims, (values, vectors, _) in found.items()}
     check = _moments(fit, fits, lambda z, dims: z @ turn[dims])
     error = {dims: float(np.abs(c - np.eye(len(c))).max(initial=0)) for dims, c in check.items()}
+    discard(fit)  # what follows needs the fitted numbers only
     largest = np.iinfo(np.int64).max
     kind = vectors.schema["vec_id"].dataType
 

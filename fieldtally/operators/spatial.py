@@ -343,8 +343,3 @@ def sample_pixels(points: DataFrame, pixels: DataFrame, x0: float, y0: float, si
     placed = points.withColumn("ix", cell_index(lon, x0, size)).withColumn(
         "iy", F.floor((F.lit(y0) - lat) / size).cast("bigint"))
     return placed.join(pixels, ["ix", "iy"]).drop("ix", "iy")
-
-
-def search_levels(extent: float, size: float) -> int:
-    """Pyramid height at which one cell holds an extent."""
-    return max(1, math.ceil(math.log2(max(extent / size, 1.0))) + 1)

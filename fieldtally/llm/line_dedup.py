@@ -86,26 +86,26 @@ def line_verdicts(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         per_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))
     wanted = texts.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"),
                           "wanted").filter(F.array_contains("wanted", F.col("line_no")))
-    wanted = stored(wanted.select(place.alias("place"), words_of(F.col("raw")).alias("words"))
-                    .select("place", "words", F.unhex(F.md5(F.array_join("words", " "))).alias("line"))
-                    .dropDuplicates(["line"]), "near-lines")
-
-    hashed = wanted.select("line", "place", F.transform("words", lambda w: F.xxhash64(w)).alias("codes"))
-    keys = hashed.select("line", "place", "codes", F.explode(F.sequence(F.lit(0), F.size("codes") - 1)).alias("at"))
-    keys = keys.select("line", "place", "at", F.xxhash64(F.slice("codes", F.lit(1), F.col("at")), F.slice(
+    found = stored(wanted.select(place.alias("place"), words_of(F.col("raw")).alias("words"))
+                   .select("place", "words", F.unhex(F.md5(F.array_join("words", " "))).alias("line"))
+                   .dropDuplicates(["line"]), "near-lines")
+    # numbers in the order of places: what is shuffled from here on are whole numbers only
+    wanted = stored(found.repartitionByRange("place").sortWithinPartitions("place").select(
+        "line", "words", F.monotonically_increasing_id().alias("id")), "numbered-lines")
+
+    hashed = wanted.select("id", F.transform("words", lambda w: F.xxhash64(w)).alias("codes"))
+    keys = hashed.select("id", "codes", F.explode(F.sequence(F.lit(0), F.size("codes") - 1)).alias("at"))
+    keys = keys.select("id", "at", F.xxhash64(F.slice("codes", F.lit(1), F.col("at")), F.slice(
         "codes", F.col("at") + 2, F.size("codes"))).alias("key"))
-    whole = hashed.select(F.col("line").alias("other"), F.col("place").alias("other_place"),
-                          F.xxhash64("codes", F.slice("codes", 1, 0)).alias("key"))
-    earliest = keys.groupBy("key", "at").agg(F.min(F.struct("place", "line")).alias("low"), F.count("*").alias("n"))
-    changed = keys.join(earliest.filter("n > 1"), ["key", "at"]).select("line", F.col("low.line").alias("other"))
-    longer = keys.join(whole, "key")
-    later = F.col("place") > F.col("other_place")
-    added = longer.select(F.when(later, F.col("line")).otherwise(F.col("other")).alias("line"),
-                          F.when(later, F.col("other")).otherwise(F.col("line")).alias("other"))
-    pairs = changed.unionByName(added).filter("line <> other").distinct()
-    a = wanted.select("line", F.col("words").alias("a"))
-    b = wanted.select(F.col("line").alias("other"), F.col("words").alias("b"))
-    near = pairs.join(a, "line").join(b, "other").filter(_within_one_edit(F.col("a"), F.col("b")))
+    whole = hashed.select(F.xxhash64("codes", F.slice("codes", 1, 0)).alias("key"), F.lit(-1).alias("gap"),
+                          F.col("id").alias("other"))
+    earliest = keys.groupBy("key", F.col("at").alias("gap")).agg(F.min("id").alias("other"), F.count("*").alias("n"))
+    met = keys.join(earliest.filter("n > 1").drop("n").unionByName(whole), "key").filter(
+        ((F.col("gap") < 0) | (F.col("gap") - F.col("at") == 0)) & (F.col("id") != F.col("other")))
+    pairs = met.select(F.greatest("id", "other").alias("id"), F.least("id", "other").alias("other")).distinct()
+    a = wanted.select("id", "line", F.col("words").alias("a"))
+    b = wanted.select(F.col("id").alias("other"), F.col("words").alias("b"))
+    near = pairs.join(a, "id").join(b, "other").filter(_within_one_edit(F.col("a"), F.col("b")))
     near = near.select(F.col("line").alias("near_line")).distinct()
 
     judged = lines.join(firsts.select("line", F.col("place").alias("first_place")), "line").join(

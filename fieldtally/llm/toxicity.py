@@ -19,6 +19,8 @@ from .quality import fold
 # Words that make up at least this share of all words are looked up in memory: at most 2 / SHARE words, and none of the
 # others is a hot key of the join that looks those up. No result depends on it.
 SHARE = 1 / (1 << 18)
+# A filter of words has this many bits a word, up to 16 MB in all; beyond that more words pass it in vain, and none is lost.
+WORD_BITS, MOST_BITS = 16, 1 << 27
 # Discounts to choose from, by the loss on the calibration fold.
 DISCOUNTS = (0.75, 1.0, 2.0, 3.0, 4.0)
 CALIBRATION_DOCUMENTS = 20_000
@@ -37,7 +39,8 @@ class KneserNey:
     either: float  # histories of both classes together
     vocabulary: int
     words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # hashes of the frequent words, sorted
-    ratios: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # discounts x those words, and NaN for any other
+    # discounts x those words, then the ratio of a word without counts, then NaN for one whose counts are not at hand
+    ratios: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
     def log_ratios(self, toxic: np.ndarray, ordinary: np.ndarray, either: np.ndarray) -> np.ndarray:
         """Discounts x words, from the counts of each word; a word with no counts has the backoff of both classes."""
@@ -145,16 +148,49 @@ def kneser_ney(counts: DataFrame, words: np.ndarray) -> KneserNey:
     for name, array in (("toxic", toxic), ("ordinary", ordinary), ("either", either)):
         array[at] = table.column(name).to_numpy()
     ratios = model.log_ratios(toxic, ordinary, either)
-    return replace(model, words=words, ratios=np.column_stack([ratios, np.full(len(ratios), np.nan)]))
+    unseen = model.log_ratios(np.zeros(1), np.zeros(1), np.zeros(1))
+    return replace(model, words=words, ratios=np.column_stack([ratios, unseen, np.full(len(ratios), np.nan)]))
 
 
-def _begun(texts: pa.Array, model: KneserNey) -> list[pa.Array]:
-    """What the frequent words of every text give, and the other words with the (frequent) words beside them."""
+def telling(counts: DataFrame, model: KneserNey) -> DataFrame:
+    """The words of `counts` whose ratio differs from that of a word without counts, under a model of one discount.
+
+    Where neither class has more histories of a word than the discount takes off, only the backoff is left in both
+    classes; it cancels, and the ratio is that of any such word.
+    """
+    return counts.filter(F.greatest("toxic", "ordinary") > F.lit(model.discounts[0]))
+
+
+def word_filter(words: DataFrame) -> np.ndarray:
+    """A bitmap (as bytes; a power of two of bits) that holds the hash of every row of `words(word)`, sized by their number."""
+    n = words.count()
+    bits = min(MOST_BITS, max(1 << 15, 1 << (n * WORD_BITS).bit_length()))
+    bit = F.col("word").bitwiseAND(F.lit(bits - 1)) + 1  # Spark's bitmaps begin at 1
+    parts = words.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).toArrow()  # at most MOST_BITS in all
+    out = np.zeros((bits >> 15) * 4096, np.uint8)
+    for bucket, part in zip(parts.column("bucket").to_pylist(), parts.column("bits").to_pylist()):
+        out[(bucket - 1) * 4096:bucket * 4096] = np.frombuffer(part, np.uint8)
+    return out
+
+
+def _may_hold(bitmap: np.ndarray, words: np.ndarray) -> np.ndarray:
+    bit = words & np.uint64(8 * len(bitmap) - 1)
+    return bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 == 1
+
+
+def _begun(texts: pa.Array, model: KneserNey, bitmap: np.ndarray | None) -> list[pa.Array]:
+    """What the words of every text give whose ratio is at hand, and the other words with the words beside them.
+
+    At hand are the ratios of frequent words and, given the `bitmap` of all telling words, of words outside it.
+    """
     words, offsets = word_hashes(texts)
     n = np.diff(offsets)
     begin, end = offsets[:-1], offsets[1:]
     at = _places(words, model.words)
-    known = at >= 0
+    if bitmap is not None:
+        at[(at < 0) & ~_may_hold(bitmap, words)] = -2
+    known = at != -1
     before, after = np.full(len(at), -1), np.full(len(at), -1)
     before[1:], after[:-1] = at[:-1], at[1:]
     before[begin[n > 0]] = -1
@@ -199,11 +235,11 @@ def _measures(batch: pa.RecordBatch, model: KneserNey) -> np.ndarray:
     return np.stack([sums / n, sums / np.sqrt(n), np.where(n > 0, mosts, np.nan), np.broadcast_to(np.log(n), sums.shape)], axis=2)
 
 
-def _measured(table: DataFrame, counts: DataFrame, model: KneserNey, name: str) -> DataFrame:
+def _measured(table: DataFrame, counts: DataFrame, model: KneserNey, name: str, bitmap: np.ndarray | None = None) -> DataFrame:
     """`table` with the columns that `_measures` needs in place of `text`.
 
-    Each text is reduced to the sums of its frequent words before anything is shuffled; every other word meets
-    its counts by a join and goes back to its row. A word without counts gets zeros, which is the backoff.
+    Each text is reduced to the sums of the words whose ratio is at hand before anything is shuffled (see `_begun`); every
+    other word meets its counts by a join and goes back to its row. A word without counts gets zeros, which is the backoff.
     """
     kept = [c for c in table.columns if c != "text"]
     names = [*kept, "row", "n", "sums", "mosts", "words", "pos", "before", "after"]
@@ -213,7 +249,7 @@ def _measured(table: DataFrame, counts: DataFrame, model: KneserNey, name: str)
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(c) for c in (*kept, "row")], *_begun(part.column("text"), model)],
+                    [*[part.column(c) for c in (*kept, "row")], *_begun(part.column("text"), model, bitmap)],
                     names=names)
 
     schema = "".join(f"`{c}` {table.schema[c].dataType.simpleString()}, " for c in kept)
@@ -278,6 +314,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", cut: float =
 def _scored(table: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     """`table(doc_id, text)` with `score` in place of `text`; other columns stay."""
     counts, model, logistic = train(table, labels, label)
+    counts = telling(counts, model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,7 +323,7 @@ def _scored(table: DataFrame, labels: DataFrame, label: str) -> DataFrame:
 
     kept = [c for c in table.columns if c != "text"]
     schema = "".join(f"`{c}` {table.schema[c].dataType.simpleString()}, " for c in kept)
-    return _measured(table, counts, model, "text-words").mapInArrow(judge, schema + "score double")
+    return _measured(table, counts, model, "text-words", word_filter(counts)).mapInArrow(judge, schema + "score double")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", cut: float = 0.5) -> DataFrame:

@@ -257,6 +257,24 @@ def test_word_coder(text):
     assert np.frombuffer(coder.encode(text), coder.kind).tolist() == want
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ab Z.,\n\t'7$\u00e9\u00a0\u3000", max_size=20), max_size=8))
+def test_words_looked_up_at_once(texts):
+    """Texts of one batch, of words between single blanks or not, have the ids of the tokenizer, in order."""
+    words, plain = token_records.coder(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    got = [np.frombuffer(ids, words.kind).tolist() for some in words.encode_all(pa.array(["x", *texts]).slice(1)) for ids in some]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_other_tokenizers_encode_as_they_are():
+    """A file that cuts texts in another way is not encoded by words."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words, plain = token_records.coder(path), Tokenizer.from_file(path)
+    texts = ["One sentence, of words.", "two\nlines  and blanks", ""]
+    got = [np.frombuffer(ids, words.kind).tolist() for some in words.encode_all(pa.array(texts)) for ids in some]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_records(docs, texts, spark, tmp_path):
     folder = str(tmp_path / "records")
     extra = docs.withColumn("start", docs.doc_id)
@@ -394,6 +412,43 @@ def test_words_have_counts_of_their_own(labelled, spark):
     assert got[9100] == pytest.approx(got[9101]) and got[9102] > got[9100] + 0.1
 
 
+def test_word_models_by_hand(labelled, spark):
+    """Continuation counts, discounts and ratios against plain Python, and the words whose ratio is that of an unseen one."""
+    docs, labels, rows, truth = labelled
+    taught = [(text, truth[i][1]) for i, text, *_ in rows[:700] if i in truth and truth[i][1] is not None
+              and zlib.crc32(str(i).encode()) % 5 > 1]
+    histories = [{}, {}, {}]
+    for text, toxic in taught:
+        w = [""] + lowered(text).split()
+        for before, word in zip(w, w[1:]):
+            for c in (0 if toxic else 1, 2):
+                histories[c].setdefault(word, set()).add(before)
+    n = [{w: len(h) for w, h in of.items()} for of in histories]
+    table = spark.createDataFrame(taught, "text string, y int")
+    frequent = toxicity.frequent_words(table)
+    counts = toxicity.continuation_counts(table, frequent)
+    names = sorted(n[2])
+    codes = dict(zip(hashing.word_hashes(pa.array([" ".join(names)]))[0].view(np.int64).tolist(), names))
+    got = {codes[r.word]: (r.toxic, r.ordinary, r.either) for r in counts.collect()}
+    assert got == {w: tuple(of.get(w, 0) for of in n) for w in names}
+    model = toxicity.kneser_ney(counts, frequent)
+    total = [sum(of.values()) for of in n]
+
+    def ratio(word, d):
+        shared = (n[2].get(word, 0) + 0.5) / (total[2] + 0.5 * (len(names) + 1))
+        p = [(max(n[c].get(word, 0) - d, 0) + sum(min(x, d) for x in n[c].values()) * shared) / total[c] for c in (0, 1)]
+        return np.log(p[0]) - np.log(p[1])
+
+    for i, d in enumerate(toxicity.DISCOUNTS):
+        value = model.log_ratios(*[np.array([of.get(w, 0) for w in names], dtype=float) for of in n])[i]
+        assert value == pytest.approx([ratio(w, d) for w in names])
+        telling = {codes[r.word] for r in toxicity.telling(counts, model.only(i)).collect()}
+        assert all(ratio(w, d) == pytest.approx(ratio("not a word", d)) for w in names if w not in telling)
+        bitmap = toxicity.word_filter(toxicity.telling(counts, model.only(i)))
+        inside = toxicity._may_hold(bitmap, hashing.word_hashes(pa.array([" ".join(names)]))[0])
+        assert telling <= {w for w, x in zip(names, inside) if x} and 0 < inside.sum()
+
+
 @pytest.mark.parametrize("share", [1.0, 0.003])
 def test_joined_words_score_as_frequent_ones(labelled, spark, share):
     """Scores do not depend on which words are looked up in memory: none, some, or all of them."""

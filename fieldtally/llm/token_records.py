@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import sys
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,6 +29,11 @@ MASK = 0xA282EAD8  # fixed value of the usual masked checksum
 SHARD_RECORDS = 20_000
 # Words a worker remembers the ids of; beyond that it starts anew.
 MOST_WORDS = 500_000
+# Bytes of text whose words are looked up at once; a longer text is encoded by itself.
+LOOKUP_BYTES = 1 << 23
+# Blanks that make a text more than words between single spaces and line ends (fixed value, what Python's \s matches).
+ODD_BLANKS = ("^[ \n]|[ \n]$|  | \n|\n |\n\n|"
+              r"[\t\x0b-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
 # How byte-level pieces are cut (fixed value, belongs to the vocabulary).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 
@@ -59,8 +66,9 @@ def frames(data: memoryview) -> Iterator[tuple[int, memoryview]]:
 class WordCoder:
     """A tokenizer that remembers words.
 
-    Byte-level pieces never reach over a single space between two other characters, so that the
-    ids of a text are those of its space-separated words in a row.
+    Byte-level pieces never reach over a single space between two other characters, and a single line end between two
+    others is a piece, so that the ids of a text are those of its words in a row. Tokenizers with a normalizer or with
+    another way of cutting pieces encode every text as it is.
     """
 
     _plain = re.compile(r"[\x20-\x7eÀ-ÖØ-öø-ɏ]+")
@@ -75,6 +83,7 @@ class WordCoder:
         self.kind = f"<u{self.width}"
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.marked = not any(a.isalpha() for a in self.added)
+        self.by_words = self._cuts_bytes() and not any(c in a for a in self.added for c in " \n")
         self.pieces = re.compile(PIECES)
         # byte-level letters: printable bytes stand for themselves, the others for letters past the bytes
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -84,7 +93,20 @@ class WordCoder:
         self.letter = "H" if self.width == 2 else "I"
         self.words: dict[str, bytes] = {}  # a word after a space
         self.parts: dict[str, bytes] = {}  # a byte-level piece, or a stretch of text as it stands
-        self.stops = {c: self._piece(c) for c in ".,"}
+        self.space = self.letters[32]
+        self.stops, self.line = {}, b""
+        if self.by_words:
+            self.stops, self.line = {c: self._piece(c) for c in ".,"}, self._piece("\n")
+
+    def _cuts_bytes(self) -> bool:
+        """Whether the loaded file cuts texts the way of PIECES, and changes nothing before that."""
+        told = json.loads(self.tokenizer.to_str())
+        cut, model = told.get("pre_tokenizer") or {}, told["model"]
+        return (told.get("normalizer") is None and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space", True)
+                and cut.get("use_regex", True) and model.get("type") == "BPE" and not model.get("continuing_subword_prefix")
+                and not model.get("end_of_word_suffix") and all(
+                    not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] and " " in t["content"])
+                    for t in told.get("added_tokens", [])))
 
     def _packed(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self.letter}", *ids)
@@ -107,29 +129,85 @@ class WordCoder:
             return found
         if not self._plain.fullmatch(part) or "  " in part or any(a in part for a in self.added):
             return self._kept(self.parts, part, self._packed(self.tokenizer.encode(part, add_special_tokens=False).ids))
-        return b"".join([self._word(p[1:]) if p[0] == " " and p[1:].isalpha() else self.parts.get(p) or
-                         self._kept(self.parts, p, self._piece(p)) for p in self.pieces.findall(part)])
+        pieces = self.pieces.findall(part)
+        if len(pieces) == 1 and not (part[0] == " " and part[1:].isalpha()):
+            return self._kept(self.parts, part, self._piece(part))
+        ids = b"".join([self._word(p[1:]) if p[0] == " " and p[1:].isalpha() else self.parts.get(p) or
+                        self._kept(self.parts, p, self._piece(p)) for p in pieces])
+        return self._kept(self.parts, part, ids) if part[0] != " " else ids
 
     def _word(self, word: str) -> bytes:
         """The ids of a word after a space. Words of letters are one piece; a stop or comma after them is another."""
         found = self.words.get(word)
         if found is not None:
             return found
-        if self.marked and word.isalpha() and (word.isascii() or self._plain.fullmatch(word)):
-            return self._kept(self.words, word, self._piece(" " + word))
+        if self.marked and word.isalpha():
+            if word.isascii():
+                return self._kept(self.words, word, self._packed([t.id for t in self.model.tokenize(self.space + word)]))
+            if self._plain.fullmatch(word):
+                return self._kept(self.words, word, self._piece(" " + word))
         if word[-1:] in self.stops and word[:-1].isalpha():
             return self._kept(self.words, word, self._word(word[:-1]) + self.stops[word[-1]])
-        return self._part(" " + word)
+        return self._kept(self.words, word, self._part(" " + word))
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian numbers of `width` bytes."""
         if not text:
             return b""
+        if not self.by_words:
+            return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or self._blank.search(text):
             return b"".join([self._part(p) for p in self._cut.split(text)])
-        first, *rest = text.split(" ")
+        lines = [text] if "\n\n" in text or text[0] == "\n" or text[-1] == "\n" else text.split("\n")
         known = self.words.get
-        return b"".join([self._part(first), *[known(w) or self._word(w) for w in rest]])
+        out = []
+        for line in lines:
+            first, *rest = line.split(" ")
+            out += [self.line, self._part(first), *[known(w) or self._word(w) for w in rest]]
+        return b"".join(out[1:])
+
+
+    def _token(self, token: str) -> bytes:
+        """The ids of a word after a space, after a line end (which it begins with), or at the start (after a mark)."""
+        if token[0] == "\n":
+            return self.line + self._part(token[1:])
+        if token[0] == "\x0b":
+            return self._part(token[1:]) if len(token) > 1 else b""
+        return self.words.get(token) or self._word(token)
+
+    def encode_all(self, texts: pa.Array) -> Iterator[list[bytes]]:
+        """The ids of all texts (none null) in order, in lists for some at a time. Of a list's words each is looked up once."""
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + LOOKUP_BYTES, "right")))
+            part = texts.slice(at, stop - at)
+            if self.by_words and sizes[at] <= LOOKUP_BYTES:
+                yield self._looked_up(part)
+            else:
+                yield [self.encode(text) for text in part.to_pylist()]
+            at = stop
+
+    def _looked_up(self, texts: pa.Array) -> list[bytes]:
+        odd = pc.match_substring_regex(texts, ODD_BLANKS)
+        words = pc.split_pattern(pc.binary_join_element_wise(
+            "\x0b", pc.replace_substring(texts.filter(pc.invert(odd)), "\n", " \n"), ""), " ")
+        distinct = words.flatten().dictionary_encode()
+        codes = [self._token(token) for token in distinct.dictionary.to_pylist()]
+        lengths = np.fromiter(map(len, codes), np.int64, len(codes)) // self.width
+        begins = np.cumsum(lengths) - lengths
+        which = distinct.indices.to_numpy()
+        n = lengths[which]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = np.frombuffer(b"".join(codes), self.kind)[np.repeat(begins[which] - upto[:-1], n) + np.arange(upto[-1])]
+        offsets = words.offsets.to_numpy()
+        cuts = upto[offsets - offsets[0]] * self.width
+        flat = memoryview(ids.tobytes())
+        found = iter([bytes(flat[a:b]) for a, b in zip(cuts[:-1], cuts[1:])])
+        if not pc.any(odd).as_py():
+            return list(found)
+        return [self.encode(text) if other else next(found) for text, other in zip(texts.to_pylist(), odd.to_pylist())]
 
 
 def coder(path: str) -> WordCoder:
@@ -161,17 +239,14 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int | No
         words = coder(tokenizer)
         tail = b"" if end_id is None else int(end_id).to_bytes(words.width, "little")
         for batch in batches:
-            out: list[bytes] = []
-            size = 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = words.encode(text.as_py()) + tail
-                head = struct.pack(_HEAD, doc or 0, doc is not None, words.width, len(ids) // words.width)
-                out.append(frame(head + ids)[:-1])
-                size += len(ids)
-                if size > 1 << 24:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
-                    out, size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+            docs = iter(batch.column(0).to_pylist())
+            for some in words.encode_all(batch.column(1)):
+                out: list[bytes] = []
+                for ids, doc in zip(some, docs):
+                    ids += tail
+                    head = struct.pack(_HEAD, doc or 0, doc is not None, words.width, len(ids) // words.width)
+                    out.append(frame(head + ids)[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     records = ranged.mapInArrow(encode, "record binary").select(F.col("record").cast("string").alias("value"))
     records.write.option("compression", "none").option("lineSep", "\n").option(

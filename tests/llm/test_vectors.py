@@ -77,6 +77,19 @@ def test_repeated_rows_of_a_query(spark):
     assert sorted(map(tuple, got.collect())) == sorted(one + one)
 
 
+def test_default_search_misses_nothing(spark):
+    """Norms far apart and few directions: least distances of branches are large shares of the true ones."""
+    r = np.random.default_rng(5)
+    basis = r.standard_normal((3, 16))
+    rows = [(i, (basis.T @ r.standard_normal(3) * r.lognormal(0, 1)).tolist()) for i in range(3000)]
+    got = vantage_search.nearest_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0)
+    vectors = np.array([v for _, v in rows])
+    scores = vectors[::20] @ vectors.T
+    scores[np.arange(150), np.arange(0, 3000, 20)] = -np.inf
+    want = {(20 * q, int(j)) for q, near in enumerate(np.argsort(-scores, axis=1)[:, :20]) for j in near}
+    assert {(x.query_id, x.vec_id) for x in got.collect()} == want
+
+
 def test_huge_components_do_not_stop_the_search(spark):
     rows = [(20, [1e200, 1e200]), (1, [1e200, -1e200]), (2, [1e200, 1e200]), (3, [1.0, 1.0])]
     got = vantage_search.nearest_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 20)

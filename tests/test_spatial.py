@@ -112,6 +112,38 @@ def test_a_far_edge_leaves_the_candidates_alone(spark):
     assert counts[0] < 60 * len(pts) and max(counts) < counts[0] + 20 * len(pts), counts
 
 
+def test_shared_edges_are_searched_once(spark):
+    """Edges that many shapes share: one edge of the tree, and the smallest code."""
+    rows = [(f"c{i:02d}", float(x), 0.0, x + 1.0, 0.0) for x in range(6) for i in range(50 - x)]
+    edges = spark.createDataFrame(rows, "code string, x1 double, y1 double, x2 double, y2 double")
+    assert spatial._tree(edges.withColumn("layer", F.lit(""))).leaves.count() == 6
+    pts = spark.createDataFrame([(1, 0.5, 1.0), (2, 5.5, -2.0), (3, 1.0, 3.0)], "id long, lon double, lat double")
+    assert {tuple(r) for r in spatial.nearest(pts, edges, "id").collect()} == {(1, "c00", 1.0), (2, "c00", 2.0), (3, "c00", 3.0)}
+
+
+def test_cells_are_not_broadcast_and_hold_no_covered_codes(spark):
+    """Wide polygons over one another: only codes below one that covers a cell may matter there."""
+    square = [(-50, -50), (50, -50), (50, 50), (-50, 50)]
+    wide = [[(x + i / 7, y) for x, y in square] for i in range(40)]
+    polys = polygons(spark, [(f"p{i:02d}", [ring]) for i, ring in enumerate(wide)])
+    edges = spatial._layer_edges({"": polys})
+    frame = spatial._frame(edges, None)
+    cells = spatial.polygon_cells(edges, frame)
+    assert 10 * spatial._decisive(cells).filter("abs(ix - 10) < 5 and abs(iy - 10) < 5").count() < cells.filter("abs(ix - 10) < 5 and abs(iy - 10) < 5").count()
+    pts = spark.createDataFrame([(i, i * 1.1 - 60, (i % 11) * 11.0 - 55) for i in range(110)], "id long, lon double, lat double")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = spatial.containing(pts, polys, "id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "BroadcastHashJoin" not in plan
+    got = {r.id: r.code for r in spatial.assign_areas(pts, polys, "id", 0).collect()}
+    every = {}
+    for r in spatial.containing(pts, polys, "id").collect():
+        every[r.id] = min(r.code, every.get(r.id, r.code))
+    assert got == {i: every.get(i) for i in range(110)} and len(every) > 50
+
+
 def test_layers_in_one_pass(spark):
     """Positions shared by many points, points outside, without coordinates, and beyond the distance."""
     one = polygons(spark, [("a", [SQUARE, HOLE]), ("b", [NEXT])])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,11 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .tables import join_hot
 
+# Levels of cells that are counted at once, from the widest down; finer ones only where rows are still crowded.
+_LEVELS = 12
+# Distances are rounded to 12 decimals, and what is as near as the k-th one after that is a tie.
+_TIE = 2e-12
+
 
 def min_max_scaled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns scaled to 0…1 by their global range; a constant column becomes 0."""
@@ -53,7 +59,7 @@ def gower_distance(numeric: Sequence[tuple[Column, Column]], categories: Sequenc
 
 
 def nearest_users(df: DataFrame, key: str, numeric: Sequence[str], categories: Sequence[str] = (), k: int = 5,
-                  depth: int = 12, metric: str = "gower") -> DataFrame:
+                  depth: int = 36, metric: str = "gower") -> DataFrame:
     """The k nearest other rows of each row: `(key, other, distance, rank)`.
 
     `metric` is "gower" or "euclidean"; the latter takes numeric columns only, as they are (scale them before
@@ -65,7 +71,9 @@ def nearest_users(df: DataFrame, key: str, numeric: Sequence[str], categories: S
     1. Rows with equal features are one spot with its smallest keys; only the k + 1
        smallest can be anyone's neighbours, since ties go to the smaller key.
     2. Spots are placed in a pyramid of cells per category combination. The finest cell
-       around a spot that holds k + 1 rows bounds the distance of the k-th neighbour.
+       around a spot that holds k + 1 rows bounds the distance of the k-th neighbour. Only
+       crowded cells are divided further, so that features which crowd at any scale (as
+       rows of unit length do) meet few others: spots that ask at a level are few in each cell.
     3. Neighbours lie in cells next to the spot's own, at the level as wide as the
        bound; other category combinations only matter when the bound allows a mismatch.
     """
@@ -95,19 +103,28 @@ def nearest_users(df: DataFrame, key: str, numeric: Sequence[str], categories: S
     finest = [F.least(F.floor(F.col(c) * top), F.lit(top - 1)).cast("bigint").alias(f"_c{i}") for i, c in enumerate(numeric)]
     cells = [f"_c{i}" for i in range(len(numeric))]
     placed = spots.select(*features, "keys", "kept", *finest)
-    level = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level")
 
-    def at_level(table: DataFrame) -> DataFrame:
+    def at_level(table: DataFrame, low: int, high: int) -> DataFrame:
         """One row per level; level 0 is the finest."""
+        level = F.explode(F.sequence(F.lit(low), F.lit(high))).alias("level")
         return table.select(*table.columns, level).withColumns(
             {c: F.expr(f"shiftright({c}, level)") for c in cells})
 
     cats = list(categories)
-    populated = at_level(placed.select(*cats, "kept", *cells)).groupBy(*cats, "level", *cells).agg(
-        F.sum("kept").alias("there"))
-    # coarse cells hold many spots each
-    enough = join_hot(at_level(placed.select(*features, *cells)),
-                      populated.filter(F.col("there") >= k + 1), [*cats, "level", *cells])
+    crowded, found = placed.select(*features, "kept", *cells), []
+    for high in range(depth, -1, -_LEVELS):
+        low = max(0, high - _LEVELS + 1)
+        populated = at_level(crowded.select(*cats, "kept", *cells), low, high).groupBy(*cats, "level", *cells).agg(
+            F.sum("kept").alias("there"))
+        # coarse cells hold many spots each
+        enough = join_hot(at_level(crowded.select(*features, *cells), low, high),
+                          populated.filter(F.col("there") >= k + 1), [*cats, "level", *cells])
+        finest_of = cut_lineage(enough.groupBy(*features).agg(F.min("level").alias("level")))
+        found.append(finest_of)
+        if low == 0 or finest_of.filter(F.col("level") == low).isEmpty():
+            break
+        crowded = crowded.join(finest_of.filter(F.col("level") == low).select(*features), features)
+    enough = reduce(DataFrame.unionByName, found)
     # cell of side s: no two of its points differ by more than s per coordinate, which bounds their distance
     side = F.pow(F.lit(2.0), F.col("level") - depth)
     bound = enough.groupBy(*features).agg((F.min(side) * across).alias("reach"))
@@ -126,7 +143,9 @@ def nearest_users(df: DataFrame, key: str, numeric: Sequence[str], categories: S
         *[c for c in asked.columns if c not in cells and c != "_o"],
         *[(F.expr(f"shiftright({c}, level)") + F.col("_o")[i]).alias(c) for i, c in enumerate(cells)])
 
-    listed = at_level(placed.select(*[F.col(c).alias(f"b_{c}") for c in features], F.col("keys").alias("b_keys"), *cells))
+    span = asked.agg(F.min("level"), F.max("level")).first()
+    listed = at_level(placed.select(*[F.col(c).alias(f"b_{c}") for c in features], F.col("keys").alias("b_keys"), *cells),
+                      *(depth if v is None else v for v in span))
     same = F.lit(True)
     for c in cats:
         same = same & (F.col(f"a_{c}") == F.col(f"b_{c}"))
@@ -134,7 +153,7 @@ def nearest_users(df: DataFrame, key: str, numeric: Sequence[str], categories: S
     distance = gower_distance(numbers, [(F.col(f"a_{c}"), F.col(f"b_{c}")) for c in cats]) if metric == "gower" \
         else euclidean_distance(numbers)
     met = asked.join(listed, ["level", *cells]).filter(same | (F.col("reach") >= 1.0))
-    met = met.withColumn("distance", distance).filter(F.col("distance") * per <= F.col("reach") * (1 + 1e-12))
+    met = met.withColumn("distance", distance).filter(F.col("distance") * per <= F.col("reach") * (1 + 1e-12) + _TIE * per)
     spot = [f"a_{c}" for c in features]
     # per spot the k + 1 nearest rows are enough for all rows of the spot
     others = met.select(*spot, "a_keys", F.round("distance", 12).alias("distance"), F.explode("b_keys").alias("other"))

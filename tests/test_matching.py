@@ -1,4 +1,5 @@
 import difflib
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -73,3 +74,32 @@ def test_constant_columns_scale_to_zero(spark):
     assert got == [(1, 0.0, 0.0), (2, 0.0, 1.0)]
     assert [tuple(r) for r in neighbours.l2_scaled(df.select("id", F.lit(3.0).alias("a"), F.lit(4.0).alias("b")), ["a", "b"]
                                                    ).limit(1).collect()] == [(1, 0.6, 0.8)]
+
+
+def test_nearest_of_users_crowded_at_every_scale(spark, monkeypatch):
+    """Unit vectors close to one another, as lengths of very different columns give: few pairs are met, none is lost."""
+    rnd = random.Random(6)
+    rows = []
+    for i in range(1500):
+        x, y = rnd.uniform(1, 2500), rnd.choice([0.0, 0.1, 0.5, 0.9])
+        n = math.hypot(x, y)
+        rows.append((i, x / n, y / n))
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(numeric):
+        tick = F.udf(lambda d: (seen.add(1), d)[1], "double").asNondeterministic()
+        return tick(neighbours_distance(numeric))
+
+    neighbours_distance = neighbours.euclidean_distance
+    monkeypatch.setattr(neighbours, "euclidean_distance", counted)
+    out = neighbours.nearest_users(spark.createDataFrame(rows, "id long, a double, b double"), "id", ["a", "b"], (), 3, metric="euclidean")
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.id, []).append(r.other)
+    lo = [min(r[c] for r in rows) for c in (1, 2)]
+    wide = max(max(r[c] for r in rows) - lo[c - 1] for c in (1, 2))
+    even = [(i, (a - lo[0]) / wide, (b - lo[1]) / wide) for i, a, b in rows]
+    for i, a, b in even[::50]:
+        want = sorted((round(math.sqrt((a - c) ** 2 + (b - d) ** 2), 12), j) for j, c, d in even if j != i)[:3]
+        assert sorted(got[i]) == sorted(j for _, j in want)
+    assert seen.value < 300 * len(rows), seen.value

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
 
 
 def _edit_budget(cutoff: float, score: str) -> Callable[[Column, Column], Column]:
@@ -103,10 +104,22 @@ def best_match(left: DataFrame, right: DataFrame, cutoff: float = 0.9, score: st
     `score` is 'ratio' (difflib's) or 'edits' (Levenshtein, all in the JVM). Ties go to
     the name that is greater in order, as a heap of (score, name) pairs would have it.
     """
-    pairs = candidates(left, right, cutoff, score)
+    names = left.select("block", "name").distinct()
+    same = names.join(right.select("block", "name").distinct(), ["block", "name"], "left_semi")
+    # only an equal name scores 1, so that names which have one need no other
+    pairs = candidates(names.join(same, ["block", "name"], "left_anti"), right, cutoff, score)
+    equal = same.filter(F.length("name") > 0).select(
+        "block", F.col("name").alias("l_name"), F.col("name").alias("r_name"), F.lit(1.0).alias("score")).filter(F.lit(cutoff <= 1))
     measure = matching_ratio if score == "ratio" else edit_similarity
+    if score == "ratio":
+        # letters left over are at least the edits: pairs that cannot reach the best of those with the fewest edits go unscored
+        edits, sizes = F.levenshtein("l_name", "r_name"), F.length("l_name") + F.length("r_name")
+        pairs = cut_lineage(pairs.withColumn("most", 1 - edits / sizes))
+        known = pairs.groupBy("block", "l_name").agg(F.max(F.struct("most", "r_name"))["r_name"].alias("first")).select(
+            "block", "l_name", matching_ratio(F.col("l_name"), F.col("first")).alias("known"))
+        pairs = pairs.join(known, ["block", "l_name"]).filter(F.col("most") >= F.greatest(F.col("known"), F.lit(cutoff)) - 1e-12)
     scored = pairs.withColumn("score", measure(F.col("l_name"), F.col("r_name"))).filter(
-        F.col("score") >= cutoff - 1e-12)
+        F.col("score") >= cutoff - 1e-12).select("block", "l_name", "r_name", "score").unionByName(equal)
     best = scored.groupBy("block", "l_name").agg(F.max(F.struct("score", "r_name")).alias("b"))
     return best.select("block", F.col("l_name").alias("name"), F.col("b.r_name").alias("match"),
                        F.col("b.score").alias("score"))

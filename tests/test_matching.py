@@ -103,3 +103,18 @@ def test_nearest_of_users_crowded_at_every_scale(spark, monkeypatch):
         want = sorted((round(math.sqrt((a - c) ** 2 + (b - d) ** 2), 12), j) for j, c, d in even if j != i)[:3]
         assert sorted(got[i]) == sorted(j for _, j in want)
     assert seen.value < 300 * len(rows), seen.value
+
+
+def test_equal_and_hopeless_names_are_not_scored(spark):
+    r = [("p", n) for n in ("abcdefghijklmnopqrst", "abcdefghijklmnopqrsu", "abcdefghijklmnopqrXY", "")]
+    l = [("p", "abcdefghijklmnopqrst"), ("p", "abcdefghijklmnopqrst1"), ("p", ""), ("p", None)]
+    make = lambda rows: spark.createDataFrame(rows, "block string, name string")
+    plan = fuzzy.candidates
+    met = []
+    try:
+        fuzzy.candidates = lambda left, *a: (met.append(left.count()), plan(left, *a))[1]
+        got = {x.name: (x.match, x.score) for x in fuzzy.best_match(make(l), make(r)).collect()}
+    finally:
+        fuzzy.candidates = plan
+    assert got == {"abcdefghijklmnopqrst": ("abcdefghijklmnopqrst", 1.0), "abcdefghijklmnopqrst1": ("abcdefghijklmnopqrst", 40 / 41)}
+    assert met[0] < 4

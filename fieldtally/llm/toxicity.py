@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .calibration import Logistic, fit_logistic, log_loss
-from .common import discard, maybe_among, stored, text_or_empty
+from .common import discard, maybe_among, stored, text_or_empty, without
 from .hashing import mixed, word_hashes
 from .quality import fold
 
@@ -25,8 +25,10 @@ WORD_BITS, MOST_BITS = 16, 1 << 27
 DISCOUNTS = (0.75, 1.0, 2.0, 3.0, 4.0)
 CALIBRATION_DOCUMENTS = 20_000
 _COUNTS = ("toxic", "ordinary", "either")
-_BEGUN = ("row long, n int, sums array<double>, mosts array<double>, "
-          "words array<bigint>, pos array<int>, before array<int>, after array<int>")
+_BEGUN = ("n array<int>, rare array<int>, sums array<double>, mosts array<double>, "
+          "words array<bigint>, at array<int>, beside array<int>, joined array<boolean>")
+# Texts are looked up together until this many words have to be; a thousand texts are together in any case.
+MOST_TOGETHER = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -179,10 +181,12 @@ def _may_hold(bitmap: np.ndarray, words: np.ndarray) -> np.ndarray:
     return bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 == 1
 
 
-def _begun(texts: pa.Array, model: KneserNey, bitmap: np.ndarray | None) -> list[pa.Array]:
-    """What the words of every text give whose ratio is at hand, and the other words with the words beside them.
+def _begun(texts: pa.Array, model: KneserNey, bitmap: np.ndarray | None) -> dict[str, np.ndarray]:
+    """What the words of every text give whose ratio is at hand, and the other words with what stands beside them.
 
-    At hand are the ratios of frequent words and, given the `bitmap` of all telling words, of words outside it.
+    At hand are the ratios of frequent words and, given the `bitmap` of all telling words, of words outside it. For each of
+    the other words: `beside`, for each discount the place in `model.ratios` of the greater ratio next to it, and `joined`, whether
+    the word before it is another such word of the same text.
     """
     words, offsets = word_hashes(texts)
     n = np.diff(offsets)
@@ -191,11 +195,14 @@ def _begun(texts: pa.Array, model: KneserNey, bitmap: np.ndarray | None) -> list
     if bitmap is not None:
         at[(at < 0) & ~_may_hold(bitmap, words)] = -2
     known = at != -1
-    before, after = np.full(len(at), -1), np.full(len(at), -1)
-    before[1:], after[:-1] = at[:-1], at[1:]
+    rare = ~known
+    before, after, joined = np.full(len(at), -1), np.full(len(at), -1), np.zeros(len(at), bool)
+    before[1:], after[:-1], joined[1:] = at[:-1], at[1:], rare[:-1]
     before[begin[n > 0]] = -1
     after[end[n > 0] - 1] = -1
+    joined[begin[n > 0]] = False
     sums, mosts = np.zeros((len(n), len(model.discounts))), np.full((len(n), len(model.discounts)), -np.inf)
+    beside = np.empty((int(rare.sum()), len(model.discounts)), np.int32)
     for j, ratio in enumerate(model.ratios):
         value = ratio[at]
         total = np.concatenate([[0.0], np.cumsum(np.where(known, value, 0.0))])
@@ -203,62 +210,84 @@ def _begun(texts: pa.Array, model: KneserNey, bitmap: np.ndarray | None) -> list
         two = (value[:-1] + value[1:]) / 2
         for i in np.flatnonzero(n > 1):
             mosts[i, j] = np.fmax.reduce(two[begin[i]:end[i] - 1], initial=-np.inf)
-    rare = ~known
-    places = np.arange(len(words)) - np.repeat(begin, n)
-    upto = pa.array(np.concatenate([[0], np.cumsum(rare)])[offsets].astype(np.int32))
-    steps = pa.array(np.arange(len(n) + 1, dtype=np.int32) * len(model.discounts))
-    return [pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(steps, pa.array(sums.ravel())),
-            pa.ListArray.from_arrays(steps, pa.array(mosts.ravel())), *[
-                pa.ListArray.from_arrays(upto, pa.array(x)) for x in (
-                    words[rare].view(np.int64), *[x[rare].astype(np.int32) for x in (places, before, after)])]]
+        left, right = ratio[before[rare]], ratio[after[rare]]
+        beside[:, j] = np.where((right > left) | np.isnan(left), after[rare], before[rare])
+    upto = np.concatenate([[0], np.cumsum(rare)])[offsets]
+    return {"n": n.astype(np.int32), "rare": np.diff(upto).astype(np.int32), "sums": sums.ravel(), "mosts": mosts.ravel(),
+            "words": words[rare], "beside": beside.ravel(), "joined": joined[rare]}
 
 
 def _measures(batch: pa.RecordBatch, model: KneserNey) -> np.ndarray:
     """Texts x discounts x measures: log-likelihood ratio by length, by its root, its greatest mean over two words
-    in a row (one, if there is no other), and log length."""
-    n = batch.column("n").to_numpy()
+    in a row (one, if there is no other), and log length. Texts are those of all rows in order."""
     k = len(model.discounts)
+    n, rare, at, beside, joined = (batch.column(c).flatten().to_numpy(zero_copy_only=False)
+                                   for c in ("n", "rare", "at", "beside", "joined"))
     sums, mosts = (batch.column(c).flatten().to_numpy().reshape(-1, k).copy() for c in ("sums", "mosts"))
-    owner, at = (np.repeat(np.arange(len(n)), batch.column(c).value_lengths().to_numpy()) for c in ("words", "found"))
-    parts = {c: batch.column(c).flatten().to_numpy() for c in ("words", "pos", "before", "after")}
+    distinct = batch.column("distinct").to_numpy().astype(np.int64)
+    base = np.cumsum(distinct) - distinct
+    # a word without counts has the ratio of an unseen one
+    ratios = np.repeat(model.ratios[:, -2:-1], distinct.sum(), axis=1)
     found = batch.column("found").flatten()
-    counts = pd.DataFrame({"at": at, **{c: found.field(c).to_numpy() for c in ("word", *_COUNTS)}})
-    counts = pd.DataFrame({"at": owner, "word": parts["words"]}).merge(counts, "left", ["at", "word"]).fillna(0)
-    value = model.log_ratios(*[counts[c].to_numpy(dtype=float) for c in _COUNTS]).T
+    place = np.repeat(base, batch.column("found").value_lengths().to_numpy()) + found.field("place").to_numpy()
+    for j in range(k):
+        ratios[j, place] = found.field(f"r{j}").to_numpy()
+    owner = np.repeat(np.arange(len(n)), rare)
+    value = ratios[:, np.repeat(base, batch.column("at").value_lengths().to_numpy()) + at].T
     np.add.at(sums, owner, value)
-    for beside in ("before", "after"):
-        np.fmax.at(mosts, owner, (value + model.ratios[:, parts[beside]].T) / 2)
-    both = np.flatnonzero((owner[1:] == owner[:-1]) & (parts["pos"][1:] == parts["pos"][:-1] + 1))
-    np.fmax.at(mosts, owner[both], (value[both] + value[both + 1]) / 2)
+    next_to = np.stack([ratio[b] for ratio, b in zip(model.ratios, beside.reshape(-1, k).T)], axis=1)
+    np.fmax.at(mosts, owner, (value + next_to) / 2)
+    both = np.flatnonzero(joined)
+    np.fmax.at(mosts, owner[both], (value[both - 1] + value[both]) / 2)
     mosts[n == 1] = sums[n == 1]
     n = np.where(n > 0, n, np.nan)[:, None]
     return np.stack([sums / n, sums / np.sqrt(n), np.where(n > 0, mosts, np.nan), np.broadcast_to(np.log(n), sums.shape)], axis=2)
 
 
 def _measured(table: DataFrame, counts: DataFrame, model: KneserNey, name: str, bitmap: np.ndarray | None = None) -> DataFrame:
-    """`table` with the columns that `_measures` needs in place of `text`.
+    """`table` with the columns that `_measures` needs in place of `text`; a row holds several rows of it, in lists.
 
-    Each text is reduced to the sums of the words whose ratio is at hand before anything is shuffled (see `_begun`); every
-    other word meets its counts by a join and goes back to its row. A word without counts gets zeros, which is the backoff.
+    Each text is reduced to the sums of the words whose ratio is at hand before anything is shuffled (see `_begun`). Every
+    other word is listed once for all texts of a row; it meets its ratio by a join, and only place and ratio go
+    back to the row. A word without counts is not found and has the ratio of the backoff.
     """
     kept = [c for c in table.columns if c != "text"]
-    names = [*kept, "row", "n", "sums", "mosts", "words", "pos", "before", "after"]
+    names = [*kept, "n", "rare", "sums", "mosts", "words", "at", "beside", "joined"]
+    found_in = [f"r{j}" for j in range(len(model.discounts))]
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def one(rows: pa.RecordBatch, parts: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+            whole = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+            words, at = np.unique(whole.pop("words"), return_inverse=True)
+            whole |= {"words": words.view(np.int64), "at": at.astype(np.int32)}
+            values = [*[rows.column(c) for c in kept], *[pa.array(whole[c]) for c in names[len(kept):]]]
+            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in values],
+                                              names=names)
+
         for batch in batches:
+            first, parts = 0, []
             for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                yield pa.RecordBatch.from_arrays(
-                    [*[part.column(c) for c in (*kept, "row")], *_begun(part.column("text"), model, bitmap)],
-                    names=names)
+                parts.append(_begun(batch.column("text").slice(at, 1000), model, bitmap))
+                if sum(len(p["words"]) for p in parts) >= MOST_TOGETHER or at + 1000 >= batch.num_rows:
+                    yield one(batch.slice(first, at + 1000 - first), parts)
+                    first, parts = at + 1000, []
 
-    schema = "".join(f"`{c}` {table.schema[c].dataType.simpleString()}, " for c in kept)
-    begun = stored(table.withColumn("row", F.monotonically_increasing_id()).mapInArrow(begin, schema + _BEGUN), name)
-    rare = begun.select("row", F.explode(F.array_distinct("words")).alias("word")).join(counts, "word").repartition("row")
-    found = rare.groupBy("row").agg(F.collect_list(F.struct("word", *_COUNTS)).alias("found"))
+    light = replace(model, words=np.zeros(0, np.uint64), ratios=np.zeros((0, 0)))
+
+    def ratio(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = light.log_ratios(*[batch.column(c).to_numpy().astype(float) for c in _COUNTS])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), *[pa.array(v) for v in values]], names=["word", *found_in])
+
+    schema = "".join(f"`{c}` array<{table.schema[c].dataType.simpleString()}>, " for c in kept)
+    begun = stored(table.mapInArrow(begin, schema + _BEGUN).withColumn("chunk", F.monotonically_increasing_id()), name)
+    ratios = counts.select("word", *_COUNTS).mapInArrow(ratio, "word long, " + ", ".join(f"{c} double" for c in found_in))
+    rare = begun.select("chunk", F.posexplode("words").alias("place", "word")).join(ratios, "word")
+    found = rare.select("chunk", "place", *found_in).repartition("chunk").groupBy("chunk").agg(
+        F.collect_list(F.struct("place", *found_in)).alias("found"))
     none = F.array().cast(found.schema["found"].dataType)
-    return begun.join(found, "row", "left").select(
-        *[c for c in names if c != "row"], F.coalesce("found", none).alias("found"))
+    return begun.withColumn("distinct", F.size("words")).join(found, "chunk", "left").select(
+        *[c for c in names if c != "words"], "distinct", F.coalesce("found", none).alias("found"))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[DataFrame, KneserNey, Logistic]:
@@ -279,8 +308,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[Dat
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = _measures(batch, model).reshape(batch.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([batch.column("y"), *[pa.array(c) for c in m.T]], names=["y", *names])
+            m = _measures(batch, model).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([batch.column("y").flatten(), *[pa.array(c) for c in m.T]], names=["y", *names])
 
     names = [f"m{i}_{j}" for i in range(len(DISCOUNTS)) for j in range(4)]
     chosen = known.filter("fold = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_DOCUMENTS)
@@ -319,7 +348,7 @@ def _scored(table: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = pa.array(logistic.scores(_measures(batch, model)[:, 0]))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], scores], names=[*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).flatten() for c in kept], scores], names=[*kept, "score"])
 
     kept = [c for c in table.columns if c != "text"]
     schema = "".join(f"`{c}` {table.schema[c].dataType.simpleString()}, " for c in kept)
@@ -330,7 +359,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", cut:
     """The rows of `docs` that score below `cut`; columns as they were."""
     text = text_or_empty()
     scored = _scored(docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash")), labels, label)
-    toxic = scored.filter(F.col("score") >= cut).select(
-        F.col("doc_id").alias("__toxic_id"), F.col("text_hash").alias("__toxic_hash")).distinct()
-    return docs.join(toxic, F.col("doc_id").eqNullSafe(F.col("__toxic_id")) &
-                     (F.xxhash64(text_or_empty()) == F.col("__toxic_hash")), "left_anti")
+    return without(docs, stored(scored.filter(F.col("score") >= cut).select("doc_id", "text_hash").distinct(), "toxic-rows"))

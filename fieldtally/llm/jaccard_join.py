@@ -12,11 +12,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import discard, maybe_among, stored, text_or_empty
+from .common import discard, maybe_among, maybe_marked, stored, text_or_empty
 from .hashing import mixed, shingles, word_hashes
 
-# Cells of the count sketch that finds frequent shingles (8 bytes each on the driver, 4 in a task), and the blocks
-# they are sent in.
+# Cells of the count sketch that finds frequent shingles (8 bytes each on the driver, 4 in a task), with half as many again
+# for shingles that prefixes hardly reach, and the blocks they are sent in.
 CELLS, BLOCKS = 1 << 21, 512
 # Matches that may be asked of a prefix at most, and the cost of a verification in posting reads.
 MOST_MATCHES, VERIFY_COST = 6, 8.0
@@ -30,18 +30,30 @@ def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
         yield shingles(words[a:b], k)
 
 
-def shingle_sketch(docs: DataFrame, k: int) -> np.ndarray:
+def _cells(s: np.ndarray, cut: int, cells: int) -> np.ndarray:
+    """The cell of each shingle: one of the first `cells` for hashes below `cut`, one of half as many more from there on."""
+    return np.where(s < np.uint64(cut), s & np.uint64(cells - 1), np.uint64(cells) + (s & np.uint64(cells // 2 - 1))).astype(np.int64)
+
+
+def _cut(num: int, den: int) -> int:
+    """The hash below which nearly all shingles lie that a prefix takes: rare shingles are taken in order of their hashes."""
+    return min(2**64 - 1, 2**64 * 5 * (den - num) // (4 * den))
+
+
+def shingle_sketch(docs: DataFrame, k: int, cut: int) -> np.ndarray:
     """How many texts hold the shingles of each cell: a fixed number of cells, whatever the input.
 
-    A task sends its counts as blocks of cells; blocks are dealt by number and added one after the other.
+    A task sends its counts as blocks of cells; blocks are dealt by number and added one after the other. Most of the cells
+    are for the shingles below `cut`, which are the ones that a prefix may hold, so that few of them share a cell.
     """
-    cells, block = CELLS, CELLS // BLOCKS
+    first, cells = CELLS, CELLS * 3 // 2
+    block = cells // BLOCKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(cells, dtype=np.uint32)
         for batch in batches:
             for s in _sets(batch.column(0), k):
-                np.add.at(total, (s & np.uint64(cells - 1)).astype(np.int64), np.uint32(1))
+                np.add.at(total, _cells(s, cut, first), np.uint32(1))
         if total.any():
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(BLOCKS), pa.int32()), pa.array([total[i:i + block].tobytes() for i in range(0, cells, block)],
@@ -62,9 +74,11 @@ def shingle_sketch(docs: DataFrame, k: int) -> np.ndarray:
     kind = pa.schema([("block", pa.int32()), ("counts", pa.binary())])
     parts = docs.select(text_or_empty().alias("text")).mapInArrow(count, "block int, counts binary")
     sums = parts.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, counts binary")
+    sums = stored(sums, "shingle-sketch")
     sketch = np.zeros(cells, dtype=np.int64)
     for row in sums.collect():  # BLOCKS rows, 8 bytes a cell in all
         sketch[row["block"] * block:(row["block"] + 1) * block] = np.frombuffer(row["counts"], dtype=np.int64)
+    discard(sums)
     return sketch.astype(np.float32)
 
 
@@ -77,9 +91,13 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray) -
     postings read, and candidates (postings by matches asked) verified. Of two texts the
     smaller l counts. Equal sets in one task give one prefix.
     """
-    mean = float(sketch.sum(dtype=np.float64)) / len(sketch)
-    floor = 8 * math.sqrt(mean) + 8  # what stands out of the noise of a cell
-    cells = np.uint64(len(sketch) - 1)
+    cut = _cut(num, den)
+    first, excess = len(sketch) * 2 // 3, sketch.copy()
+    for part in (excess[:first], excess[first:]):
+        mean = float(part.sum(dtype=np.float64)) / len(part)
+        floor = 4 * math.sqrt(mean) + 4  # what stands out of the noise of a cell
+        part -= mean
+        part[part <= floor] = 1.0
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -93,8 +111,7 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray) -
                 if n and sig not in seen:
                     if len(seen) < 1_000_000:
                         seen.add(sig)
-                    excess = sketch[(s & cells).astype(np.int64)] - mean
-                    texts = np.where(excess > floor, excess, 1.0)
+                    texts = excess[_cells(s, cut, first)]
                     level = np.floor(np.log2(texts)).astype(np.int64)
                     rank = float(level.mean())
                     order = np.lexsort((s, level)) if level.any() else np.arange(n)
@@ -205,11 +222,12 @@ def similar_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
 
     Links are found in two steps that lose none. First every text is held against one text of
     its postings, the one that shares most of its prefix; that ties groups of near copies
-    together with one link each. Then texts of different groups are held against each other if, for their two sizes, a shingle among the first
-    that a link must share is common, and as many as the lesser of the two asks for among those of the longer prefix.
-    Pairs within a group need no look.
+    together with one link each. Then texts of different groups are held against each other if they share as many
+    shingles as the lesser of the two asks for among those of the prefixes for their two sizes. The rarest of these has the others above
+    it in both texts, in the order of how many texts hold them, so that only shingles with so many above them pair texts up. Pairs
+    within a group need no look.
     """
-    sketch = shingle_sketch(docs, k)
+    sketch = shingle_sketch(docs, k, _cut(num, den))
     rows = _prefixes(docs, k, num, den, sketch)
     reps = rows.filter("prefix is not null").groupBy("sig").agg(
         F.min(F.struct("check", "text_hash")).alias("first")).select("sig", "first.text_hash")
@@ -221,28 +239,40 @@ def similar_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
         "sig", info.alias("info"), F.posexplode(F.arrays_zip("prefix", "copies")).alias("at", "x")).select(
         F.col("x.prefix").alias("token"), "at", F.when(F.col("x.copies") > 1, F.pmod("sig", F.col("x.copies")))
         .otherwise(-1).cast("int").alias("part"), "sig", "info").repartition("token", "part")
-    heads = posting.groupBy("token", "part").agg(F.max(F.struct("info", "sig")).alias("head"), F.min("sig").alias("low"),
-                                                 F.max("sig").alias("high"))
-    heads = heads.filter((F.col("low") != F.col("high")) | (F.col("part") >= 0)).select(
+    # one shuffle of the postings: the first text of a token, in each of its groups, comes from a window
+    alike = W.partitionBy("token", "part")
+    live = posting.select("*", F.max(F.struct("info", "sig")).over(alike).alias("head"), F.min("sig").over(alike).alias("low"),
+                          F.max("sig").over(alike).alias("high"), F.count("*").over(alike).alias("texts"))
+    live = stored(live.filter("low <> high or part >= 0").drop("low", "high"), "live-postings")
+    dealt = live.filter("part >= 0")
+    heads = dealt.groupBy("token", "part").agg(F.max("head").alias("head")).select(
         "token", "part", F.max("head").over(W.partitionBy("token")).alias("head"))  # a row per group of a token
-    live = stored(posting.join(heads, ["token", "part"]).select("token", "at", "sig", "info", "head"), "live-postings")
+    headed = live.filter("part < 0").unionByName(dealt.drop("head").join(heads, ["token", "part"]))
 
-    stars = live.filter((F.col("sig") != F.col("head.sig")) & _fits(_size("info"), _size("head.info"), num, den))
+    stars = headed.filter((F.col("sig") != F.col("head.sig")) & _fits(_size("info"), _size("head.info"), num, den))
     stars = stars.groupBy("sig", F.col("head.sig").alias("head")).agg(
         F.count_distinct("token").alias("shared"), F.first(F.least(_matches("info"), _matches("head.info"))).alias("asked"),
         F.first("head.info").alias("info"))
     best = stars.filter("shared >= asked").groupBy("sig").agg(F.max(F.struct("shared", "info", "head")).alias("best"))
-    first = _verified(docs, reps, best.select(F.col("best.head").alias("a"), F.col("sig").alias("b")), k, num, den)
+    best = stored(best.select(F.col("best.head").alias("a"), F.col("sig").alias("b")), "stars")
+    first = _verified(docs, reps, best, k, num, den)
     group = stored(components(first.select(F.explode(F.array("a", "b")).alias("v")).distinct(), first, []), "groups")
 
-    placed = live.select("token", "at", "sig", _size("info").alias("n")).distinct().join(
+    # tokens dealt to several groups are the most frequent ones, whatever their groups hold
+    often = F.when(F.col("part") >= 0, F.lit(1 << 40)).otherwise(F.col("texts")).alias("texts")
+    placed = live.select("token", "at", "sig", _size("info").alias("n"), _matches("info").alias("matches"), often).distinct().join(
         group.select(F.col("v").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     mixed_tokens = placed.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b")
-    placed = stored(placed.join(mixed_tokens.select("token"), "token", "left_semi"), "open-postings")
+    placed = placed.join(mixed_tokens.select("token"), "token", "left_semi")
+    # how many tokens of a text that it may share with another group are more frequent than this one
+    placed = stored(placed.withColumn("above", F.row_number().over(
+        W.partitionBy("sig").orderBy(F.desc("texts"), F.desc("token"))) - 1), "open-postings")
     x, y = placed.alias("x"), placed.alias("y")
     slack_x, slack_y = _slack("x.n", "y.n", num, den)
+    asked = F.least("x.matches", "y.matches")
     cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.sig") < F.col("y.sig")) &
-                   (F.col("x.label") != F.col("y.label")) & (F.col("x.at") <= slack_x) & (F.col("y.at") <= slack_y))
+                   (F.col("x.label") != F.col("y.label")) & (F.col("x.at") < slack_x + asked) & (F.col("y.at") < slack_y + asked) &
+                   (F.least("x.above", "y.above") >= asked - 1))
     candidates = stored(cross.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"), F.col("x.n").cast("int").alias("n_a"),
                                 F.col("y.n").cast("int").alias("n_b")).distinct(), "candidates")
     met = candidates.select(F.explode(F.array("a", "b")).alias("sig"))
@@ -262,7 +292,8 @@ def similar_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     most = F.size("shared") + F.least(F.col("n_a") - F.array_position("head", last),
                                       F.col("n_b") - F.array_position("of_b.prefix", last))
     cross = cross.filter(most * (num + den) >= (F.col("n_a") + F.col("n_b")) * num)
-    second = _verified(docs, reps, cross.select("a", "b"), k, num, den)
+    cross = stored(cross.select("a", "b"), "close-pairs")
+    second = _verified(docs, reps, cross, k, num, den)
 
     links = first.unionByName(second)
     groups = components(links.select(F.explode(F.array("a", "b")).alias("v")).distinct(), links, [])
@@ -270,7 +301,7 @@ def similar_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
         groups.select(F.col("v").alias("sig"), "label"), "sig", "left").withColumn(
         "label", F.when(F.col("n_shingles") > 0, F.coalesce("label", "sig")))
     labelled = stored(labelled.drop("sig"), "labelled")
-    discard(rows, live, first, group, placed, candidates, second)
+    discard(rows, live, best, first, group, placed, candidates, cross, second)
     lowest = labelled.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return labelled.join(lowest, "label", "left").select(
         "doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
@@ -283,13 +314,17 @@ def one_of_each_group(docs: DataFrame, **parameters) -> DataFrame:
     The row with the smallest doc_id stays (ties by text hash; of equal rows one). Documents with
     empty sets are no copies of each other and all stay.
     """
-    groups = similar_groups(docs, **parameters)
-    full = groups.filter("n_shingles > 0").groupBy("group").agg(
-        F.min(F.struct("doc_id", "text_hash")).alias("kept")).select(
-        F.col("kept.doc_id").alias("__kept_id"), F.col("kept.text_hash").alias("__kept_hash"))
-    hashed = docs.withColumn("__hash", F.xxhash64(text_or_empty()))
-    empty = ~text_or_empty().rlike(r"[^\x20\x09-\x0D]")
-    kept = hashed.filter(~empty).join(full, F.col("doc_id").eqNullSafe(F.col("__kept_id")) &
-                                      (F.col("__hash") == F.col("__kept_hash")), "left_semi")
+    groups = similar_groups(docs, **parameters).filter("n_shingles > 0").select("doc_id", "text_hash", "group")
+    several = groups.groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("kept"),
+                                          F.count("*").alias("rows")).filter("rows > 1")
+    stays = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_hash") == F.col("kept.text_hash"))
+    grouped = stored(groups.join(several, "group").select("doc_id", "text_hash", stays.alias("stays")).distinct(), "grouped-rows")
+    # only rows that may be in a group of several are shuffled
+    marked = maybe_marked(docs.withColumn("__hash", F.xxhash64(text_or_empty())), F.xxhash64("doc_id", "__hash"),
+                          grouped, F.xxhash64("doc_id", "text_hash"))
+    alone = ~F.col("__maybe") | ~text_or_empty().rlike(r"[^\x20\x09-\x0D]")
+    gone = grouped.filter("not stays").select(F.col("doc_id").alias("__gone_id"), F.col("text_hash").alias("__gone_hash"))
+    kept = marked.filter(~alone).join(gone, F.col("doc_id").eqNullSafe(F.col("__gone_id")) &
+                                      (F.col("__hash") == F.col("__gone_hash")), "left_anti")
     kept = kept.dropDuplicates(["doc_id", "__hash"])
-    return kept.unionByName(hashed.filter(empty)).select(*docs.columns)
+    return kept.unionByName(marked.filter(alone)).select(*docs.columns)

@@ -36,3 +36,29 @@ def test_words_of_several_texts_are_looked_up_once(spark):
     assert sorted(x or -1 for r in rows for x in r.doc_id) == sorted(x[0] or -1 for x in texts)
     assert len(rows) == 1 and rows[0].distinct == 7 == len(rows[0].found)
     assert sum(rows[0].rare) == len(rows[0].at) == 5 * 7 + 1
+
+
+def test_one_common_shingle_pairs_no_texts(spark, monkeypatch):
+    r = random.Random(3)
+    lex = ["".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(5000)]
+    texts = []
+    for _ in range(150):
+        shared = r.sample(lex, 3)  # one shingle that four otherwise different texts hold
+        for _ in range(4):
+            at = r.randint(0, 60)
+            texts.append(" ".join([*r.choices(lex, k=at), *shared, *r.choices(lex, k=60 - at)]))
+    near = texts[0].split()
+    near[1] = "other"
+    texts.append(" ".join(near))
+    sizes = {}
+
+    def counted(df, name, keep=jaccard_join.stored):
+        out = keep(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in jaccard_join.similar_groups(docs, 3, 90, 100).collect()}
+    assert got == {i: 0 if i == len(texts) - 1 else i for i in range(len(texts))}
+    assert sizes["candidates"] == 0

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty, words_of
+from .common import stored, text_or_empty, without, words_of
 
 # A passage counts as leaked if on one alignment a window of WINDOW words has at most
 # SUBSTITUTIONS words that differ. The two masks below (places that are hashed, from the start
@@ -99,7 +99,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, substitut
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     """The rows of `docs` whose text holds no benchmark item; columns as they were."""
-    texts = leaks(docs, benchmark, **parameters).select(
-        F.col("doc_id").alias("__leak_id"), F.col("text_hash").alias("__leak_hash")).distinct()
-    return docs.join(texts, F.col("doc_id").eqNullSafe(F.col("__leak_id")) &
-                     (F.xxhash64(text_or_empty()) == F.col("__leak_hash")), "left_anti")
+    return without(docs, stored(leaks(docs, benchmark, **parameters).select("doc_id", "text_hash").distinct(), "leaking-rows"))

@@ -62,3 +62,16 @@ def test_one_common_shingle_pairs_no_texts(spark, monkeypatch):
     got = {x.doc_id: x.component_id for x in jaccard_join.similar_groups(docs, 3, 90, 100).collect()}
     assert got == {i: 0 if i == len(texts) - 1 else i for i in range(len(texts))}
     assert sizes["candidates"] == 0
+
+
+def test_rows_that_cannot_leave_are_not_shuffled(spark):
+    rows = [(i, f"text {i}") for i in range(400)] + [(7, "text 7"), (7, "other"), (None, "text 5"), (None, None), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = [rows[7], (None, "text 5"), (None, None), (399, "text 1")]
+    keys = common.stored(spark.createDataFrame(gone, docs.schema).select(
+        "doc_id", F.xxhash64(common.text_or_empty()).alias("text_hash")), "keys")
+    got = common.without(docs, keys)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(str(x) for x in rows if x not in gone)
+    marked = common.maybe_marked(docs.withColumn("h", F.xxhash64(common.text_or_empty())), F.xxhash64("doc_id", "h"),
+                                 keys, F.xxhash64("doc_id", "text_hash"))
+    assert marked.count() == len(rows) and marked.filter("__maybe").count() <= 8

@@ -5,9 +5,10 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from fieldtally.llm import common, jaccard_join, toxicity
+from fieldtally.llm import common, hashing, jaccard_join, toxicity
 
 
 def shuffle_files(spark):
@@ -38,6 +39,72 @@ def test_words_of_several_texts_are_looked_up_once(spark):
     assert sum(rows[0].rare) == len(rows[0].at) == 5 * 7 + 1
 
 
+def word_corpus():
+    r = random.Random(11)
+    lex = [f"w{i}" for i in range(400)]
+    texts = [" ".join(["bad" * (i % 2) or "good", *r.choices(lex, k=30 + i % 50)]) for i in range(600)] + ["", None, "w1 unheard", "bad"]
+    return list(enumerate(texts)), [(i, i % 2) for i in range(600)]
+
+
+def scores_with(spark, monkeypatch, at_hand):
+    """Scores of a small corpus with so many words in memory, and how many words were looked up when texts were scored."""
+    looked_up = {}
+
+    def counted(df, name, keep=toxicity.stored):
+        out = keep(df, name)
+        if "words" in out.columns:
+            looked_up[name] = out.agg(F.sum(F.size("words"))).first()[0]
+        return out
+
+    monkeypatch.setattr(toxicity, "stored", counted)
+    monkeypatch.setattr(toxicity, "SHARE", 0.5)  # no frequent words
+    monkeypatch.setattr(toxicity, "AT_HAND", at_hand)
+    texts, marks = word_corpus()
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(6, "doc_id")
+    scored = toxicity.score(docs, spark.createDataFrame(marks, "doc_id long, toxic int")).collect()
+    return {x.doc_id: x.score for x in scored}, looked_up["text-words"]
+
+
+def test_words_with_most_histories_are_not_looked_up(spark, monkeypatch):
+    want, all_of_them = scores_with(spark, monkeypatch, 0)
+    some, fewer = scores_with(spark, monkeypatch, 100)
+    got, none = scores_with(spark, monkeypatch, 1 << 19)
+    assert all_of_them > fewer > none == 0
+    for other in (some, got):
+        assert other.keys() == want.keys()
+        np.testing.assert_allclose([other[k] for k in want], list(want.values()), rtol=1e-9)
+
+
+def test_pairs_of_many_texts_are_counted_piece_by_piece(spark, monkeypatch):
+    texts, marks = word_corpus()
+    docs = spark.createDataFrame([(t, i % 2) for i, t in texts] * 4, "text string, y int").coalesce(1)
+
+    def counts():
+        return sorted(map(tuple, toxicity.continuation_counts(docs, np.zeros(0, np.uint64)).collect()))
+
+    want = counts()
+    monkeypatch.setattr(toxicity, "MOST_PAIRS", 1)
+    assert counts() == want
+    table = pa.RecordBatch.from_arrays([pa.array(["a b"] * 2500), pa.array([1] * 2500, pa.int32())], names=["text", "y"])
+    pieces = []
+    monkeypatch.setattr(toxicity, "word_hashes", lambda texts, split=hashing.word_hashes: (pieces.append(len(texts)), split(texts))[1])
+
+    class Rows:  # what the function is given to, without Spark
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, _):
+            self.lists = [b.num_rows for b in f([table])]
+            raise StopIteration
+
+    rows = Rows()
+    try:
+        toxicity.continuation_counts(rows, np.zeros(0, np.uint64))
+    except StopIteration:
+        pass
+    assert pieces == [1000, 1000, 500] and rows.lists == [2, 2, 2]
+
+
 def test_one_common_shingle_pairs_no_texts(spark, monkeypatch):
     r = random.Random(3)
     lex = ["".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(5000)]

@@ -20,14 +20,21 @@ from .hashing import mixed, shingles, word_hashes
 CELLS, BLOCKS = 1 << 21, 512
 # Matches that may be asked of a prefix at most, and the cost of a verification in posting reads.
 MOST_MATCHES, VERIFY_COST = 6, 8.0
+# Cells whose odd counts tell apart sets that share most of a prefix (a multiple of 64).
+ODD_BITS = 256
 # Postings of a frequent shingle are dealt out to groups of about this many texts.
 GROUP = 2000
 
 
+# Texts whose words are in memory together.
+TOGETHER = 500
+
+
 def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
-    words, offsets = word_hashes(texts)
-    for a, b in zip(offsets[:-1], offsets[1:]):
-        yield shingles(words[a:b], k)
+    for at in range(0, len(texts), TOGETHER):
+        words, offsets = word_hashes(texts.slice(at, TOGETHER))
+        for a, b in zip(offsets[:-1], offsets[1:]):
+            yield shingles(words[a:b], k)
 
 
 def _cells(s: np.ndarray, cut: int, cells: int) -> np.ndarray:
@@ -89,7 +96,8 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray) -
     of s shingles must share at least o = ceil(s * num / den) of them with any partner, so that l
     shared ones lie among its first s - o + l. The number l is the one of least estimated cost:
     postings read, and candidates (postings by matches asked) verified. Of two texts the
-    smaller l counts. Equal sets in one task give one prefix.
+    smaller l counts. Equal sets in one task give one prefix. `odd` has a bit for each of ODD_BITS cells that holds an odd number
+    of the shingles: two sets differ in as many shingles as in such bits, or in more.
     """
     cut = _cut(num, den)
     first, excess = len(sketch) * 2 // 3, sketch.copy()
@@ -102,12 +110,12 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray) -
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("n", "sig", "check", "matches", "rank", "prefix", "copies")}
+            out: dict[str, list] = {c: [] for c in ("n", "sig", "check", "matches", "rank", "prefix", "copies", "odd")}
             for s in _sets(batch.column("text"), k):
                 n = len(s)
                 sig = int(mixed(s).sum(dtype=np.uint64)) if n else 0
                 check = int(np.bitwise_xor.reduce(mixed(s ^ np.uint64(0x5851F42D4C957F2D)))) if n else 0
-                matches, rank, prefix, copies = 0, 0.0, None, None
+                matches, rank, prefix, copies, odd = 0, 0.0, None, None, None
                 if n and sig not in seen:
                     if len(seen) < 1_000_000:
                         seen.add(sig)
@@ -124,22 +132,25 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray) -
                     chosen = order[:n - need + matches]
                     prefix = s[chosen].view(np.int64)
                     copies = np.ceil(texts[chosen] / GROUP).astype(np.int32)
+                    cells = (mixed(s) & np.uint64(ODD_BITS - 1)).astype(np.int64)
+                    odd = np.packbits(np.bincount(cells, minlength=ODD_BITS) & 1 == 1).view(np.int64)
                 for name, value in (("n", n), ("sig", np.uint64(sig).astype(np.int64)),
                                     ("check", np.uint64(check).astype(np.int64)), ("matches", matches), ("rank", rank),
-                                    ("prefix", prefix), ("copies", copies)):
+                                    ("prefix", prefix), ("copies", copies), ("odd", odd)):
                     out[name].append(value)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_hash"), pa.array(out["n"], pa.int64()),
                  pa.array(out["sig"], pa.int64()), pa.array(out["check"], pa.int64()),
                  pa.array(out["matches"], pa.int32()), pa.array(out["rank"], pa.float32()),
-                 pa.array(out["prefix"], pa.list_(pa.int64())), pa.array(out["copies"], pa.list_(pa.int32()))],
-                names=["doc_id", "text_hash", "n", "sig", "check", "matches", "rank", "prefix", "copies"])
+                 pa.array(out["prefix"], pa.list_(pa.int64())), pa.array(out["copies"], pa.list_(pa.int32())),
+                 pa.array(out["odd"], pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "n", "sig", "check", "matches", "rank", "prefix", "copies", "odd"])
 
     text = text_or_empty()
     table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"),
                         text.alias("text"))
     return stored(table.mapInArrow(rows, "doc_id long, text_hash long, n long, sig long, check long, matches int, "
-                                         "rank float, prefix array<long>, copies array<int>"), "prefixes")
+                                         "rank float, prefix array<long>, copies array<int>, odd array<long>"), "prefixes")
 
 
 def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -224,8 +235,10 @@ def similar_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     its postings, the one that shares most of its prefix; that ties groups of near copies
     together with one link each. Then texts of different groups are held against each other if they share as many
     shingles as the lesser of the two asks for among those of the prefixes for their two sizes. The rarest of these has the others above
-    it in both texts, in the order of how many texts hold them, so that only shingles with so many above them pair texts up. Pairs
-    within a group need no look.
+    above it in both texts, in the order of how many texts hold them, so that only shingles with so many above them pair texts up. A
+    text pairs with none where too few shingles that another group holds lie in its prefix for that pair, as in near copies with
+    more shingles of their own than a link leaves out, and two texts do not pair whose bits of odd counts differ in more places than
+    linked sets do in shingles. Pairs within a group need no look.
     """
     sketch = shingle_sketch(docs, k, _cut(num, den))
     rows = _prefixes(docs, k, num, den, sketch)
@@ -264,17 +277,31 @@ def similar_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
         group.select(F.col("v").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     mixed_tokens = placed.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b")
     placed = placed.join(mixed_tokens.select("token"), "token", "left_semi")
-    # how many tokens of a text that it may share with another group are more frequent than this one
-    placed = stored(placed.withColumn("above", F.row_number().over(
-        W.partitionBy("sig").orderBy(F.desc("texts"), F.desc("token"))) - 1), "open-postings")
-    x, y = placed.alias("x"), placed.alias("y")
+    # how many tokens of a text that it may share with another group are more frequent than this one, and the places of the first ones:
+    # a text with more other tokens before them than any link leaves out pairs with none
+    own = W.partitionBy("sig")
+    placed = placed.withColumn("above", F.row_number().over(own.orderBy(F.desc("texts"), F.desc("token"))) - 1).withColumn(
+        "first", F.slice(F.sort_array(F.collect_list("at").over(own)), 1, MOST_MATCHES))
+    placed = stored(placed.filter(F.get("first", F.lit(0)) <= F.col("n") - F.ceil(F.col("n") * num / den)), "open-postings")
+    odds = rows.filter("prefix is not null").groupBy("sig").agg(F.first("odd").alias("odd"))
+    # texts of the group that holds a token most often meet the texts of other groups, not one another
+    lead = placed.groupBy("token", "label").agg(F.count("*").alias("held")).groupBy("token").agg(
+        F.max(F.struct("held", "label")).alias("lead")).select("token", "lead.label").withColumnRenamed("label", "lead")
+    led = placed.join(odds, "sig").join(lead, "token")
+    x, y = led.filter("label <> lead").alias("x"), led.alias("y")
     slack_x, slack_y = _slack("x.n", "y.n", num, den)
     asked = F.least("x.matches", "y.matches")
-    cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.sig") < F.col("y.sig")) &
-                   (F.col("x.label") != F.col("y.label")) & (F.col("x.at") < slack_x + asked) & (F.col("y.at") < slack_y + asked) &
-                   (F.least("x.above", "y.above") >= asked - 1))
-    candidates = stored(cross.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"), F.col("x.n").cast("int").alias("n_a"),
-                                F.col("y.n").cast("int").alias("n_b")).distinct(), "candidates")
+    differ = sum((F.bit_count(F.get("x.odd", F.lit(i)).bitwiseXOR(F.get("y.odd", F.lit(i)))) for i in range(ODD_BITS // 64)), F.lit(0))
+    cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) &
+                   ((F.col("y.label") == F.col("y.lead")) | (F.col("x.sig") < F.col("y.sig"))) &
+                   (F.col("x.at") < slack_x + asked) & (F.col("y.at") < slack_y + asked) &
+                   (F.get("x.first", asked - 1) < slack_x + asked) & (F.get("y.first", asked - 1) < slack_y + asked) &
+                   (F.least("x.above", "y.above") >= asked - 1) & (differ <= slack_x + slack_y))
+    less = F.col("x.sig") < F.col("y.sig")
+    candidates = stored(cross.select(
+        F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b"),
+        F.when(less, F.col("x.n")).otherwise(F.col("y.n")).cast("int").alias("n_a"),
+        F.when(less, F.col("y.n")).otherwise(F.col("x.n")).cast("int").alias("n_b")).distinct(), "candidates")
     met = candidates.select(F.explode(F.array("a", "b")).alias("sig"))
     own = maybe_among(rows.filter("prefix is not null").select("sig", "n", "matches", "prefix"), F.col("sig"), met,
                       F.col("sig")).dropDuplicates(["sig"])

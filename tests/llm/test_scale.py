@@ -131,6 +131,41 @@ def test_one_common_shingle_pairs_no_texts(spark, monkeypatch):
     assert sizes["candidates"] == 0
 
 
+def test_texts_with_many_shingles_of_their_own_are_not_paired(spark, monkeypatch):
+    r = random.Random(5)
+    lex = ["".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(5000)]
+    base = r.sample(lex, 150)
+
+    def edited(edits):
+        words = list(base)
+        for i in range(edits):
+            words[20 * i + r.randint(5, 14)] = f"new{r.random()}"
+        return " ".join(words)
+
+    texts = [" ".join(base), *[edited(1 + i % 2) for i in range(60)], *[edited(3 + i % 2) for i in range(60)]]
+    texts += [t + " one more" for t in texts[61:64]]  # each links with the text it was made from only
+    sets = [{" ".join(w[i:i + 3]) for i in range(len(w) - 2)} for w in map(str.split, texts)]
+    want = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]) and want[a] != want[b]:
+                low, high = sorted((want[a], want[b]))
+                want = [low if x == high else x for x in want]
+    assert len(set(want)) == 61
+    sizes = {}
+
+    def counted(df, name, keep=jaccard_join.stored):
+        out = keep(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in jaccard_join.similar_groups(docs, 3, 90, 100).collect()}
+    assert got == dict(enumerate(want))
+    assert sizes["candidates"] <= 60  # was 60 * 59 / 2 and more
+
+
 def test_rows_that_cannot_leave_are_not_shuffled(spark):
     rows = [(i, f"text {i}") for i in range(400)] + [(7, "text 7"), (7, "other"), (None, "text 5"), (None, None), (8, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -142,3 +177,13 @@ def test_rows_that_cannot_leave_are_not_shuffled(spark):
     marked = common.maybe_marked(docs.withColumn("h", F.xxhash64(common.text_or_empty())), F.xxhash64("doc_id", "h"),
                                  keys, F.xxhash64("doc_id", "text_hash"))
     assert marked.count() == len(rows) and marked.filter("__maybe").count() <= 8
+
+
+def test_words_of_some_texts_at_a_time_are_in_memory(monkeypatch):
+    sizes = []
+    monkeypatch.setattr(jaccard_join, "word_hashes", lambda texts: (sizes.append(len(texts)), hashing.word_hashes(texts))[1])
+    texts = pa.array([f"a b c d{i % 7}" for i in range(1200)] + ["", None, "a"])
+    got = [s.tolist() for s in jaccard_join._sets(texts, 3)]
+    words, offsets = hashing.word_hashes(texts)
+    assert got == [hashing.shingles(words[a:b], 3).tolist() for a, b in zip(offsets[:-1], offsets[1:])]
+    assert len(got) == len(texts) and max(sizes) <= 500

@@ -27,10 +27,10 @@ from .common import new_folder, text_or_empty
 _LENGTH, _CHECK, _HEAD = "<Q", "<I", "<qBBI"
 MASK = 0xA282EAD8  # fixed value of the usual masked checksum
 SHARD_RECORDS = 20_000
-# Words a worker remembers the ids of; beyond that it starts anew.
-MOST_WORDS = 500_000
+# Words a worker remembers the ids of (some 20 MB, which it keeps between tasks); beyond that it starts anew.
+MOST_WORDS = 100_000
 # Bytes of text whose words are looked up at once; a longer text is encoded by itself.
-LOOKUP_BYTES = 1 << 23
+LOOKUP_BYTES = 1 << 21
 # Blanks that make a text more than words between single spaces and line ends (fixed value, what Python's \s matches).
 ODD_BLANKS = ("^[ \n]|[ \n]$|  | \n|\n |\n\n|"
               r"[\t\x0b-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")

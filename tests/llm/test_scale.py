@@ -163,7 +163,7 @@ def test_texts_with_many_shingles_of_their_own_are_not_paired(spark, monkeypatch
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {x.doc_id: x.component_id for x in jaccard_join.similar_groups(docs, 3, 90, 100).collect()}
     assert got == dict(enumerate(want))
-    assert sizes["candidates"] <= 60  # was 60 * 59 / 2 and more
+    assert sizes["candidates"] <= 60
 
 
 def test_rows_that_cannot_leave_are_not_shuffled(spark):

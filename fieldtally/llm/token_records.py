@@ -27,13 +27,18 @@ from .common import new_folder, text_or_empty
 _LENGTH, _CHECK, _HEAD = "<Q", "<I", "<qBBI"
 MASK = 0xA282EAD8  # fixed value of the usual masked checksum
 SHARD_RECORDS = 20_000
-# Words a worker remembers the ids of (some 20 MB, which it keeps between tasks); beyond that it starts anew.
+# Words a worker remembers the ids of (some 20 MB, which it keeps between tasks).
 MOST_WORDS = 100_000
 # Bytes of text whose words are looked up at once; a longer text is encoded by itself.
-LOOKUP_BYTES = 1 << 21
+LOOKUP_BYTES = 1 << 22
 # Blanks that make a text more than words between single spaces and line ends (fixed value, what Python's \s matches).
 ODD_BLANKS = ("^[ \n]|[ \n]$|  | \n|\n |\n\n|"
               r"[\t\x0b-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+# Words of one piece, maybe after a mark, and words with a run of ASCII punctuation, a piece of its own, after their last letter
+# or digit (fixed values, belong to the vocabulary).
+LETTERS = r"A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}"
+ONE_PIECE = rf"^\x0b?[{LETTERS}]+$"
+WORD_AND_END = rf"^(?P<word>.*[0-9{LETTERS}])(?P<end>[!-/:-@\[-`{{-~]+)$"
 # How byte-level pieces are cut (fixed value, belongs to the vocabulary).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 
@@ -63,6 +68,28 @@ def frames(data: memoryview) -> Iterator[tuple[int, memoryview]]:
         at = end + 5
 
 
+class Recent(dict):
+    """Values by word, MOST_WORDS at most: the half added first goes when the other half is full, but for what was asked for since."""
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict[str, bytes] = {}
+
+    def keep(self, word: str, value: bytes) -> bytes:
+        if len(self) >= MOST_WORDS // 2:
+            self.older = dict(self)
+            self.clear()
+        if len(word) < 40:
+            self[word] = value
+        return value
+
+    def recall(self, word: str) -> bytes | None:
+        found = self.get(word)
+        if found is None and (found := self.older.get(word)) is not None:
+            self.keep(word, found)
+        return found
+
+
 class WordCoder:
     """A tokenizer that remembers words.
 
@@ -91,12 +118,14 @@ class WordCoder:
         place = {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.letters = [place.get(b, chr(b)) for b in range(256)]
         self.letter = "H" if self.width == 2 else "I"
-        self.words: dict[str, bytes] = {}  # a word after a space
-        self.parts: dict[str, bytes] = {}  # a byte-level piece, or a stretch of text as it stands
+        self.packs = [struct.Struct(f"<{n}{self.letter}").pack for n in range(16)]
+        self.words = Recent()  # a word after a space, or as it stands after a mark
+        self.parts = Recent()  # a byte-level piece, or a stretch of text as it stands
         self.space = self.letters[32]
         self.stops, self.line = {}, b""
         if self.by_words:
-            self.stops, self.line = {c: self._piece(c) for c in ".,"}, self._piece("\n")
+            self.line = self._piece("\n")
+            self.stops = {c: self._piece(c) for c in ".," if not any(c in a for a in self.added)}
 
     def _cuts_bytes(self) -> bool:
         """Whether the loaded file cuts texts the way of PIECES, and changes nothing before that."""
@@ -109,46 +138,43 @@ class WordCoder:
                     for t in told.get("added_tokens", [])))
 
     def _packed(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{self.letter}", *ids)
+        return self.packs[len(ids)](*ids) if len(ids) < len(self.packs) else struct.pack(f"<{len(ids)}{self.letter}", *ids)
+
+    def _shown(self, text: str) -> str:
+        return text.encode().decode("latin-1").translate(self.letters)
 
     def _piece(self, piece: str) -> bytes:
-        letters = self.letters
-        return self._packed([t.id for t in self.model.tokenize("".join([letters[b] for b in piece.encode()]))])
-
-    def _kept(self, table: dict[str, bytes], key: str, value: bytes) -> bytes:
-        if len(table) >= MOST_WORDS:
-            table.clear()
-        if len(key) < 40:
-            table[key] = value
-        return value
+        return self._packed([t.id for t in self.model.tokenize(self._shown(piece))])
 
     def _part(self, part: str) -> bytes:
         """The ids of a stretch of text that no piece reaches beyond."""
-        found = self.parts.get(part)
+        found = self.parts.recall(part)
         if found is not None:
             return found
         if not self._plain.fullmatch(part) or "  " in part or any(a in part for a in self.added):
-            return self._kept(self.parts, part, self._packed(self.tokenizer.encode(part, add_special_tokens=False).ids))
+            return self.parts.keep(part, self._packed(self.tokenizer.encode(part, add_special_tokens=False).ids))
         pieces = self.pieces.findall(part)
         if len(pieces) == 1 and not (part[0] == " " and part[1:].isalpha()):
-            return self._kept(self.parts, part, self._piece(part))
-        ids = b"".join([self._word(p[1:]) if p[0] == " " and p[1:].isalpha() else self.parts.get(p) or
-                        self._kept(self.parts, p, self._piece(p)) for p in pieces])
-        return self._kept(self.parts, part, ids) if part[0] != " " else ids
+            return self.parts.keep(part, self._piece(part))
+        ids = b"".join([self._word(p[1:]) if p[0] == " " and p[1:].isalpha() else self.parts.recall(p) or
+                        self.parts.keep(p, self._piece(p)) for p in pieces])
+        return self.parts.keep(part, ids) if part[0] != " " else ids
 
     def _word(self, word: str) -> bytes:
-        """The ids of a word after a space. Words of letters are one piece; a stop or comma after them is another."""
-        found = self.words.get(word)
-        if found is not None:
-            return found
+        """The ids of a word after a space."""
+        found = self.words.recall(word)
+        return self.words.keep(word, self._coded(word)) if found is None else found
+
+    def _coded(self, word: str) -> bytes:
+        """The ids of a new word after a space. Words of letters are one piece; a stop or comma after them is another."""
         if self.marked and word.isalpha():
             if word.isascii():
-                return self._kept(self.words, word, self._packed([t.id for t in self.model.tokenize(self.space + word)]))
+                return self._packed([t.id for t in self.model.tokenize(self.space + word)])
             if self._plain.fullmatch(word):
-                return self._kept(self.words, word, self._piece(" " + word))
+                return self._piece(" " + word)
         if word[-1:] in self.stops and word[:-1].isalpha():
-            return self._kept(self.words, word, self._word(word[:-1]) + self.stops[word[-1]])
-        return self._kept(self.words, word, self._part(" " + word))
+            return self._word(word[:-1]) + self.stops[word[-1]]
+        return self._part(" " + word)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian numbers of `width` bytes."""
@@ -166,15 +192,6 @@ class WordCoder:
             out += [self.line, self._part(first), *[known(w) or self._word(w) for w in rest]]
         return b"".join(out[1:])
 
-
-    def _token(self, token: str) -> bytes:
-        """The ids of a word after a space, after a line end (which it begins with), or at the start (after a mark)."""
-        if token[0] == "\n":
-            return self.line + self._part(token[1:])
-        if token[0] == "\x0b":
-            return self._part(token[1:]) if len(token) > 1 else b""
-        return self.words.get(token) or self._word(token)
-
     def encode_all(self, texts: pa.Array) -> Iterator[list[bytes]]:
         """The ids of all texts (none null) in order, in lists for some at a time. Of a list's words each is looked up once."""
         sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -194,21 +211,68 @@ class WordCoder:
         words = pc.split_pattern(pc.binary_join_element_wise(
             "\x0b", pc.replace_substring(texts.filter(pc.invert(odd)), "\n", " \n"), ""), " ")
         distinct = words.flatten().dictionary_encode()
-        codes = [self._token(token) for token in distinct.dictionary.to_pylist()]
-        lengths = np.fromiter(map(len, codes), np.int64, len(codes)) // self.width
-        begins = np.cumsum(lengths) - lengths
         which = distinct.indices.to_numpy()
+        codes = self._codes(distinct.dictionary, np.bincount(which, minlength=len(distinct.dictionary)))
+        # ids are no more than the bytes of the texts, so that 32 bits hold every place
+        lengths = np.fromiter(map(len, codes), np.int32, len(codes)) // self.width
+        begins = np.cumsum(lengths, dtype=np.int32) - lengths
         n = lengths[which]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        ids = np.frombuffer(b"".join(codes), self.kind)[np.repeat(begins[which] - upto[:-1], n) + np.arange(upto[-1])]
+        upto = np.concatenate([np.zeros(1, np.int32), np.cumsum(n, dtype=np.int32)])
+        places = np.repeat(begins[which] - upto[:-1], n)
+        places += np.arange(upto[-1], dtype=np.int32)
+        ids = np.frombuffer(b"".join(codes), self.kind)[places]
         offsets = words.offsets.to_numpy()
-        cuts = upto[offsets - offsets[0]] * self.width
+        cuts = upto[offsets - offsets[0]].astype(np.int64) * self.width
         flat = memoryview(ids.tobytes())
         found = iter([bytes(flat[a:b]) for a, b in zip(cuts[:-1], cuts[1:])])
         if not pc.any(odd).as_py():
             return list(found)
         return [self.encode(text) if other else next(found) for text, other in zip(texts.to_pylist(), odd.to_pylist())]
 
+    def _codes(self, tokens: pa.Array, times: np.ndarray) -> list[bytes]:
+        """The ids of distinct words after a space, after a line end (which they begin with), or at the start (after a mark).
+
+        Words are encoded without line end and last punctuation, each once; those that come more than once are remembered.
+        """
+        marked = pc.replace_substring(tokens, "\n", "\x0b")
+        cut = pc.extract_regex(marked, WORD_AND_END)
+        for added in self.added:
+            cut = pc.if_else(pc.match_substring(marked, added), pa.scalar(None, cut.type), cut)
+        keys = pc.coalesce(pc.struct_field(cut, "word"), marked).dictionary_encode()
+        ends = pc.fill_null(pc.struct_field(cut, "end"), "").dictionary_encode()
+        which = keys.indices.to_numpy()
+        more = (np.bincount(which, times, len(keys.dictionary)) > 1).tolist()
+        words = _strings(keys.dictionary)
+        known, older = self.words.get, self.words.older.get
+        found = [known(word) or older(word) for word in words]
+        new = [i for i, ids in enumerate(found) if ids is None]
+        one = _list(pc.match_substring_regex(keys.dictionary, ONE_PIECE)) if self.marked else [False] * len(words)
+        shown = self._shown("\n ".join(["", *[words[i] for i in new]])).split(self.letters[10])[1:]
+        tokenize, packed = self.model.tokenize, self._packed
+        for i, letters in zip(new, shown):
+            word = words[i]
+            if one[i]:
+                found[i] = packed([t.id for t in tokenize(letters if word[0] != "\x0b" else letters[2:])])
+            else:
+                found[i] = self._part(word[1:]) if word[0] == "\x0b" else self._coded(word)
+        for word, ids, again in zip(words, found, more):
+            if again and word not in self.words:
+                self.words.keep(word, ids)
+        before, after = [b"", self.line], [self._part(end) for end in ends.dictionary.to_pylist()]
+        parts = zip(_list(pc.starts_with(tokens, "\n")), which.tolist(), _list(ends.indices))
+        return [before[line] + found[at] + after[end] for line, at, end in parts]
+
+
+def _list(values: pa.Array) -> list:
+    """Booleans or numbers, none null, as a list."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+def _strings(words: pa.Array) -> list[str]:
+    """Words without a space as a list."""
+    joined = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), " ")[0].as_py()
+    return joined.split(" ") if len(words) else []
+
 
 def coder(path: str) -> WordCoder:
     """The coder of this Python process, which outlives a task."""

@@ -266,6 +266,41 @@ def test_words_looked_up_at_once(texts):
     assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "The", "été", "ǅ", "中", "e\u0301", "12", "½", ".", ",", "...", "***", "'", "'s", "_", "|>",
+                                          "<|endoftext|>", "’", " ", "\n", "  "]), max_size=9).map("".join), max_size=6))
+def test_words_with_last_punctuation(texts):
+    plain, words = Tokenizer.from_file(VOCABULARY), token_records.coder(VOCABULARY)
+    got = [np.frombuffer(ids, words.kind).tolist() for some in words.encode_all(pa.array(texts, pa.string())) for ids in some]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_words_that_come_again_stay_remembered(monkeypatch):
+    """Many words that come once, more than are remembered, do not push out those that come again; with stops they are the same."""
+    monkeypatch.setattr(token_records, "MOST_WORDS", 80)
+    coder, asked, r = token_records.WordCoder(VOCABULARY), [], random.Random(2)
+    model = coder.model
+
+    class Asked:
+        def tokenize(self, word):
+            asked.append(word)
+            return model.tokenize(word)
+
+    coder.model = Asked()
+    name = lambda: "".join(r.choices("abcdefgh", k=12))
+    often = [name() for _ in range(20)]
+    plain = Tokenizer.from_file(VOCABULARY)
+    for at in range(6):
+        texts = [" ".join(["So", *often, *[name() for _ in range(200)], *[w + "." for w in often], often[0] + "***"]) for _ in range(2)]
+        got = [np.frombuffer(ids, coder.kind).tolist() for some in coder.encode_all(pa.array(texts)) for ids in some]
+        assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        if at == 0:
+            assert sum(word[1:] in often for word in asked) == 20
+            asked.clear()
+        assert len(coder.words) + len(coder.words.older) <= 80
+    assert len(asked) >= 2000 and not any(word[1:] in often for word in asked)
+
+
 def test_other_tokenizers_encode_as_they_are():
     """A file that cuts texts in another way is not encoded by words."""
     path = public_tokenizers.path("word_bpe_49k.json")

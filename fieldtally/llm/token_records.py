@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import string
 import struct
 import sys
 import types
@@ -38,7 +39,8 @@ ODD_BLANKS = ("^[ \n]|[ \n]$|  | \n|\n |\n\n|"
 # or digit (fixed values, belong to the vocabulary).
 LETTERS = r"A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}"
 ONE_PIECE = rf"^\x0b?[{LETTERS}]+$"
-WORD_AND_END = rf"^(?P<word>.*[0-9{LETTERS}])(?P<end>[!-/:-@\[-`{{-~]+)$"
+WORD_AND_END = rf"[0-9{LETTERS}][!-/:-@\[-`{{-~]+$"
+LAST_END = r"(?P<end>[!-/:-@\[-`{-~]+)$"
 # How byte-level pieces are cut (fixed value, belongs to the vocabulary).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 
@@ -235,11 +237,13 @@ class WordCoder:
         Words are encoded without line end and last punctuation, each once; those that come more than once are remembered.
         """
         marked = pc.replace_substring(tokens, "\n", "\x0b")
-        cut = pc.extract_regex(marked, WORD_AND_END)
+        ended = pc.match_substring_regex(marked, WORD_AND_END)
         for added in self.added:
-            cut = pc.if_else(pc.match_substring(marked, added), pa.scalar(None, cut.type), cut)
-        keys = pc.coalesce(pc.struct_field(cut, "word"), marked).dictionary_encode()
-        ends = pc.fill_null(pc.struct_field(cut, "end"), "").dictionary_encode()
+            ended = pc.and_not(ended, pc.match_substring(marked, added))
+        keys = pc.if_else(ended, pc.ascii_rtrim(marked, string.punctuation), marked).dictionary_encode()
+        ends = pc.struct_field(pc.extract_regex(marked.filter(ended), LAST_END), "end").dictionary_encode()
+        last = np.zeros(len(tokens), np.int32)
+        last[ended.to_numpy(zero_copy_only=False)] = ends.indices.to_numpy() + 1
         which = keys.indices.to_numpy()
         more = (np.bincount(which, times, len(keys.dictionary)) > 1).tolist()
         words = _strings(keys.dictionary)
@@ -258,13 +262,13 @@ class WordCoder:
         for word, ids, again in zip(words, found, more):
             if again and word not in self.words:
                 self.words.keep(word, ids)
-        before, after = [b"", self.line], [self._part(end) for end in ends.dictionary.to_pylist()]
-        parts = zip(_list(pc.starts_with(tokens, "\n")), which.tolist(), _list(ends.indices))
+        before, after = [b"", self.line], [b"", *[self._part(end) for end in ends.dictionary.to_pylist()]]
+        parts = zip(_list(pc.starts_with(tokens, "\n")), which.tolist(), last.tolist())
         return [before[line] + found[at] + after[end] for line, at, end in parts]
 
 
 def _list(values: pa.Array) -> list:
-    """Booleans or numbers, none null, as a list."""
+    """Booleans, none null, as a list."""
     return values.to_numpy(zero_copy_only=False).tolist()
 
 

@@ -59,7 +59,8 @@ def candidates(left: DataFrame, right: DataFrame, cutoff: float, score: str = "r
     start, stop = (_segment_start(F.col("rl"), F.col("parts"), F.col("i") + k) for k in (0, 1))
     indexed = indexed.select("block", "r_name", "rl", "t", "i",
                              F.col("r_name").substr(start + 1, stop - start).alias("seg"))
-    # probing side: the same segments, at every shift the budget allows
+    # probing side: the same segments, at every shift the budget allows. Of t + 1 segments some intact one has at most as many
+    # edits before it as segments, and likewise after it, so that only smaller shifts need to be looked at
     probes = (
         l.filter(F.col("ll") > 0).withColumn("rl", partner_lengths(F.col("ll")))
         .withColumn("t", budget(F.col("ll"), F.col("rl")))
@@ -69,10 +70,12 @@ def candidates(left: DataFrame, right: DataFrame, cutoff: float, score: str = "r
     probes = probes.withColumn("p", _segment_start(F.col("rl"), F.col("parts"), F.col("i"))).withColumn(
         "n", _segment_start(F.col("rl"), F.col("parts"), F.col("i") + 1) - F.col("p"))
     probes = probes.withColumn("at", F.explode(F.expr("sequence(p - t, p + t)"))).filter(
-        (F.col("at") >= 0) & (F.col("at") + F.col("n") <= F.col("ll")))
+        (F.col("at") >= 0) & (F.col("at") + F.col("n") <= F.col("ll")) & (F.expr("parts <= t") | F.expr(
+            "abs(at - p) <= i and abs(at - p - (ll - rl)) <= t - i")))
     probes = probes.select("block", "l_name", "rl", "t", "i",
                            F.col("l_name").substr(F.col("at") + 1, F.col("n")).alias("seg")).distinct()
-    pairs = probes.join(indexed, ["block", "rl", "t", "i", "seg"])
+    # segments are several times the names, which no estimate of their size sees: never broadcast
+    pairs = probes.join(indexed.hint("merge"), ["block", "rl", "t", "i", "seg"])
     # the budget bounds the edits as well: cheap to check before pairs are shuffled or scored
     close = pairs.filter(F.expr("levenshtein(l_name, r_name, t) >= 0"))
     return close.select("block", "l_name", "r_name").distinct()

@@ -118,3 +118,27 @@ def test_equal_and_hopeless_names_are_not_scored(spark):
         fuzzy.candidates = plan
     assert got == {"abcdefghijklmnopqrst": ("abcdefghijklmnopqrst", 1.0), "abcdefghijklmnopqrst1": ("abcdefghijklmnopqrst", 40 / 41)}
     assert met[0] < 4
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row = row, [i, *[0] * len(b)]
+        for j, y in enumerate(b, 1):
+            row[j] = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y))
+    return row[-1]
+
+
+def test_segments_are_not_broadcast_and_lose_no_pair(spark, tmp_path):
+    left, right = sorted(set(_names(3, 60))), sorted(set(_names(4, 60)))
+    for side, names in (("l", left), ("r", right)):  # files, as their size is what Spark goes by
+        spark.createDataFrame([("p", n) for n in names], "block string, name string").write.parquet(f"{tmp_path}/{side}")
+    l, r = spark.read.parquet(f"{tmp_path}/l"), spark.read.parquet(f"{tmp_path}/r")
+    for cutoff, score in ((0.9, "ratio"), (0.75, "ratio"), (0.8, "edits"), (0.5, "edits")):
+        found = fuzzy.candidates(l, r, cutoff, score)
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        size = max if score == "edits" else lambda a, b: a + b
+        low = cutoff if score == "edits" else cutoff / (2 - cutoff)
+        want = {(a, b) for a in left for b in right if low - 1e-9 <= len(a) / len(b) <= 1 / low + 1e-9
+                and _edits(a, b) <= int((1 - cutoff) * size(len(a), len(b)) + 1e-9)}
+        assert {(x.l_name, x.r_name) for x in found.collect()} == want

@@ -100,12 +100,13 @@ def line_verdicts(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     whole = hashed.select(F.xxhash64("codes", F.slice("codes", 1, 0)).alias("key"), F.lit(-1).alias("gap"),
                           F.col("id").alias("other"))
     earliest = keys.groupBy("key", F.col("at").alias("gap")).agg(F.min("id").alias("other"), F.count("*").alias("n"))
-    met = keys.join(earliest.filter("n > 1").drop("n").unionByName(whole), "key").filter(
+    # keys and word lists are many times the files they come from, which Spark's estimate goes by: never broadcast
+    met = keys.hint("merge").join(earliest.filter("n > 1").drop("n").unionByName(whole), "key").filter(
         ((F.col("gap") < 0) | (F.col("gap") - F.col("at") == 0)) & (F.col("id") != F.col("other")))
     pairs = met.select(F.greatest("id", "other").alias("id"), F.least("id", "other").alias("other")).distinct()
     a = wanted.select("id", "line", F.col("words").alias("a"))
     b = wanted.select(F.col("id").alias("other"), F.col("words").alias("b"))
-    near = pairs.join(a, "id").join(b, "other").filter(_within_one_edit(F.col("a"), F.col("b")))
+    near = pairs.join(a.hint("merge"), "id").join(b.hint("merge"), "other").filter(_within_one_edit(F.col("a"), F.col("b")))
     near = near.select(F.col("line").alias("near_line")).distinct()
 
     judged = lines.join(firsts.select("line", F.col("place").alias("first_place")), "line").join(

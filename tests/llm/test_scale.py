@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from fieldtally.llm import common, hashing, jaccard_join, toxicity
+from fieldtally.llm import common, hashing, jaccard_join, line_dedup, toxicity
 
 
 def shuffle_files(spark):
@@ -187,3 +187,25 @@ def test_words_of_some_texts_at_a_time_are_in_memory(monkeypatch):
     words, offsets = hashing.word_hashes(texts)
     assert got == [hashing.shingles(words[a:b], 3).tolist() for a, b in zip(offsets[:-1], offsets[1:])]
     assert len(got) == len(texts) and max(sizes) <= 500
+
+
+def test_keys_and_words_of_lines_are_not_broadcast(spark, tmp_path):
+    """Spark sizes them by small files: a line of 40 words gives 40 keys."""
+    line = " ".join(f"word{i}" for i in range(40))
+    spark.createDataFrame([(i, f"{line} end{i}\n{line} last{i % 3}") for i in range(50)], "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    verdicts = line_dedup.line_verdicts(spark.read.parquet(f"{tmp_path}/d"))
+    sent = []
+
+    def walk(node):
+        if node.nodeName() == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if node.nodeName() == "BroadcastExchange":
+            sent.append(node.toString())
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    walk(verdicts._jdf.queryExecution().executedPlan())
+    assert not [x for x in sent if "Generate" in x or "words" in x], sent
+    rows = verdicts.collect()
+    assert len(rows) == 100 and sum(r.exact for r in rows) == 47 and sum(r.near for r in rows) == 99

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from fieldtally.llm import common, hashing, jaccard_join, line_dedup, toxicity
+from fieldtally.llm import common, embedding_dedup, hashing, jaccard_join, line_dedup, toxicity
 
 
 def shuffle_files(spark):
@@ -209,3 +209,23 @@ def test_keys_and_words_of_lines_are_not_broadcast(spark, tmp_path):
     assert not [x for x in sent if "Generate" in x or "words" in x], sent
     rows = verdicts.collect()
     assert len(rows) == 100 and sum(r.exact for r in rows) == 47 and sum(r.near for r in rows) == 99
+
+
+def test_vectors_are_copied_twice_a_round_at_most(spark, monkeypatch):
+    """However many squares a label is cut into; all pairs are found, those of equal vectors and of both lengths too."""
+    r = np.random.default_rng(5)
+    base = r.standard_normal((300, 16))
+    every = [*base, *(base[:60] + 0.05 * r.standard_normal((60, 16))), *base[:20], *base[:20, :8]]
+    rows = [(i, [float(x) for x in v], "x" if i % 30 else "y") for i, v in enumerate(every)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    copies, look = [], embedding_dedup._links
+    monkeypatch.setattr(embedding_dedup, "SIDE", 20)
+    monkeypatch.setattr(embedding_dedup, "_links", lambda placed, *rest: (copies.append(placed.count()), look(placed, *rest))[1])
+    got = {x.vec_id: x for x in embedding_dedup.near_vectors(frame).collect()}
+    assert len(got) == len(rows) and len(copies) > 3 and max(copies) <= 2 * len(rows)
+    units = [v / np.linalg.norm(v) for v in every]
+    linked = {i: {j for j in range(len(rows)) if j != i and rows[i][2] == rows[j][2] and len(units[i]) == len(units[j])
+                  and units[i] @ units[j] >= 0.93} for i in range(len(rows))}
+    assert sum(map(len, linked.values())) > 100
+    assert {i: x.n_links for i, x in got.items()} == {i: len(x) for i, x in linked.items()}
+    assert all(got[i].component_id == got[j].component_id <= i for i, x in linked.items() for j in x)

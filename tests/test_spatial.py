@@ -144,6 +144,47 @@ def test_cells_are_not_broadcast_and_hold_no_covered_codes(spark):
     assert got == {i: every.get(i) for i in range(110)} and len(every) > 50
 
 
+def shuffled(df):
+    """Rows that an executed query put into its exchanges."""
+    df.collect()
+    found = {}
+
+    def walk(node):
+        if node.nodeName() == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if node.nodeName().endswith("QueryStage"):
+            return walk(node.plan())
+        if node.nodeName() == "Exchange":
+            found[node.id()] = node.metrics().get("shuffleRecordsWritten").get().value()
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return sum(found.values())
+
+
+def test_points_in_many_polygons_are_not_shuffled_with_them(spark):
+    """Polygons over one another: pairs are many times the points."""
+    square = [(-50, -50), (50, -50), (50, 50), (-50, 50)]
+    polys = polygons(spark, [(f"p{i:03d}", [[(x + i / 70, y) for x, y in square]]) for i in range(400)])
+    pts = spark.range(3000).selectExpr("id", "id % 60 + 0.3 - 30 as lon", "id div 60 + 0.3 - 25 as lat")
+    out = spatial.containing(pts, polys, "id")
+    assert out.count() == 1_200_000
+    assert shuffled(out.agg(F.count("*"))) < 300_000
+
+
+def test_keys_that_repeat_count_over_all_their_rows(spark):
+    """As the SQL twin groups them: a key in a polygon twice is not in it, on its border it is. Null is a key like any other."""
+    polys = polygons(spark, [("a", [SQUARE]), ("b", [NEXT]), ("c", [SQUARE]), ("c", [NEXT]), (None, [SQUARE])])
+    pts = [(1, 1.0, 1.0), (2, 1.0, 1.0), (2, 1.0, 1.0), (3, 1.0, 1.0), (3, 5.0, 1.0), (4, 0.0, 1.0), (4, 0.0, 1.0), (5, 1.0, 1.0), (5, 99.0, 1.0)]
+    want = {(1, "a"), (1, "c"), (1, None), (3, "a"), (3, "b"), (3, "c"), (3, None), (4, "a"), (4, "c"), (4, None), (5, "a"), (5, "c"), (5, None)}
+    one = [(None, 1.0, 2.0)]
+    for rows, more in ((pts, set()), (pts + one, {(None, "a"), (None, "c"), (None, None)}), (pts + one + one, set())):
+        got = spatial.containing(spark.createDataFrame(rows, "id long, lon double, lat double"), polys, "id").collect()
+        assert len(got) == len(set(got)) and {tuple(r) for r in got} == want | more
+
+
 def test_layers_in_one_pass(spark):
     """Positions shared by many points, points outside, without coordinates, and beyond the distance."""
     one = polygons(spark, [("a", [SQUARE, HOLE]), ("b", [NEXT])])
